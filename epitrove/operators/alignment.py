@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from epitrove.functions.text import protein_key
 from epitrove.plans.joins import lookup_join, salted_join
+from epitrove.plans.storage import pin
 
 # The scoring of the alignment.
 GAP_OPEN = -5.0
@@ -147,7 +148,8 @@ def align_references(references: DataFrame, profile: DataFrame, group_size: int
     """
     keyed = references.withColumn("protein_key", protein_key(F.col("protein")))
     distinct = keyed.select("protein_key", "raw_sequence").where("raw_sequence is not null").distinct()
-    counts = distinct.groupBy("protein_key").agg(F.ceil(F.count(F.lit(1)) / group_size).cast("int").alias("groups"))
+    # One row per protein, used twice.
+    counts = pin(distinct.groupBy("protein_key").agg(F.ceil(F.count(F.lit(1)) / group_size).cast("int").alias("groups")))
     grouped = lookup_join(distinct, counts, "protein_key", "inner").withColumn(
         "part", F.pmod(F.xxhash64("raw_sequence"), F.col("groups")).cast("int")
     )

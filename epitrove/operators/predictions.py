@@ -11,7 +11,7 @@ from epitrove.functions.schema import (
 )
 from epitrove.functions.text import allele_key, is_residues_only, peptide_key, ungapped
 from epitrove.operators.filters import filter_predictions_slice
-from epitrove.plans.joins import literal_list, lookup_join
+from epitrove.plans.joins import literal_list, lookup_join, salted_join
 
 PERCENTILES = ("netmhcpan_el_percentile", "netmhcpan_ba_percentile")
 
@@ -83,7 +83,7 @@ def overlay_percentiles(rows: DataFrame, alleles: Sequence[str], predictions: Da
         "*", F.explode(literal_list(alleles)).alias("allele")
     ).withColumn("allele_key", F.trim(F.upper("allele")))
     known = _by_pair(predictions, F.trim(F.upper("allele")), grid)
-    return lookup_join(grid, known, ["allele_key", "peptide_key"], "left").drop("allele_key", "peptide_key")
+    return salted_join(grid, known, ["allele_key", "peptide_key"], "left").drop("allele_key", "peptide_key")
 
 
 def percentile_by_allele_key(rows: DataFrame, allele: str, predictions: DataFrame, mode: str = "EL") -> DataFrame:
@@ -97,7 +97,7 @@ def percentile_by_allele_key(rows: DataFrame, allele: str, predictions: DataFram
     known = _by_pair(of_allele, allele_key(F.col("allele")), wanted).where(F.col(metric).isNotNull())
     first = known.select(F.col("peptide_key").alias("__upload"), F.col(metric).alias("__first"))
     second = known.select(F.col("peptide_key").alias("__aligned"), F.col(metric).alias("__second"))
-    joined = lookup_join(lookup_join(forms, first, "__upload", "left"), second, "__aligned", "left")
+    joined = salted_join(salted_join(forms, first, ["__upload"], "left"), second, ["__aligned"], "left")
     return joined.withColumn("percentile", F.coalesce("__first", "__second")).drop(
         "__upload", "__aligned", "__first", "__second"
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from epitrove.functions.text import peptide_key, protein_key, ungapped
 from epitrove.operators.filters import is_aligned
 from epitrove.operators.frequencies import distinct_sequences
-from epitrove.plans.joins import lookup_join, salted_join
+from epitrove.plans.joins import BROADCAST_ROWS, fits, lookup_join, salted_join
 from epitrove.sources.tables import valid_windows
 
 # Candidates per window, alternates per peptide, the bound of a conserved peptide.
@@ -36,16 +36,23 @@ def distinct_windows(aligned: DataFrame, protein: str | None = None) -> DataFram
 
 
 def cross_windows(
-    sequences: DataFrame, windows: Iterable[tuple[int, int]] | DataFrame, carried: Sequence[str], by: Sequence[str] = ()
+    sequences: DataFrame,
+    windows: Iterable[tuple[int, int]] | DataFrame,
+    carried: Sequence[str],
+    by: Sequence[str] = (),
+    at_most: int | None = None,
 ) -> DataFrame:
     """The substring of every sequence in every window; windows past the end give short or empty ones.
 
     Windows given as values are attached row by row; windows in a table are joined on ``by``.
+    ``at_most`` is a known bound of that table.
     """
     if isinstance(windows, DataFrame):
         if not by:
             raise ValueError("a table of windows needs the columns it is joined on")
-        paired = lookup_join(sequences, windows.select(*by, *WINDOW).where("start > 0 and len > 0"), by, "inner")
+        paired = lookup_join(
+            sequences, windows.select(*by, *WINDOW).where("start > 0 and len > 0"), by, "inner", at_most
+        )
     else:
         literal = [
             F.struct(F.lit(s).cast("int").alias("start"), F.lit(n).cast("int").alias("len"))
@@ -76,14 +83,17 @@ def window_tallies(
 ) -> DataFrame:
     """Count, total and share of every observed substring in every window, per group of ``by``."""
     weighted = distinct_sequences(isolates, by)
-    counts = cross_windows(weighted, windows, [*by, "copies"], by).groupBy(*by, *WINDOW, "peptide").agg(
+    # There is one total per window, so the number of windows bounds both look-ups.
+    if isinstance(windows, DataFrame):
+        bound = BROADCAST_ROWS if fits(windows) else BROADCAST_ROWS + 1
+    else:
+        bound = None if by else len(valid_windows(windows))
+    counts = cross_windows(weighted, windows, [*by, "copies"], by, bound).groupBy(*by, *WINDOW, "peptide").agg(
         F.sum("copies").alias("frequency_all"), F.count(F.lit(1)).alias("frequency_unique")
     )
     totals = counts.groupBy(*by, *WINDOW).agg(
         F.sum("frequency_all").alias("total_all"), F.sum("frequency_unique").alias("total_unique")
     )
-    # One total per window: with literal windows and no groups their number is known.
-    bound = None if by or isinstance(windows, DataFrame) else len(valid_windows(windows))
     both = lookup_join(counts, totals, [*by, *WINDOW], "inner", at_most=bound)
     return both.select(
         *by, *WINDOW, "peptide",
@@ -159,7 +169,7 @@ def top_candidates_by_window(tallies: DataFrame, most: int = TOP_CANDIDATES, by:
     )
     # At most twice ``most`` entries per window.
     boards = chosen.groupBy(*group).agg(F.collect_list(rival).alias("board"))
-    against = lookup_join(
+    against = salted_join(
         tallies.select(*group, "peptide", "proportion_all", "proportion_unique"), boards, group, "inner"
     ).select(*group, "peptide", "proportion_all", "proportion_unique", F.inline("board"))
 
@@ -307,7 +317,7 @@ def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: Data
         "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
     )
     facts = summed.join(joined_roots, "peptide", "full")
-    both = lookup_join(base, facts, "peptide", "left")
+    both = salted_join(base, facts, ["peptide"], "left")
     counts = ("frequency_all", "total_all", "frequency_unique", "total_unique")
     filled = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return filled.select(

@@ -2,7 +2,8 @@
 
 A look-up side is broadcast only after its size has been checked (or when the caller proves a
 bound). A larger one is joined on the key plus a salt: every look-up row is repeated once per
-salt, and each row picks one salt, so a hot key spreads over ``SALTS`` tasks.
+salt, and each row picks one salt, so a hot key spreads over that many tasks. The adaptive
+skew join splits further what is still too large.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BROADCAST_ROWS = 50_000
-SALTS = 16
+LEAST_SALTS, MOST_SALTS = 4, 64
 _SALT = "__salt"
 
 
@@ -21,8 +22,18 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """``rows`` joined to ``lookup``; ``how`` is inner, left, left_semi or left_anti."""
+def _salts(df: DataFrame) -> int:
+    """More salts where the session shuffles into more partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SALTS, min(MOST_SALTS, partitions // 8))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int | None = None) -> DataFrame:
+    """``rows`` joined to ``lookup``; ``how`` is inner, left, left_semi or left_anti.
+
+    Used as it is where counting the look-up side would cost as much as computing it.
+    """
+    salts = salts or _salts(rows)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how}")
     hashed = [

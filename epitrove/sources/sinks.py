@@ -27,8 +27,11 @@ FASTA_WIDTH = 60
 
 
 def _two_places(percentile: Column) -> Column:
-    """Half-even rounding in double precision, stored as float."""
-    return F.bround(percentile.cast("double"), 2).cast("float")
+    """Half-even rounding of the scaled double, stored as float.
+
+    ``bround`` works on the decimal text, where 0.295 is a tie; its hundredfold as a double is not.
+    """
+    return (F.rint(percentile.cast("double") * 100) / 100).cast("float")
 
 
 def slim_predictions(predictions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from epitrove.operators.peptides import align_peptides
 from epitrove.operators.tallies import (
     annotate_predictions, distinct_windows, top_candidates_by_window, window_roots, window_tallies,
 )
+from epitrove.plans.storage import pin
 
 # Invented base sequences, one per protein, and four allele names.
 BASES = {
@@ -142,7 +143,7 @@ def upload_tallies(spark: SparkSession, sf: str, protein: str = "M1") -> DataFra
 
 
 def annotated(spark: SparkSession, sf: str, protein: str = "M1") -> DataFrame:
-    tallies = upload_tallies(spark, sf, protein)
+    tallies = pin(upload_tallies(spark, sf, protein))
     placed = aligned(spark, sf)
     roots = window_roots(placed, top_candidates_by_window(tallies), protein)
     return annotate_predictions(predictions(spark, sf), tallies, roots, protein)

@@ -156,7 +156,7 @@ CTES |= {
   FROM facet_counts JOIN (SELECT facet, position, sum(cnt) AS total FROM facet_counts GROUP BY ALL) USING (facet, position)""",
     "nonhuman_facets": "SELECT country AS facet, sequence FROM nonhuman",
     "nonhuman_genotypes": "SELECT DISTINCT genotype AS facet, sequence FROM nonhuman",
-    "half_cached": "SELECT * FROM predictions WHERE netmhcpan_ba_percentile < 40",
+    "half_cached": "SELECT * FROM predictions WHERE netmhcpan_el_percentile < 3",
     "alleles": "SELECT unnest(['HLA-A*02:01', 'HLA-A*11:01', 'HLA-B*35:03', 'HLA-C*04:01']) AS allele",
     "missing": """
   SELECT allele, peptide FROM alleles CROSS JOIN (SELECT DISTINCT peptide FROM uploads WHERE length(peptide) BETWEEN 8 AND 10) w
@@ -249,9 +249,9 @@ SELECT allele, peptide, netmhcpan_el_percentile::FLOAT AS netmhcpan_el_percentil
   netmhcpan_ba_percentile::FLOAT AS netmhcpan_ba_percentile FROM predictions"""),
     "export_csv_quoted": sql("uploads", """
 SELECT concat('"', peptide_id, '","', attribute_1, ', ""new"" line","', peptide, '",""') AS line FROM uploads"""),
-    "export_csv_minimal": sql("uploads", """
+    "export_csv_minimal": sql("uploads", '''
 SELECT concat(peptide_id, ',"', attribute_1, ', ""new""",') AS line FROM uploads
-UNION ALL SELECT concat(peptide_id, ',,', peptide) FROM uploads"""),
+UNION ALL SELECT concat(peptide_id, ',,', peptide) FROM uploads'''),
     "export_fasta": sql("scanned", """
 SELECT concat('> ', CASE WHEN seq_index % 3 > 0 THEN seq_id ELSE concat('seq_', seq_index) END, chr(10),
   substr(sequence || sequence, 1, 60), chr(10), substr(sequence || sequence, 61)) AS record FROM scanned"""),
@@ -474,12 +474,12 @@ SELECT protein, max(n) AS lanes FROM (SELECT p.protein, p.position, count(*) AS
   JOIN aligned a ON a.protein = p.protein AND a.start <= p.position AND p.position < a.start + a.length GROUP BY ALL)
 GROUP BY protein"""),
     "generate_peptides": sql("frequencies", """
-, f AS MATERIALIZED (SELECT protein, aminoacid, position, dense_rank() OVER (PARTITION BY protein ORDER BY position) AS at
+, f AS MATERIALIZED (SELECT protein, aminoacid, position, dense_rank() OVER (PARTITION BY protein ORDER BY position) AS nth
   FROM frequencies WHERE frequency_all >= total_all * 0.0016 AND aminoacid <> '-' AND protein <> 'HA'),
-grown AS (WITH RECURSIVE g(protein, at, size, start_position, end_position, peptide) AS (
-  SELECT protein, at, 1, position, position, aminoacid FROM f UNION ALL
-  SELECT g.protein, f.at, g.size + 1, g.start_position, f.position, g.peptide || f.aminoacid
-  FROM g JOIN f ON f.protein = g.protein AND f.at = g.at + 1 WHERE g.size < 9) SELECT * FROM g)
+grown AS (WITH RECURSIVE g(protein, nth, size, start_position, end_position, peptide) AS (
+  SELECT protein, nth, 1, position, position, aminoacid FROM f UNION ALL
+  SELECT g.protein, f.nth, g.size + 1, g.start_position, f.position, g.peptide || f.aminoacid
+  FROM g JOIN f ON f.protein = g.protein AND f.nth = g.nth + 1 WHERE g.size < 9) SELECT * FROM g)
 SELECT protein, size AS peptide_len, min(start_position) AS start_position, min(end_position) AS end_position, peptide
 FROM grown WHERE size IN (8, 9) GROUP BY protein, size, peptide"""),
     "class_one_workset": sql("uploads candidates", """
@@ -504,7 +504,7 @@ FROM candidates"""),
   WHERE upper(replace(peptide, '-', '')) <> 'MKTAYIAKQ')
 SELECT 0 AS rank, peptide, proportion_all AS proportion, frequency_all AS frequency, total_all AS total, peptide AS ungapped_key
 FROM first_tallies WHERE peptide = 'MKTAYIAKQ'
-UNION ALL SELECT r, peptide, proportion_all, frequency_all, total_all, replace(peptide, '-', '') FROM rest WHERE r <= 4"""),
+UNION ALL SELECT r::INT, peptide, proportion_all, frequency_all, total_all, replace(peptide, '-', '') FROM rest WHERE r <= 4"""),
     "residue_ranking": sql("frequencies", """
 SELECT protein, position, aminoacid, value, row_number() OVER (PARTITION BY protein, position ORDER BY value DESC, aminoacid)::INT AS rank
 FROM frequencies"""),

@@ -448,7 +448,7 @@ def join_top_facets(spark, sf):
 
 
 def _half_cached(spark, sf):
-    return ad.predictions(spark, sf).where("netmhcpan_ba_percentile < 40")
+    return ad.predictions(spark, sf).where("netmhcpan_el_percentile < 3")
 
 
 @query
