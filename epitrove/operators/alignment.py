@@ -2,7 +2,7 @@
 
 The dynamic programme needs Python workers. Spark decides what they get: distinct sequences only,
 in groups of one protein whose size is bounded, each with that protein's profile. Inside a group
-sequences of equal length are aligned together, one anti-diagonal of the tables at a time.
+sequences with the same band are aligned together, one anti-diagonal of the tables at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LEAST_BAND = 75
 BAND_MARGIN = 20
 NEVER = -1e9
 
-GROUP_SEQUENCES = 2000
+GROUP_SEQUENCES = 256
 TABLE_CELLS = 40_000_000
 MATCH, DELETE, INSERT = 0, 1, 2
 
@@ -41,15 +41,20 @@ def column_scores(profile: list[dict[str, float]], alphabet: str) -> np.ndarray:
     return scores
 
 
-def align_equal_lengths(codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Traces of ``codes`` (sequences × length) against the profile ``scores``.
+def band_width(columns: int, length: int) -> int:
+    return max(LEAST_BAND, abs(columns - length) + BAND_MARGIN)
+
+
+def trace_together(codes: np.ndarray, lengths: np.ndarray, scores: np.ndarray, band: int) -> np.ndarray:
+    """Traces of the sequences ``codes`` (padded to one length) against the profile ``scores``.
 
     Returns, per sequence, the steps from the end to the start: 0 pairs a letter with a column, 1
-    skips a column, 2 keeps a letter without one; -1 fills up.
+    skips a column, 2 keeps a letter without one; -1 fills up. No path enters the padding, as a
+    path only leads to smaller places than its sequence's end.
     """
     count, length = codes.shape
     columns = len(scores)
-    band = max(LEAST_BAND, abs(columns - length) + BAND_MARGIN)
+    ends = columns + lengths
     shape = (count, columns + 1)
     # Scores on the last two anti-diagonals, indexed by the column number.
     before = [np.full(shape, NEVER) for _ in range(3)]
@@ -57,7 +62,9 @@ def align_equal_lengths(codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
     last[MATCH][:, 0] = 0.0
     # Where each of the three states came from, for every anti-diagonal.
     origin = np.zeros((3, columns + length + 1, count, columns + 1), dtype=np.int8)
-    origin[DELETE, :, :, :], origin[INSERT, :, :, :] = DELETE, INSERT
+    origin[DELETE], origin[INSERT] = DELETE, INSERT
+    final = np.zeros((3, count))
+    final[:, ends == 0] = np.array([[0.0], [NEVER], [NEVER]])
     for diagonal in range(1, columns + length + 1):
         now = [np.full(shape, NEVER) for _ in range(3)]
         if diagonal <= min(band, columns):
@@ -78,11 +85,14 @@ def align_equal_lengths(codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
                 now[state][:, at] = np.maximum(opened, extended)
                 origin[state, diagonal][:, at] = np.where(opened >= extended, MATCH, state)
         before, last = last, now
+        ending = ends == diagonal
+        for state in (MATCH, DELETE, INSERT):
+            final[state, ending] = now[state][ending, columns]
 
     rows = np.arange(count)
     column = np.full(count, columns)
-    diagonal = np.full(count, columns + length)
-    state = np.stack([last[s][:, columns] for s in (MATCH, DELETE, INSERT)]).argmax(axis=0)
+    diagonal = ends.copy()
+    state = final.argmax(axis=0)
     steps = np.full((count, columns + length), -1, dtype=np.int8)
     for step in range(columns + length):
         going = diagonal > 0
@@ -109,23 +119,25 @@ def _written(sequence: str, steps: np.ndarray) -> str:
 
 
 def align_group(sequences: list[str], profile: list[dict[str, float]]) -> list[str]:
-    """Aligned text of each sequence; sequences of one length share the tables."""
+    """Aligned text of each sequence; sequences with the same band share the tables."""
     alphabet = "".join(sorted({letter for column in profile for letter in column if len(letter) == 1}))
     scores = column_scores(profile, alphabet)
     place = {letter: i for i, letter in enumerate(alphabet)}
     aligned = [""] * len(sequences)
-    by_length: dict[int, list[int]] = {}
-    for number, sequence in enumerate(sequences):
-        by_length.setdefault(len(sequence), []).append(number)
-    for length, members in by_length.items():
-        cells = 3 * (len(profile) + length + 1) * (len(profile) + 1)
+    by_band: dict[int, list[int]] = {}
+    for number in sorted(range(len(sequences)), key=lambda n: len(sequences[n])):
+        by_band.setdefault(band_width(len(profile), len(sequences[number])), []).append(number)
+    for band, members in by_band.items():
+        longest = len(sequences[members[-1]])
+        cells = 3 * (len(profile) + longest + 1) * (len(profile) + 1)
         at_once = max(1, TABLE_CELLS // cells)
         for first in range(0, len(members), at_once):
             chunk = members[first:first + at_once]
-            codes = np.array(
-                [[place.get(letter, len(alphabet)) for letter in sequences[m]] for m in chunk], dtype=np.int64
-            ).reshape(len(chunk), length)
-            for member, steps in zip(chunk, align_equal_lengths(codes, scores)):
+            lengths = np.array([len(sequences[m]) for m in chunk])
+            codes = np.full((len(chunk), lengths.max()), len(alphabet))
+            for row, member in enumerate(chunk):
+                codes[row, :lengths[row]] = [place.get(letter, len(alphabet)) for letter in sequences[member]]
+            for member, steps in zip(chunk, trace_together(codes, lengths, scores, band)):
                 aligned[member] = _written(sequences[member], steps)
     return aligned
 

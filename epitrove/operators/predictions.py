@@ -121,18 +121,18 @@ def _chosen(predictions: DataFrame, method: str) -> DataFrame:
 def min_percentile_by_position(predictions: DataFrame, method: str) -> DataFrame:
     """Heat map: the lowest percentile over each position and its residue, per sequence and length.
 
-    Ties go to the smaller start, then to the peptide. Rows that share a window are reduced before
-    they are spread over its positions.
+    Ties go to the smaller start, then to the peptide. Rows are spread over their positions and
+    reduced again within each task, so about one row per cell is shuffled and no sequence is
+    gathered in one place.
     """
     slices = ["seq_no", "peptide_length", "allele"]
     usable = _chosen(predictions, method).where(
         (F.col("allele") != "") & (F.col("peptide") != "") & F.col("start").isNotNull()
         & F.col("end").isNotNull() & F.col("pct").isNotNull() & ~F.isnan("pct") & (F.col("start") <= F.col("end"))
     )
-    reduced = usable.groupBy(*slices, "start", "end").agg(F.min(F.struct("pct", "peptide")).alias("low"))
-    spread = reduced.select(
+    spread = usable.select(
         *slices, F.explode(F.sequence("start", "end")).alias("position"),
-        F.struct(F.col("low.pct").alias("pct"), "start", F.col("low.peptide").alias("peptide")).alias("hit"),
+        F.struct("pct", "start", "peptide").alias("hit"),
     )
     best = spread.groupBy(*slices, "position").agg(F.min("hit").alias("best"))
     return best.select(

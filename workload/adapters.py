@@ -94,8 +94,12 @@ def scanned_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions by sequence, window and allele under the scan page's column names."""
-    spread = scanned_sequences(spark, sf).select(
+    """Predictions by sequence, window and allele under the scan page's column names.
+
+    One row becomes some six hundred, so the few sequences are spread over all tasks first.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = scanned_sequences(spark, sf).repartition(tasks, "seq_index").select(
         "seq_index", "protein", "sequence",
         F.explode(F.array(*[F.lit(n) for n in (8, 9, 10)])).alias("len"),
     ).select("*", F.expr("explode(sequence(1, 61 - len))").alias("start")).select(
