@@ -15,6 +15,9 @@ from epitrove.plans.numbering import number_rows
 BATCH_SIZE = 1000
 GENERATED_LENGTHS = tuple(range(8, 15))
 
+# References are long rows: fewer of them may be broadcast.
+BROADCAST_REFERENCES = 5_000
+
 
 def reference_by_protein(references: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One aligned reference per protein; of several the last by ``order`` (else the greatest)."""
@@ -35,7 +38,7 @@ def align_peptides(peptides: DataFrame, references: DataFrame, order: Sequence[s
         ungapped(F.col("aligned_sequence")).alias("letters"), columns.alias("columns"),
     )
     filled = peptides.where(F.length("peptide") > 0)
-    placed = lookup_join(filled, prepared, "protein", "left")
+    placed = lookup_join(filled, prepared, "protein", "left", broadcast_rows=BROADCAST_REFERENCES)
     raw = F.instr(F.col("letters"), F.upper("peptide"))
     placed = placed.withColumn("start_raw", F.when(raw > 0, raw)).withColumns({
         "length_raw": F.length("peptide"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from epitrove.operators.filters import filter_root_rows
 from epitrove.plans.joins import salted_join
@@ -65,7 +65,5 @@ def proportion_histogram(rows: DataFrame, unique: bool = False) -> DataFrame:
 def protein_row_counts(isolates: DataFrame, top: int = TOP_PROTEINS) -> DataFrame:
     """The proteins with most rows, and the number of proteins beside them."""
     counted = isolates.where(F.col("protein").isNotNull()).groupBy("protein").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per protein.
-    everything = Window.partitionBy()
-    counted = counted.withColumn("proteins", F.count(F.lit(1)).over(everything))
-    return counted.orderBy(F.desc("rows"), "protein").limit(top)
+    proteins = counted.agg(F.count(F.lit(1))).scalar()
+    return counted.orderBy(F.desc("rows"), "protein").limit(top).withColumn("proteins", proteins)

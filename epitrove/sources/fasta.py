@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epitrove.functions.text import RESIDUES, is_residues_only, strip
 from epitrove.plans.joins import lookup_join
@@ -15,6 +15,7 @@ from epitrove.sources.records import placed_records
 
 ENTRY_BREAK = "\n>"
 ID_LENGTH = 64
+_RENAMED = "file string, split long, row long, id string"
 
 
 def _is_first() -> Column:
@@ -41,27 +42,49 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _suffixed(entries: DataFrame) -> DataFrame:
-    """Give repeated names the suffixes ``_2``, ``_3``, … and never hand out a name twice.
+def _entry_numbers(entries: DataFrame) -> DataFrame:
+    """Number the entries of each file by adding up the sizes of the splits before."""
+    splits = entries.groupBy("file", "split").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first"))
+    # One row per split of a file.
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "file", "split", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first") + 1).alias("offset")
+    )
+    return lookup_join(entries, offsets, ["file", "split"], "inner").withColumn("index", F.col("row") + F.col("offset"))
+
+
+def _renamed(names: DataFrame) -> DataFrame:
+    """Entries whose id is not their base name: ``(file, split, row, id)``.
 
-    ``name_k`` is right unless the file also holds an entry literally called ``name_k``. Only
-    names related in that way are settled one after the other.
+    Repeated names get the suffixes ``_2``, ``_3``, … in file order. ``name_k`` is right unless the
+    file also holds an entry literally called ``name_k``; only names related in that way are
+    settled one after the other. Names without a repetition take no part.
     """
-    ranked = number_rows_within(entries, ["file", "base"], ["split", "row"], "k")
-    ranked = ranked.withColumn(
-        "id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string")))
-    ).withColumn("stem", F.regexp_replace("base", r"(_\d+)+$", ""))
-    ranked = pin(ranked)
-    literal = ranked.where(F.col("k") == 1).select("file", "stem", F.col("base").alias("id"))
-    produced = ranked.where(F.col("k") > 1).select("file", "stem", "id")
-    clashing = literal.join(produced, ["file", "stem", "id"], "left_semi").select("file", "stem").distinct()
-    clear = lookup_join(ranked, clashing, ["file", "stem"], "left_anti")
-    settled = (
-        lookup_join(ranked, clashing, ["file", "stem"], "left_semi")
-        .groupBy("file", "stem")
-        .applyInPandas(_settle_names, clear.schema)
+    counted = names.groupBy("file", "base").agg(F.count(F.lit(1)).alias("entries"))
+    repeated = pin(counted.where("entries > 1").select("file", "base"))
+    if repeated.isEmpty():
+        return names.sparkSession.createDataFrame([], _RENAMED)
+    numbered = number_rows_within(
+        lookup_join(names, repeated, ["file", "base"], "left_semi"), ["file", "base"], ["split", "row"], "k"
     )
-    return clear.unionByName(settled).drop("k", "stem", "base")
+    suffixed = pin(numbered.where("k > 1").select(
+        "file", "split", "row", "base", F.concat_ws("_", "base", F.col("k").cast("string")).alias("id")
+    ))
+    literal = counted.select("file", F.col("base").alias("id"))
+    clashing = suffixed.join(literal, ["file", "id"], "left_semi").select("file", _stem("base").alias("stem")).distinct()
+    clashing = pin(clashing)
+    if clashing.isEmpty():
+        return suffixed.drop("base")
+
+    keys = ["file", "stem"]
+    clear = lookup_join(suffixed.withColumn("stem", _stem("base")), clashing, keys, "left_anti")
+    related = lookup_join(names.withColumn("stem", _stem("base")), clashing, keys, "left_semi")
+    settled = related.groupBy(*keys).applyInPandas(_settle_names, _RENAMED)
+    return clear.select("file", "split", "row", "id").unionByName(settled)
+
+
+def _stem(base: str) -> Column:
+    return F.regexp_replace(base, r"(_\d+)+$", "")
 
 
 def _settle_names(entries: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +101,7 @@ def _settle_names(entries: pd.DataFrame) -> pd.DataFrame:
         tried[base] = number
         used.add(name)
         names.append(name)
-    return entries.assign(id=names)
+    return entries.assign(id=names)[["file", "split", "row", "id"]]
 
 
 def read_fasta_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -93,16 +116,22 @@ def read_fasta_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     fasta = lookup_join(records, bare_files, "file", "left_anti")
 
     header, body = _header_and_body(_entry_text())
-    entries = fasta.select("file", "split", "row", strip(header).alias("header"), body.alias("body"))
-    token = F.element_at(F.split("header", r"\s+|\|", 2), 1)
-    entries = number_rows_within(entries.withColumn("token", token), ["file"], ["split", "row"], "index")
-    name = F.when(F.col("token") == "", F.concat(F.lit("seq"), F.col("index").cast("string"))).otherwise(F.col("token"))
-    entries = entries.select(
-        "file", "split", "row",
-        F.substring(F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_"), 1, ID_LENGTH).alias("base"),
-        F.upper(F.regexp_replace("body", r"[\s*-]", "")).alias("sequence"),
+    token = F.element_at(F.split(strip(header), r"\s+|\|", 2), 1)
+    entries = fasta.select(
+        "file", "split", "row", token.alias("token"),
+        F.upper(F.regexp_replace(body, r"[\s*-]", "")).alias("sequence"),
+    )
+    named = F.when(F.col("token") != "", F.col("token")).otherwise(
+        F.concat(F.lit("seq"), F.col("index").cast("string"))
+    )
+    entries = _entry_numbers(entries).withColumn(
+        "base", F.substring(F.regexp_replace(named, "[^A-Za-z0-9_.-]", "_"), 1, ID_LENGTH)
+    )
+    place = ["file", "split", "row"]
+    renamed = pin(_renamed(entries.select(*place, "base")))
+    named = lookup_join(entries, renamed, place, "left").select(
+        "file", F.coalesce("id", "base").alias("id"), "sequence"
     )
-    named = _suffixed(entries).select("file", "id", "sequence")
 
     # A bare file whose text goes on after a line starting with ">" is one sequence holding that sign.
     bare_text = lookup_join(records, bare_files, "file", "left_semi").withColumn(

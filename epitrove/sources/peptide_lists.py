@@ -17,7 +17,6 @@ def read_peptide_list(spark: SparkSession, path: str, first: int | None = None)
     peptide column is.
     """
     lines = placed_records(spark, path).withColumn("line", strip(F.col("value"))).where("line <> ''")
-    lines = pin(lines.select("file", "split", "row", "line"))
     top = lines.groupBy("file").agg(F.min(F.struct("split", "row", "line")).alias("top")).select(
         "file", F.col("top.split").alias("top_split"), F.col("top.row").alias("top_row"),
         F.col("top.line").alias("top_line"),
@@ -27,7 +26,8 @@ def read_peptide_list(spark: SparkSession, path: str, first: int | None = None)
     headers = F.transform(F.split("top_line", F.coalesce("separator", F.lit(","))), lambda h: F.lower(strip(h)))
     top = top.withColumn("column", F.array_position(headers, "peptide").cast("int"))
 
-    # At most one row per file.
+    # One row per file. It is kept, as the line it names must be the same in every later job.
+    top = pin(top)
     read = lookup_join(lines, top, "file", "inner")
     is_header = (
         (F.col("column") > 0) & (F.col("split") == F.col("top_split")) & (F.col("row") == F.col("top_row"))
