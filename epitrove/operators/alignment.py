@@ -174,4 +174,6 @@ def align_references(references: DataFrame, profile: DataFrame, group_size: int
         .cogroup(copies.select("protein_key", "part", "position", "shares").groupBy("protein_key", "part"))
         .applyInPandas(_align_pandas, "protein_key string, raw_sequence string, aligned_sequence string")
     )
-    return salted_join(keyed, aligned, ["protein_key", "raw_sequence"], "left").drop("protein_key")
+    return salted_join(keyed, aligned, ["protein_key", "raw_sequence"], "left").select(
+        *references.columns, "aligned_sequence"
+    )

@@ -251,7 +251,7 @@ def peptide_proportion_lookup(aligned: DataFrame, tallies: DataFrame, unique: bo
     text = F.when(F.length("peptide_aligned") > 0, F.col("peptide_aligned")).otherwise(F.col("peptide"))
     keyed = aligned.withColumn("key", F.upper(ungapped(text)))
     joined = salted_join(keyed, shares, ["start", "length", "key"], "left")
-    return joined.withColumn("proportion", F.coalesce("proportion", F.lit(0.0))).drop("key")
+    return joined.select(*aligned.columns, F.coalesce("proportion", F.lit(0.0)).alias("proportion"))
 
 
 def aligned_summary(aligned: DataFrame) -> DataFrame:
