@@ -96,8 +96,10 @@ def filter_nonblank(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(is_nonblank(quoted(name)))
 
 
-def search_values(rows: DataFrame, name: str, text: str) -> DataFrame:
-    """Rows whose value contains ``text`` in any case; ``%`` and ``_`` in it are wildcards."""
+def search_values(rows: DataFrame, name: str, text: str, literal: bool = False) -> DataFrame:
+    """Rows whose value contains ``text`` in any case; ``%`` and ``_`` are wildcards unless ``literal``."""
+    if literal:
+        return rows.where(F.contains(F.lower(quoted(name)), F.lit(text.lower())))
     return rows.where(quoted(name).ilike(f"%{text}%"))
 
 

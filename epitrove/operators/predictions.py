@@ -164,8 +164,13 @@ def min_percentile_by_peptide(
     return rows.groupBy("peptide").agg(value.alias("pct"))
 
 
-def available_lengths(predictions: DataFrame, requested: tuple[int, int]) -> DataFrame:
-    """Per sequence the requested lengths that occur in it; all of them when none at all occurs."""
+def available_lengths(
+    predictions: DataFrame, requested: tuple[int, int], sequences: DataFrame | None = None
+) -> DataFrame:
+    """Per sequence the requested lengths that occur in it; all of them when none at all occurs.
+
+    ``sequences`` adds sequences (``seq_no``) that have no predictions yet.
+    """
     low, high = min(requested), max(requested)
     asked = F.sequence(F.lit(low), F.lit(high))
     seen = predictions.select(
@@ -173,6 +178,8 @@ def available_lengths(predictions: DataFrame, requested: tuple[int, int]) -> Dat
     ).distinct()
     # Distinct peptide lengths of one sequence: a short list.
     found = seen.groupBy("seq_no").agg(F.collect_set("length").alias("lengths"))
+    if sequences is not None:
+        found = sequences.select("seq_no").distinct().join(found, "seq_no", "left")
     offered = F.when(F.size("lengths") > 0, F.array_intersect(asked, "lengths")).otherwise(asked)
     return found.select("seq_no", F.explode(offered).alias("length"))
 

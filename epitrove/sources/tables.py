@@ -61,6 +61,11 @@ def read_allele_list(table: DataFrame, names: Sequence[str]) -> DataFrame:
     return table.select(allele).where(F.col("allele") != "").distinct().orderBy("allele")
 
 
+def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All columns as text. A file whose header differs from the first one's is an error, not a mix-up."""
+    return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, **options)
+
+
 def _header_key(header: str) -> str:
     return re.sub(r"\s+", "_", header.lower())
 
@@ -75,7 +80,7 @@ def _attribute_source(headers: dict[str, str], number: int) -> str | None:
 
 def read_peptides_csv(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded peptides from quoted CSV files: peptide, protein and up to three attributes."""
-    table = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+    table = _csv(spark, path, quote='"', escape='"')
     headers = {_header_key(column): column for column in table.columns}
 
     def cell(column: str | None) -> Column:
@@ -95,7 +100,7 @@ def read_peptides_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_peptides_csv_simple(spark: SparkSession, path: str) -> DataFrame:
     """Peptide and protein columns of unquoted CSV files; no ``peptide`` header, no rows."""
-    table = spark.read.csv(path, header=True, quote="", inferSchema=False)
+    table = _csv(spark, path, quote="")
     headers = {column.strip().lower(): column for column in reversed(table.columns)}
     if "peptide" not in headers:
         return spark.createDataFrame([], "peptide string, protein string")
@@ -107,7 +112,7 @@ def read_peptides_csv_simple(spark: SparkSession, path: str) -> DataFrame:
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Annotated predictions: trimmed names, upper-case peptide and roots, numeric measures."""
-    table = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+    table = _csv(spark, path, quote='"', escape='"')
     require_columns(table, ["protein", "allele", "peptide", "root", "proportion_all", "netmhcpan_el_percentile"])
     text = {
         "protein": strip(F.coalesce("protein", F.lit(""))),
@@ -121,7 +126,7 @@ def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_predictions_csv_wide(spark: SparkSession, path: str) -> DataFrame:
     """Allele, peptide and both percentiles of wide CSV files; the other columns are not parsed."""
-    header = spark.read.csv(path, header=True, inferSchema=False)
+    header = _csv(spark, path)
     names = [field.split(" ")[0] for field in PREDICTION_SCHEMA.split(", ")]
     require_columns(header, names)
     return header.select(

@@ -159,6 +159,8 @@ def test_value_pages(isolates):
     assert [r[0] for r in val.page_values(isolates, "host", "h").collect()] == ["Gallus", "Homo sapiens"]
     assert [r[0] for r in val.page_values(isolates, "host", "o_x").collect()] == []
     assert [r[0] for r in val.page_values(isolates, "host", "O%AP").collect()] == ["Homo sapiens"]
+    assert flt.search_values(isolates, "host", "O%AP", literal=True).count() == 0
+    assert flt.search_values(isolates, "host", "o SAP", literal=True).count() == 2
     assert [r[0] for r in val.page_values(isolates, "host", offset=1).collect()] == ["Homo sapiens"]
 
 

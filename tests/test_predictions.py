@@ -103,6 +103,8 @@ def test_peptide_minima(scan):
 
 def test_lengths_and_labels(spark, scan):
     assert rows(prd.available_lengths(scan, (5, 4))) == [(1, 4), (2, 4), (2, 5)]
+    more = spark.createDataFrame([(2,), (3,)], "seq_no int")
+    assert rows(prd.available_lengths(scan, (4, 5), more)) == [(2, 4), (2, 5), (3, 4), (3, 5)]
     names = spark.createDataFrame([(2, "two"), (3, "three")], "seq_no int, id string")
     assert {r["label"] for r in prd.label_sequences(scan, names).collect()} == {"seq1", "two"}
 

@@ -133,6 +133,12 @@ def test_predictions_csv(spark, tmp_path):
         ("HA", "B", "GH", "", 1.5, None), ("M1", "A", "AC", "AC;DE", None, 0.5)]
 
 
+def test_differing_headers_are_an_error(spark, tmp_path):
+    path = folder(tmp_path, a="peptide,protein\nAC,M1\n", b="protein,peptide\nM1,AC\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_peptides_csv(spark, path).collect()
+
+
 def test_wide_predictions_need_their_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="netmhcpan_el_percentile"):
         tables.read_predictions_csv_wide(spark, folder(tmp_path, a="allele,peptide\nA,B\n"))

@@ -475,7 +475,7 @@ SELECT protein, max(n) AS lanes FROM (SELECT p.protein, p.position, count(*) AS
 GROUP BY protein"""),
     "generate_peptides": sql("frequencies", """
 , f AS MATERIALIZED (SELECT protein, aminoacid, position, dense_rank() OVER (PARTITION BY protein ORDER BY position) AS nth
-  FROM frequencies WHERE frequency_all >= total_all * 0.0016 AND aminoacid <> '-' AND protein <> 'HA'),
+  FROM frequencies WHERE frequency_all >= total_all * 0.0007 + 4 AND aminoacid <> '-' AND protein <> 'HA'),
 grown AS (WITH RECURSIVE g(protein, nth, size, start_position, end_position, peptide) AS (
   SELECT protein, nth, 1, position, position, aminoacid FROM f UNION ALL
   SELECT g.protein, f.nth, g.size + 1, g.start_position, f.position, g.peptide || f.aminoacid

@@ -25,7 +25,7 @@ SELECTED = "MKTAYIAKQ"
 PICKED = ad.ALLELES[:2]
 UPLOAD_COLUMNS = ["peptide", "protein", "attribute_1", "attribute_2", "attribute_3"]
 METHOD = "netmhcpan_el"
-FREQUENT_SHARE = 0.0016
+FREQUENT_SHARE, FREQUENT_LEAST = 0.0007, 4
 
 
 def query(function: Query) -> Query:
@@ -722,8 +722,8 @@ def max_overlap_depth(spark, sf):
 
 @query
 def generate_peptides(spark, sf):
-    """The bound is a share of the isolates, as a fixed one would not suit every table size."""
-    at_least = F.col("total_all") * FREQUENT_SHARE
+    """The bound follows the number of isolates, as a fixed one would not suit every table size."""
+    at_least = F.col("total_all") * FREQUENT_SHARE + FREQUENT_LEAST
     return pep.generate_peptides(ad.stored_frequencies(spark, sf), at_least, (8, 9), {"HA"})
 
 
