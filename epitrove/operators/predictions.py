@@ -44,10 +44,13 @@ def merge_predictions(cached: DataFrame, fresh: DataFrame, order: Sequence[str]
     later. The maximum is taken within each task before the shuffle.
     """
     kept = [c for c in cached.columns if c not in ("allele", "peptide")]
-    both = cached.withColumn("__source", F.lit(0)).unionByName(fresh.withColumn("__source", F.lit(1)))
-    place = F.struct("__source", *(order or kept))
-    last = both.groupBy("allele", "peptide").agg(F.max_by(F.struct(*kept), place).alias("last"))
-    return last.select("allele", "peptide", "last.*")
+
+    def latest(rows: DataFrame, name: str) -> DataFrame:
+        last = F.max_by(F.struct(*kept), F.struct(*(order or kept)))
+        return rows.groupBy("allele", "peptide").agg(last.alias(name))
+
+    both = latest(cached, "old").join(latest(fresh, "new"), ["allele", "peptide"], "full")
+    return both.select("allele", "peptide", F.coalesce("new", "old").alias("last")).select("allele", "peptide", "last.*")
 
 
 def restrict_predictions(predictions: DataFrame, workset: DataFrame, alleles: Sequence[str]) -> DataFrame:

@@ -155,13 +155,14 @@ def _leading(tallies: DataFrame, group: Sequence[str], metric: str, most: int) -
 def top_candidates_by_window(tallies: DataFrame, most: int = TOP_CANDIDATES, by: Sequence[str] = ()) -> DataFrame:
     """Peptides among the first ``most`` of their window by either share, with both exact ranks.
 
-    A candidate's rank is one more than the number of peptides before it. They are counted by an
+    The tallies are read several times: store them first. A candidate's rank is one more than the number of peptides before it. They are counted by an
     aggregate, so that a window with very many peptides is not sorted in one task.
     """
     group = [*by, *WINDOW]
-    chosen = _leading(tallies, group, "proportion_all", most).unionByName(
-        _leading(tallies, group, "proportion_unique", most)
-    ).distinct()
+    # Both sets are partitioned by window already; a full join on all columns is their union.
+    chosen = _leading(tallies, group, "proportion_all", most).join(
+        _leading(tallies, group, "proportion_unique", most), tallies.columns, "full"
+    )
     rival = F.struct(
         F.col("peptide").alias("rival"),
         F.col("proportion_all").alias("rival_all"),

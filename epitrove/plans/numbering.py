@@ -32,7 +32,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFra
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_PART, F.coalesce(F.sum("size").over(before), F.lit(0)).alias(_OFFSET))
     return (
-        lookup_join(placed, offsets, _PART, "inner", at_most=placed.rdd.getNumPartitions())
+        lookup_join(placed, offsets, _PART, "inner")
         .withColumn(name, F.col(_INDEX) + F.col(_OFFSET) + F.lit(1))
         .drop(_PART, _INDEX, _OFFSET)
     )

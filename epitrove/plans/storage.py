@@ -1,4 +1,4 @@
-"""Checkpoint and scratch locations on the storage the cluster names."""
+"""Scratch tables on the storage the cluster names."""
 
 from __future__ import annotations
 
@@ -34,8 +34,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that later jobs see the very same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` below the shared folder and read it back.
+
+    Later jobs see the very same rows, an executor that is lost takes nothing with it, and the
+    planner knows the size of what it reads.
+    """
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from epitrove.operators import tallies as tly
+from epitrove.plans.storage import pin
 
 SEQUENCES = ["MKTAYIAK"] * 5 + ["MKTVYIAK"] * 3 + ["MK-AYIAK", "mktayiak", "MKT", ""]
 
@@ -76,6 +77,15 @@ def test_candidates_carry_both_exact_ranks(spark):
         assert ours == ranked_by_hand(part, 5)
 
 
+def test_candidates_of_stored_tallies_are_listed_once(spark):
+    table = spark.range(3000).select(F.concat(
+        F.lit("MK"), *[F.substring(F.md5(F.col("id").cast("string")), i, 1) for i in range(1, 9)]).alias("sequence"))
+    tallies = pin(tly.window_tallies(table, [(s, n) for s in range(1, 6) for n in (2, 3, 4)]))
+    candidates = tly.top_candidates_by_window(tallies)
+    listed = [(r["start"], r["len"], r["peptide"]) for r in candidates.collect()]
+    assert len(listed) == len(set(listed)) == candidates.count()
+
+
 ALIGNED = ("protein string, peptide string, start int, length int, peptide_aligned string")
 
 

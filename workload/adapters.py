@@ -139,15 +139,30 @@ def live_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return position_frequencies(filter_isolates(isolates(spark, sf), NON_HUMAN))
 
 
-def upload_tallies(spark: SparkSession, sf: str, protein: str = "M1") -> DataFrame:
+def upload_tallies(spark: SparkSession, sf: str, protein: str = "M1", placed: DataFrame | None = None) -> DataFrame:
     """Tallies of one protein over the windows of its aligned uploads."""
-    windows = distinct_windows(aligned(spark, sf)).where(F.col("protein") == protein)
+    placed = aligned(spark, sf) if placed is None else placed
+    windows = distinct_windows(placed).where(F.col("protein") == protein)
     kept = filter_isolates(isolates(spark, sf), IsolateFilter(protein=protein))
     return window_tallies(kept, windows, ["protein"]).drop("protein")
 
 
+def uploads_and_tallies(spark: SparkSession, sf: str, protein: str = "M1") -> tuple[DataFrame, DataFrame]:
+    """Aligned uploads, kept because they are used twice, and the tallies of their windows."""
+    placed = pin(aligned(spark, sf))
+    return placed, upload_tallies(spark, sf, protein, placed)
+
+
+def uploads_and_candidates(
+    spark: SparkSession, sf: str, protein: str = "M1"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Aligned uploads, stored tallies and the top candidates, which read the tallies several times."""
+    placed, tallies = uploads_and_tallies(spark, sf, protein)
+    tallies = pin(tallies)
+    return placed, tallies, top_candidates_by_window(tallies)
+
+
 def annotated(spark: SparkSession, sf: str, protein: str = "M1") -> DataFrame:
-    tallies = pin(upload_tallies(spark, sf, protein))
-    placed = aligned(spark, sf)
-    roots = window_roots(placed, top_candidates_by_window(tallies), protein)
+    placed, tallies, candidates = uploads_and_candidates(spark, sf, protein)
+    roots = window_roots(placed, candidates, protein)
     return annotate_predictions(predictions(spark, sf), tallies, roots, protein)

@@ -539,14 +539,15 @@ def mismatch_template(spark, sf):
 
 @query
 def peptide_proportion_lookup(spark, sf):
-    placed = ad.aligned(spark, sf).where("protein = 'M1'").select("peptide_id", "peptide", "peptide_aligned", "start", "length")
-    return tly.peptide_proportion_lookup(placed, ad.upload_tallies(spark, sf)).select("peptide_id", "proportion")
+    placed, tallies = ad.uploads_and_tallies(spark, sf)
+    placed = placed.where("protein = 'M1'").select("peptide_id", "peptide", "peptide_aligned", "start", "length")
+    return tly.peptide_proportion_lookup(placed, tallies).select("peptide_id", "proportion")
 
 
 @query
 def window_roots(spark, sf):
-    candidates = tly.top_candidates_by_window(ad.upload_tallies(spark, sf))
-    return tly.window_roots(ad.aligned(spark, sf), candidates, "M1")
+    placed, _, candidates = ad.uploads_and_candidates(spark, sf)
+    return tly.window_roots(placed, candidates, "M1")
 
 
 @query
@@ -608,7 +609,8 @@ def upload_window_tallies(spark, sf):
 
 @query
 def peptide_tallies(spark, sf):
-    return tly.peptide_tallies(ad.aligned(spark, sf), ad.upload_tallies(spark, sf), "M1")
+    placed, tallies = ad.uploads_and_tallies(spark, sf)
+    return tly.peptide_tallies(placed, tallies, "M1")
 
 
 @query
@@ -662,12 +664,14 @@ def aligned_summary(spark, sf):
 
 @query
 def conserved_summary(spark, sf):
-    return tly.conserved_summary(ad.aligned(spark, sf), ad.upload_tallies(spark, sf), "M1")
+    placed, tallies = ad.uploads_and_tallies(spark, sf)
+    return tly.conserved_summary(placed, tallies, "M1")
 
 
 @query
 def frequency_summary(spark, sf):
-    return tly.frequency_summary(ad.aligned(spark, sf), ad.upload_tallies(spark, sf), "M1")
+    placed, tallies = ad.uploads_and_tallies(spark, sf)
+    return tly.frequency_summary(placed, tallies, "M1")
 
 
 @query
@@ -729,7 +733,7 @@ def generate_peptides(spark, sf):
 
 @query
 def class_one_workset(spark, sf):
-    candidates = tly.top_candidates_by_window(ad.upload_tallies(spark, sf))
+    candidates = ad.uploads_and_candidates(spark, sf)[2]
     return pep.class_one_workset(ad.uploads(spark, sf), candidates, "M1")
 
 
@@ -755,7 +759,7 @@ def rank_facet_residue(spark, sf):
 
 @query
 def top_candidates_by_window(spark, sf):
-    return tly.top_candidates_by_window(ad.upload_tallies(spark, sf))
+    return ad.uploads_and_candidates(spark, sf)[2]
 
 
 @query
