@@ -1,8 +1,11 @@
-"""A local session for tests and measurements; a cluster brings its own."""
+"""A local session for tests and measurements, and the package on every worker of any session."""
 
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,22 @@ def local_session(cpus: str | None = None, app: str = "epitrove") -> SparkSessio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's application, once.
+
+    Workers start in a folder of their own, and functions travel to them by name.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:  # read by this process only, which serves it to the executors
+        copied = Path(folder) / "tree"
+        shutil.copytree(root, copied / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder) / root.name), "zip", copied))
+    _shipped.add(application)
