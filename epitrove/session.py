@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -39,8 +40,9 @@ def ship_package(spark: SparkSession) -> None:
     if application in _shipped:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:  # read by this process only, which serves it to the executors
-        copied = Path(folder) / "tree"
-        shutil.copytree(root, copied / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder) / root.name), "zip", copied))
+    # Only this process reads the file: it serves it to the executors as long as it lives.
+    folder = Path(tempfile.mkdtemp(prefix="epitrove-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(root, folder / "tree" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / root.name), "zip", folder / "tree"))
     _shipped.add(application)
