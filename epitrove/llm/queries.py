@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import minhash, substring_dedup
+from epitrove.llm import minhash, packing, substring_dedup
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,8 +22,20 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), size=3, percent=85)
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that sequences are packed with; installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder), tokenizer_path(), most=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_minhash": op4_minhash,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
