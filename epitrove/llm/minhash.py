@@ -183,13 +183,9 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _confirmed(placed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``placed``: node, bundle, part. Texts are fetched by id; a bundle is what one call compares."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return (
-        placed.join(texts, placed.node == texts.doc_id).select("bundle", "part", "doc_id", "text")
-        .groupBy("bundle").applyInArrow(_confirm(size, percent), "a long, b long")
-    )
+def _confirmed(placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """``placed``: bundle, part, doc_id, text. A bundle is what one call compares."""
+    return placed.groupBy("bundle").applyInArrow(_confirm(size, percent), "a long, b long")
 
 
 def _block(of: str, among: str) -> F.Column:
@@ -203,24 +199,28 @@ def confirmed_links(candidates: DataFrame, docs: DataFrame, size: int, percent:
     ``candidates`` (a, b) are links of which the components are the families.
     """
     families = components(candidates).withColumnRenamed("component", "family")
-    counted = pin(families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family"))
+    counted = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # The only join with all texts; later steps read the texts of families alone.
+    held = pin(counted.join(texts, F.col("node") == F.col("doc_id")).drop("node"))
     # Small families go together in bundles of about a block; of a large one each block is a bundle.
-    small = counted.where(F.col("members") <= BLOCK)
+    small, large = held.where(F.col("members") <= BLOCK), held.where(F.col("members") > BLOCK)
     bundles = F.ceil(F.lit(small.count() + 1) / BLOCK)
-    placed = small.select("node", F.pmod(F.xxhash64("family"), bundles).cast("string").alias("bundle"), F.col("family").alias("part"))
-    large = counted.where(F.col("members") > BLOCK)
+    placed = small.select(F.pmod(F.xxhash64("family"), bundles).cast("string").alias("bundle"), F.col("family").alias("part"), "doc_id", "text")
     if large.isEmpty():
-        return _confirmed(placed, docs, size, percent)
-    blocks = F.ceil(F.col("members") / BLOCK)
-    anchors = Window.partitionBy("family").orderBy("node")
-    anchor = large.withColumn("n", F.row_number().over(anchors)).where(F.col("n") <= ANCHORS)
-    first = large.select("node", "family", _block("node", "members").alias("block")).unionByName(
-        anchor.select("node", "family", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))).distinct()
-    placed = placed.unionByName(first.select("node", F.concat_ws("/", "family", "block").alias("bundle"), F.col("family").alias("part")))
-    links = pin(_confirmed(placed, docs, size, percent))
+        return _confirmed(placed, size, percent)
+    least = Window.partitionBy("family").orderBy("doc_id")
+    anchors = large.select("family", "doc_id").withColumn("n", F.row_number().over(least)).where(F.col("n") <= ANCHORS).select("family", "doc_id")
+    anchors = large.select("family", "doc_id", "members").distinct().join(anchors.distinct(), ["family", "doc_id"])
+    anchors = anchors.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1)).alias("block"))
+    first = large.select("doc_id", "family", _block("doc_id", "members").alias("block"), "text").unionByName(
+        large.join(anchors, "doc_id").select("doc_id", "family", "block", "text"))
+    placed = placed.unionByName(first.select(F.concat_ws("/", "family", "block").alias("bundle"), F.col("family").alias("part"), "doc_id", "text"))
+    links = pin(_confirmed(placed, size, percent))
     # Large families: what still falls apart is compared with all else of the family.
     found = components(links)
-    split = large.join(found, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    large = large.withColumnRenamed("doc_id", "node")
+    split = large.select("node", "family").distinct().join(found, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     split = split.join(split.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")), ["family", "component"])
     strays = split.where(F.col("held") <= BLOCK).groupBy("family").agg(F.count(F.lit(1)).alias("strays"))
     block = F.when(F.col("held") > BLOCK, F.concat_ws("/", "component", _block("node", "held"))).otherwise(
@@ -232,7 +232,8 @@ def confirmed_links(candidates: DataFrame, docs: DataFrame, size: int, percent:
     meet = left.join(right, "family").where("l.block <= r.block and not (l.pure is not null and r.pure is not null and l.pure = r.pure)")
     meet = meet.select("family", F.explode(F.array_distinct(F.array("l.block", "r.block"))).alias("block"), F.concat_ws("+", "family", "l.block", "r.block").alias("bundle"))
     second = split.join(meet, ["family", "block"]).select("node", "bundle", F.col("family").alias("part"))
-    return links.unionByName(_confirmed(second, docs, size, percent))
+    second = large.select("node", "text").join(second, "node").select("bundle", "part", F.col("node").alias("doc_id"), "text")
+    return links.unionByName(_confirmed(second, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
