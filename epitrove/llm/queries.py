@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import minhash, packing, substring_dedup
+from epitrove.llm import minhash, packing, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), size=3, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that sequences are packed with; installed on every worker."""
     import public_tokenizers
@@ -36,6 +40,7 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

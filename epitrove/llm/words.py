@@ -19,6 +19,9 @@ _MODULUS = 1 << 64
 _BASE_INVERSE = pow(_BASE, -1, _MODULUS)
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_LETTERS = np.ones(256, bool)
+"""For ``Words``: words are runs of ASCII letters and of bytes of longer characters."""
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -76,30 +79,35 @@ class Words:
     ``first`` has the number of words before each document, and the total as its last entry.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False) -> None:
+    def __init__(self, column: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACES) -> None:
         data, offsets = text_bytes(column)
         self.data, self.offsets = data, offsets
         if lower:
             data = LOWER[data]
-        inside = ~_SPACES[data]
-        breaks = np.zeros(len(data) + 1, bool)
-        breaks[offsets] = True
+        inside = ~breaks[data]
+        edges = np.zeros(len(data) + 1, bool)
+        edges[offsets] = True
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
         if len(data):
-            before[1:] = ~inside[:-1] | breaks[1:-1]
-            after[:-1] = ~inside[1:] | breaks[1:-1]
+            before[1:] = ~inside[:-1] | edges[1:-1]
+            after[:-1] = ~inside[1:] | edges[1:-1]
         self.starts = np.flatnonzero(inside & before)
         self.ends = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data) + 1)[:len(data)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * powers(_BASE_INVERSE, len(data) + 1)[self.starts])
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data) + 1)[:len(data)], out=self._sums[1:])
+        self.hashes = self.prefixes(None)
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def prefixes(self, size: int | None) -> np.ndarray:
+        """A hash of the first ``size`` bytes of each word; of all if None."""
+        ends = self.ends if size is None else np.minimum(self.ends, self.starts + size)
+        return mix((self._sums[ends] - self._sums[self.starts]) * powers(_BASE_INVERSE, len(self.data) + 1)[self.starts])
+
     def windows(self, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words within one document, and the word each starts at."""
         if len(self) < size:
