@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import minhash, packing, substring_dedup, toxicity
+from epitrove.llm import language_id, minhash, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.cut_repeats(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(_documents(spark, folder).select("doc_id", "text"), count=16)
+
+
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), size=3, percent=85)
 
@@ -37,10 +41,33 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), tokenizer_path(), most=2048, end_id=0)
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules_table(spark, URL_RULES))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(_documents(spark, folder).select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_sharding": op2_sharding,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_url_filter": op9_url_filter,
+    "op10_language_id": op10_language_id,
+}
+ORACLES: dict[str, str] = {
+    "op9_url_filter": url_filter.oracle_sql(URL_RULES),
 }
-ORACLES: dict[str, str] = {}
