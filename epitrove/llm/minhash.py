@@ -201,8 +201,9 @@ def confirmed_links(candidates: DataFrame, docs: DataFrame, size: int, percent:
     families = components(candidates).withColumnRenamed("component", "family")
     counted = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The only join with all texts; later steps read the texts of families alone.
-    held = pin(counted.join(texts, F.col("node") == F.col("doc_id")).drop("node"))
+    # The only join with all texts; later steps read the texts of families alone. The members grow
+    # with the documents, so they are never broadcast.
+    held = pin(counted.hint("merge").join(texts, F.col("node") == F.col("doc_id")).drop("node"))
     # Small families go together in bundles of about a block; of a large one each block is a bundle.
     small, large = held.where(F.col("members") <= BLOCK), held.where(F.col("members") > BLOCK)
     bundles = F.ceil(F.lit(small.count() + 1) / BLOCK)
