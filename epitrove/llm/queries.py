@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import language_id, minhash, packing, sharding, substring_dedup, toxicity, url_filter
+from epitrove.llm import fingerprints, language_id, minhash, mixing, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, folder).select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that sequences are packed with; installed on every worker."""
     import public_tokenizers
@@ -41,6 +45,15 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), tokenizer_path(), most=2048, end_id=0)
 
 
+SOURCE_WEIGHTS = {"src0": 4.0} | {f"src{n}": 1.0 for n in range(1, 20)}
+"""Target weights: the source with a third of all documents gets four times the share of any other."""
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "source")
+    return mixing.mix(docs, SOURCE_WEIGHTS)
+
+
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -64,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
