@@ -262,3 +262,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
                 F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id.
+
+    Of rows that repeat an id the one with the smallest text stays. Rows without an id all stay.
+    """
+    found = near_duplicates(docs, size, percent)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    repeated = pin(repeated)
+    # Neither list has a bound, so neither is broadcast.
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    rest = kept.join(repeated.hint("merge"), F.col("doc_id") == F.col("again"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    again = kept.join(repeated.hint("merge"), F.col("doc_id") == F.col("again"), "left_semi")
+    again = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return rest.unionByName(again)

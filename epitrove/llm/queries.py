@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import fingerprints, language_id, minhash, mixing, packing, sharding, substring_dedup, toxicity, url_filter
+from epitrove.llm import embedding_dedup, fingerprints, language_id, minhash, mixing, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(_documents(spark, folder).select("doc_id", "text"), count=16)
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicates(vectors, threshold=0.9)
+
+
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), size=3, percent=85)
 
@@ -75,6 +80,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
