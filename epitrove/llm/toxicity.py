@@ -7,6 +7,7 @@ with the logistic loss. When the corrected negative part falls below zero the st
 so the classifier can't profit from fitting the unlabelled texts by heart.
 
 Training uses at most ``POSITIVES`` positive and ``UNLABELLED`` other texts, chosen by a hash of the id.
+Their features are counted on the executors; only those that mark the positives reach the driver.
 Scoring reads every text whole, on the executors, where it lies.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from epitrove.llm.folds import held_out
 from epitrove.llm.words import NOT_LETTERS, Words, mix, slices
+from epitrove.plans.storage import pin
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 BUCKET_BITS = 20
@@ -50,40 +52,50 @@ def features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarra
     return (pairs & mask).astype(np.int32), np.searchsorted(pairs >> BUCKET_BITS, np.arange(len(texts) + 1))
 
 
-def _featured():
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many positive and other texts of a task have each feature."""
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for batch in batches:
+        for start, end in slices(batch.column("text")):
+            part = batch.slice(start, end - start)
+            buckets, bounds = features(part.column("text"))
+            positive = np.repeat(part.column("positive").to_numpy(zero_copy_only=False), np.diff(bounds))
+            counts[0] += np.bincount(buckets[positive], minlength=1 << BUCKET_BITS)
+            counts[1] += np.bincount(buckets[~positive], minlength=1 << BUCKET_BITS)
+    held = np.flatnonzero(counts.any(axis=0))
+    for start in range(0, len(held), 50_000):
+        own = held[start:start + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0][own]), pa.array(counts[1][own])], names=["bucket", "ours", "others"])
+
+
+def _featured(used: np.ndarray):
+    """The places in ``used`` of each text's features."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = np.zeros(1 << BUCKET_BITS, bool)
+        active[used] = True
         for batch in batches:
             for start, end in slices(batch.column("text")):
                 part = batch.slice(start, end - start)
-                buckets, bounds = features(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(buckets))
-                yield pa.RecordBatch.from_arrays([part.column("positive"), lists], names=["positive", "buckets"])
+                buckets, bounds = features(part.column("text"), active)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.searchsorted(used, buckets).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("positive"), lists], names=["positive", "places"])
 
     return run
 
 
-def train(positive: np.ndarray, buckets: np.ndarray, bounds: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets in use and their weights, and the constant as one weight more; steps of Adam on the whole sample."""
+def train(positive: np.ndarray, places: np.ndarray, bounds: np.ndarray, count: int, prior: float) -> np.ndarray:
+    """Weights of ``count`` features, and the constant as one weight more; steps of Adam on the whole sample."""
     ours, others = int(positive.sum()), int((~positive).sum())
-    doc = np.repeat(np.arange(len(positive)), np.diff(bounds))
     share = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not ours or not others:
-        return np.zeros(0, np.int64), np.array([share])
-    of = positive[doc]
-    held = np.bincount(buckets[of], minlength=1 << BUCKET_BITS)
-    p, u = held / ours, np.bincount(buckets[~of], minlength=1 << BUCKET_BITS) / others
-    errors = np.sqrt(p * (1 - p) / ours + u * (1 - u) / others + 1e-9)
-    used = np.flatnonzero((held >= LEAST_TEXTS) & (p - u > LEAST_SCORE * errors))
-    place = np.full(1 << BUCKET_BITS, -1)
-    place[used] = np.arange(len(used))
-    kept = place[buckets] >= 0
-    buckets, doc = place[buckets[kept]], doc[kept]
-
-    weights = np.append(np.zeros(len(used)), share)
+        return np.append(np.zeros(count), share)
+    doc = np.repeat(np.arange(len(positive)), np.diff(bounds))
+    weights = np.append(np.zeros(count), share)
     mean, square = np.zeros(len(weights)), np.zeros(len(weights))
     pull = np.empty(len(positive))
     for step in range(1, STEPS + 1):
-        logit = np.bincount(doc, weights[buckets], minlength=len(positive)) + weights[-1]
+        logit = np.bincount(doc, weights[places], minlength=len(positive)) + weights[-1]
         chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         negative = np.logaddexp(0, logit[~positive]).mean() - prior * np.logaddexp(0, logit[positive]).mean()
         if negative >= 0:
@@ -93,10 +105,10 @@ def train(positive: np.ndarray, buckets: np.ndarray, bounds: np.ndarray, prior:
         else:
             pull[positive] = prior * chance[positive] / ours
             pull[~positive] = -chance[~positive] / others
-        slope = np.append(np.bincount(buckets, pull[doc], minlength=len(used)) + DECAY * weights[:-1], pull.sum())
+        slope = np.append(np.bincount(places, pull[doc], minlength=count) + DECAY * weights[:-1], pull.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         weights = weights - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-    return used, weights
+    return weights
 
 
 def _sums(weights: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -140,18 +152,21 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     others = named.select("doc_id").distinct().select("doc_id", F.lit(False).alias("positive"))
     chosen = ours.unionByName(others.orderBy(order, "doc_id").limit(unlabelled))
     # At most positives + unlabelled ids, so they go to every task.
-    rows = named.join(F.broadcast(chosen), "doc_id").mapInArrow(_featured(), "positive boolean, buckets array<int>").toArrow().combine_chunks()
-    lists = rows["buckets"].combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+    sample = pin(named.join(F.broadcast(pin(chosen)), "doc_id").select("text", "positive"))
+    ours, others = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    counts = sample.mapInArrow(_counted, "bucket long, ours long, others long").groupBy("bucket").agg(F.sum("ours").alias("ours"), F.sum("others").alias("others"))
+    p, u = F.col("ours") / float(max(ours, 1)), F.col("others") / float(max(others, 1))
+    errors = F.sqrt(p * (1 - p) / float(max(ours, 1)) + u * (1 - u) / float(max(others, 1)) + 1e-9)
+    # No more than there are buckets, and of these only what marks the positives.
+    telling = counts.where((F.col("ours") >= LEAST_TEXTS) & (p - u > LEAST_SCORE * errors)).select("bucket")
+    used = np.sort(np.array([r[0] for r in telling.collect()], np.int64))
+    rows = sample.mapInArrow(_featured(used), "positive boolean, places array<int>").toArrow().to_pylist()
     # The order in which rows arrive must not matter.
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    positive = np.asarray(rows["positive"].to_numpy(zero_copy_only=False), bool)
-    marks = [(bool(positive[n]), flat[bounds[n]:bounds[n + 1]].tobytes()) for n in range(len(sizes))]
-    order = sorted(range(len(sizes)), key=marks.__getitem__)
-    flat = np.concatenate([flat[bounds[n]:bounds[n + 1]] for n in order]) if order else flat
-    bounds = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64) if order else bounds
-    return train(positive[order], flat, bounds, toxic / known if known else 0.0)
+    rows.sort(key=lambda r: (r["positive"], r["places"]))
+    places = np.array([n for r in rows for n in r["places"]], np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(r["places"]) for r in rows])]).astype(np.int64)
+    positive = np.array([r["positive"] for r in rows], bool)
+    return used, train(positive, places, bounds, len(used), toxic / known if known else 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
