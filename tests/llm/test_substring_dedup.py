@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from llm_fixtures import collected, odd_documents, some_documents, table  # noqa: F401
+
+from epitrove.llm import substring_dedup
+from epitrove.llm.substring_dedup import cut_repeats
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def brute(documents, window):
+    """(doc_id, words, removed, kept text) of each row, window by window."""
+    first = {}
+    for doc_id, text in documents:
+        words = words_of(text)
+        for at in range(len(words) - window + 1):
+            run = tuple(words[at:at + window])
+            if doc_id is not None:
+                first[run] = min(first.get(run, doc_id), doc_id)
+    out = []
+    for doc_id, text in documents:
+        words = words_of(text)
+        gone = [False] * len(words)
+        for at in range(len(words) - window + 1):
+            if doc_id is not None and first[tuple(words[at:at + window])] < doc_id:
+                gone[at:at + window] = [True] * window
+        out.append((doc_id, len(words), sum(gone), " ".join(w for w, g in zip(words, gone) if not g)))
+    return sorted(out, key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("window", [13, 4, 1])
+@pytest.mark.parametrize("chunk", [4_000_000, 3_000])
+def test_equals_brute_force(table, some_documents, monkeypatch, window, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    found = cut_repeats(table(some_documents), window).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert collected(found) == brute(some_documents, window)
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 500])
+def test_odd_documents(table, odd_documents, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    found = cut_repeats(table(odd_documents), 13).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert collected(found) == brute(odd_documents, 13)
+
+
+def test_empty_table(table):
+    assert cut_repeats(table([])).collect() == []
+
+
+def test_clashing_columns_come_along(table):
+    docs = table([(1, "a b c"), (2, "a b c d")], "chunk long, row string, bucket int, kept_text string", (7, "r", None, "mine"))
+    rows = {r.doc_id: r for r in cut_repeats(docs, 3).collect()}
+    assert rows[2].kept_text == "d" and rows[2].row.kept_text == "mine" and rows[2].row.chunk == 7 and rows[2].row.lang == "en"
+
+
+def test_verbatim_keeps_untouched_texts_as_they_are(table):
+    shared = " ".join("abcdefghijklmno")
+    rows = {r.doc_id: r for r in cut_repeats(table([(1, f" {shared}\n\nfirst "), (2, f"then {shared} end")]), 13, verbatim=True).collect()}
+    assert rows[1].kept_text == f" {shared}\n\nfirst "
+    assert rows[2].kept_text == "then end" and [tuple(r) for r in rows[2].repeats] == [(1, 16)]
+
+
+def test_windows_are_judged_on_the_input(table):
+    run = [f"w{n}" for n in range(26)]
+    rows = {r.doc_id: r.n_removed for r in cut_repeats(table([(1, " ".join(run[:13])), (2, " ".join(run)), (3, " ".join(run[5:]))]), 13).collect()}
+    assert rows == {1: 0, 2: 13, 3: 21}
