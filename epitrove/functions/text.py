@@ -77,7 +77,8 @@ def percentile_band(percentile: Column) -> Column:
 def partial_date(text: Column) -> Column:
     """DATE from ``YYYY``, ``YYYY-MM`` or a full date; anything else is NULL.
 
-    The shape test keeps out short forms (``2020-5``) that Spark alone would accept.
+    The shape test keeps out short forms (``2020-5``) and text after the date that Spark alone
+    would accept.
     """
     padded = (
         F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01")))
@@ -85,4 +86,4 @@ def partial_date(text: Column) -> Column:
         .otherwise(text)
     )
     dashed = F.regexp_replace(padded, r"^(\s*\d{4})/(\d{1,2})/", "$1-$2-")
-    return F.when(dashed.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), dashed).try_cast("date")
+    return F.when(dashed.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"), dashed).try_cast("date")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from epitrove.functions.text import protein_key
-from epitrove.plans.joins import lookup_join, salted_join
+from epitrove.plans.joins import lookup_join
 from epitrove.plans.storage import pin
 
 # The scoring of the alignment.
@@ -174,6 +174,6 @@ def align_references(references: DataFrame, profile: DataFrame, group_size: int
         .cogroup(copies.select("protein_key", "part", "position", "shares").groupBy("protein_key", "part"))
         .applyInPandas(_align_pandas, "protein_key string, raw_sequence string, aligned_sequence string")
     )
-    return salted_join(keyed, aligned, ["protein_key", "raw_sequence"], "left").select(
+    return lookup_join(keyed, aligned, ["protein_key", "raw_sequence"], "left").select(
         *references.columns, "aligned_sequence"
     )

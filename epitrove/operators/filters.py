@@ -100,7 +100,9 @@ def search_values(rows: DataFrame, name: str, text: str, literal: bool = False)
     """Rows whose value contains ``text`` in any case; ``%`` and ``_`` are wildcards unless ``literal``."""
     if literal:
         return rows.where(F.contains(F.lower(quoted(name)), F.lit(text.lower())))
-    return rows.where(quoted(name).ilike(f"%{text}%"))
+    # A backslash stands for itself.
+    pattern = text.replace("\\", "\\\\")
+    return rows.where(quoted(name).ilike(f"%{pattern}%"))
 
 
 def within_class(peptide: Column, mhc_class: str) -> Column:

@@ -11,7 +11,7 @@ from epitrove.functions.schema import (
 )
 from epitrove.functions.text import allele_key, is_residues_only, peptide_key, ungapped
 from epitrove.operators.filters import filter_predictions_slice
-from epitrove.plans.joins import literal_list, lookup_join, salted_join
+from epitrove.plans.joins import literal_list, lookup_join
 
 PERCENTILES = ("netmhcpan_el_percentile", "netmhcpan_ba_percentile")
 
@@ -71,25 +71,41 @@ def predictions_for_peptides(predictions: DataFrame, peptides: DataFrame) -> Dat
     ).drop("__key")
 
 
-def _by_pair(predictions: DataFrame, allele: Column, wanted: DataFrame) -> DataFrame:
-    """Percentiles by (allele key, peptide key), only for the peptides that are wanted."""
+def _by_pair(predictions: DataFrame, allele: Column, wanted: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Percentiles by (allele key, peptide key), only for the peptides that are wanted.
+
+    Of a pair's rows the last finite value of each percentile counts, by the columns ``order``.
+    Without an order pairs must not repeat; if they do, the largest value counts.
+    """
     keyed = predictions.select(
-        allele.alias("allele_key"), peptide_key(F.col("peptide")).alias("peptide_key"), *PERCENTILES
+        allele.alias("allele_key"), peptide_key(F.col("peptide")).alias("peptide_key"), *PERCENTILES,
+        F.struct(*order).alias("__order") if order else F.lit(None).alias("__order"),
     )
     needed = lookup_join(keyed, wanted.select("peptide_key").distinct(), "peptide_key", "left_semi")
-    return needed.groupBy("allele_key", "peptide_key").agg(*[F.max(p).alias(p) for p in PERCENTILES])
+
+    def last(name: str) -> Column:
+        value = F.col(name)
+        finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+        return (F.max_by(finite, F.when(finite.isNotNull(), F.col("__order"))) if order else F.max(finite)).alias(name)
+
+    return needed.groupBy("allele_key", "peptide_key").agg(*[last(p) for p in PERCENTILES])
 
 
-def overlay_percentiles(rows: DataFrame, alleles: Sequence[str], predictions: DataFrame) -> DataFrame:
-    """Every row with every chosen allele and the pair's percentiles, if known."""
+def overlay_percentiles(rows: DataFrame, alleles: Sequence[str], predictions: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Every row with every chosen allele and the pair's percentiles, if known.
+
+    ``order`` names the columns that tell later predictions of a pair; its last finite values count.
+    """
     grid = rows.withColumn("peptide_key", peptide_key(F.col("peptide"))).select(
         "*", F.explode(literal_list(alleles)).alias("allele")
     ).withColumn("allele_key", F.trim(F.upper("allele")))
-    known = _by_pair(predictions, F.trim(F.upper("allele")), grid)
-    return salted_join(grid, known, ["allele_key", "peptide_key"], "left").drop("allele_key", "peptide_key")
+    known = _by_pair(predictions, F.trim(F.upper("allele")), grid, order)
+    return lookup_join(grid, known, ["allele_key", "peptide_key"], "left").drop("allele_key", "peptide_key")
 
 
-def percentile_by_allele_key(rows: DataFrame, allele: str, predictions: DataFrame, mode: str = "EL") -> DataFrame:
+def percentile_by_allele_key(
+    rows: DataFrame, allele: str, predictions: DataFrame, mode: str = "EL", order: Sequence[str] = ()
+) -> DataFrame:
     """Percentile of one allele, however it is spelt, for the uploaded or else the aligned form."""
     metric = PERCENTILES["BA" in mode.upper()]
     forms = rows.withColumns({
@@ -97,10 +113,10 @@ def percentile_by_allele_key(rows: DataFrame, allele: str, predictions: DataFram
     })
     wanted = forms.select(F.explode(F.array("__upload", "__aligned")).alias("peptide_key")).where("peptide_key <> ''")
     of_allele = predictions.where(allele_key(F.col("allele")) == allele_key(F.lit(allele)))
-    known = _by_pair(of_allele, allele_key(F.col("allele")), wanted).where(F.col(metric).isNotNull())
+    known = _by_pair(of_allele, allele_key(F.col("allele")), wanted, order).where(F.col(metric).isNotNull())
     first = known.select(F.col("peptide_key").alias("__upload"), F.col(metric).alias("__first"))
     second = known.select(F.col("peptide_key").alias("__aligned"), F.col(metric).alias("__second"))
-    joined = salted_join(salted_join(forms, first, ["__upload"], "left"), second, ["__aligned"], "left")
+    joined = lookup_join(lookup_join(forms, first, "__upload", "left"), second, "__aligned", "left")
     return joined.withColumn("percentile", F.coalesce("__first", "__second")).drop(
         "__upload", "__aligned", "__first", "__second"
     )

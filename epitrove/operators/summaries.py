@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epitrove.operators.filters import filter_root_rows
-from epitrove.plans.joins import salted_join
+from epitrove.plans.joins import lookup_join
 
 # The binder bound, the histogram's bins, the rows of the protein report.
 BINDER_PERCENTILE = 2.0
@@ -29,14 +29,12 @@ def binders_per_peptide(annotated: DataFrame, limit: float = BINDER_PERCENTILE)
 
 
 def qualifying_root_join(annotated: DataFrame, limit: float = BINDER_PERCENTILE) -> DataFrame:
-    """Binding rows, once per root, whose root itself binds the same allele."""
-    roots = F.array_distinct(F.filter(
-        F.transform(F.split("root", ";"), lambda r: F.trim(r)), lambda r: r != ""
-    ))
+    """Binding rows, once per root, whose root itself binds the same allele; a root listed twice counts twice."""
+    roots = F.filter(F.transform(F.split("root", ";"), lambda r: F.trim(r)), lambda r: r != "")
     bound = annotated.where(_binds(limit))
     exploded = bound.withColumn("one_root", F.explode(roots))
     qualifying = filter_root_rows(bound).select("protein", F.col("peptide").alias("one_root"), "allele").distinct()
-    return salted_join(exploded, qualifying, ["protein", "one_root", "allele"], "left_semi")
+    return lookup_join(exploded, qualifying, ["protein", "one_root", "allele"], "left_semi")
 
 
 def windows_score(annotated: DataFrame, limit: float = BINDER_PERCENTILE) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from epitrove.functions.text import peptide_key, protein_key, ungapped
 from epitrove.operators.filters import is_aligned
 from epitrove.operators.frequencies import distinct_sequences
-from epitrove.plans.joins import BROADCAST_ROWS, fits, lookup_join, salted_join
+from epitrove.plans.joins import lookup_join
 from epitrove.sources.tables import valid_windows
 
 # Candidates per window, alternates per peptide, the bound of a conserved peptide.
@@ -83,11 +83,8 @@ def window_tallies(
 ) -> DataFrame:
     """Count, total and share of every observed substring in every window, per group of ``by``."""
     weighted = distinct_sequences(isolates, by)
-    # There is one total per window, so the number of windows bounds both look-ups.
-    if isinstance(windows, DataFrame):
-        bound = BROADCAST_ROWS if fits(windows) else BROADCAST_ROWS + 1
-    else:
-        bound = None if by else len(valid_windows(windows))
+    # There is one total per window, so a list of windows bounds the look-up of totals.
+    bound = None if by or isinstance(windows, DataFrame) else len(valid_windows(windows))
     counts = cross_windows(weighted, windows, [*by, "copies"], by, bound).groupBy(*by, *WINDOW, "peptide").agg(
         F.sum("copies").alias("frequency_all"), F.count(F.lit(1)).alias("frequency_unique")
     )
@@ -155,8 +152,9 @@ def _leading(tallies: DataFrame, group: Sequence[str], metric: str, most: int) -
 def top_candidates_by_window(tallies: DataFrame, most: int = TOP_CANDIDATES, by: Sequence[str] = ()) -> DataFrame:
     """Peptides among the first ``most`` of their window by either share, with both exact ranks.
 
-    The tallies are read several times: store them first. A candidate's rank is one more than the number of peptides before it. They are counted by an
-    aggregate, so that a window with very many peptides is not sorted in one task.
+    The tallies are read several times: store them first. A candidate's rank is one more than the
+    number of peptides before it. They are counted by an aggregate, so that a window with very many
+    peptides is not sorted in one task.
     """
     group = [*by, *WINDOW]
     # Both sets are partitioned by window already; a full join on all columns is their union.
@@ -170,7 +168,7 @@ def top_candidates_by_window(tallies: DataFrame, most: int = TOP_CANDIDATES, by:
     )
     # At most twice ``most`` entries per window.
     boards = chosen.groupBy(*group).agg(F.collect_list(rival).alias("board"))
-    against = salted_join(
+    against = lookup_join(
         tallies.select(*group, "peptide", "proportion_all", "proportion_unique"), boards, group, "inner"
     ).select(*group, "peptide", "proportion_all", "proportion_unique", F.inline("board"))
 
@@ -251,7 +249,7 @@ def peptide_proportion_lookup(aligned: DataFrame, tallies: DataFrame, unique: bo
     shares = shares.groupBy("start", F.col("len").alias("length"), "key").agg(F.max(metric).alias("proportion"))
     text = F.when(F.length("peptide_aligned") > 0, F.col("peptide_aligned")).otherwise(F.col("peptide"))
     keyed = aligned.withColumn("key", F.upper(ungapped(text)))
-    joined = salted_join(keyed, shares, ["start", "length", "key"], "left")
+    joined = lookup_join(keyed, shares, ["start", "length", "key"], "left")
     return joined.select(*aligned.columns, F.coalesce("proportion", F.lit(0.0)).alias("proportion"))
 
 
@@ -307,7 +305,9 @@ def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: Data
     Frequencies are summed over windows; the totals are those of the last window.
     """
     window = F.struct(*WINDOW)
-    summed = tallies.withColumn("peptide", F.upper(ungapped(F.col("peptide")))).groupBy("peptide").agg(
+    predicted = predictions.select(F.upper(ungapped(F.col("peptide"))).alias("peptide")).distinct()
+    bare = tallies.withColumn("peptide", F.upper(ungapped(F.col("peptide"))))
+    summed = lookup_join(bare, predicted, "peptide", "left_semi").groupBy("peptide").agg(
         F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", window).alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", window).alias("total_unique"),
     )
@@ -317,8 +317,7 @@ def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: Data
         F.upper("allele").alias("allele"), F.upper(ungapped(F.col("peptide"))).alias("peptide"),
         "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
     )
-    facts = summed.join(joined_roots, "peptide", "full")
-    both = salted_join(base, facts, ["peptide"], "left")
+    both = lookup_join(lookup_join(base, summed, "peptide", "left"), joined_roots, "peptide", "left")
     counts = ("frequency_all", "total_all", "frequency_unique", "total_unique")
     filled = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return filled.select(

@@ -1,68 +1,30 @@
-"""Joins that hold up when one key owns a large share of the rows.
+"""Look-up joins.
 
-A look-up side is broadcast only after its size has been checked (or when the caller proves a
-bound). A larger one is joined on the key plus a salt: every look-up row is repeated once per
-salt, and each row picks one salt, so a hot key spreads over that many tasks. The adaptive
-skew join splits further what is still too large.
+They are ordinary equi-joins: the optimizer broadcasts a side by its bytes, at run time too, and
+the adaptive skew join splits a key that owns a large share of the rows. Planning one starts no job.
+A look-up is broadcast by name only where the caller can prove a bound on its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 50_000
-LEAST_SALTS, MOST_SALTS = 4, 64
-_SALT = "__salt"
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str = "left", at_most: int | None = None) -> DataFrame:
+    """Join a look-up to ``rows``; ``how`` is inner, left, left_semi or left_anti.
 
-
-def _salts(df: DataFrame) -> int:
-    """More salts where the session shuffles into more partitions."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(LEAST_SALTS, min(MOST_SALTS, partitions // 8))
-
-
-def salted_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int | None = None) -> DataFrame:
-    """``rows`` joined to ``lookup``; ``how`` is inner, left, left_semi or left_anti.
-
-    Used as it is where counting the look-up side would cost as much as computing it.
+    ``at_most`` is a bound of the look-up's rows that the caller can prove.
     """
-    salts = salts or _salts(rows)
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do {how}")
-    hashed = [
-        F.col(f"`{f.name}`") for f in rows.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
-    ]
-    # The partition id spreads equal rows too; a re-run task gets the same id and the same salts.
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.lit(salts)).cast("int")
-    copies = lookup.withColumn(_SALT, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return rows.withColumn(_SALT, salt).join(copies, [*on, _SALT], how).drop(_SALT)
-
-
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str] | str,
-    how: str = "left",
-    at_most: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a look-up to ``rows``: broadcast when it is known or found to be small, else salted.
-
-    ``at_most`` is a bound the caller can prove; without it the size is checked by a short job.
-    """
+        raise ValueError(f"a look-up cannot be joined by {how}")
     keys = [on] if isinstance(on, str) else list(on)
-    small = at_most <= broadcast_rows if at_most is not None else fits(lookup, broadcast_rows)
-    if small:
-        return rows.join(F.broadcast(lookup), keys, how)
-    return salted_join(rows, lookup, keys, how)
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        lookup = F.broadcast(lookup)
+    return rows.join(lookup, keys, how)
 
 
 def literal_list(values: Iterable, element: str = "string") -> Column:

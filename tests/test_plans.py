@@ -4,7 +4,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from epitrove.plans.joins import fits, lookup_join, salted_join
+from epitrove.operators.predictions import restrict_predictions
+from epitrove.operators.tallies import annotate_predictions
+from epitrove.plans.joins import lookup_join
 from epitrove.plans.numbering import number_rows, number_rows_within
 from epitrove.plans.storage import scratch_path, shared_folder
 
@@ -18,30 +20,36 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_join(spark, skewed, how):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_lookups_equal_the_plain_join_with_a_hot_key(spark, skewed, how, threshold):
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(0, 40, 3)] + [(7, "seven"), (7, "again")], "k int, name string")
-    plain = skewed.join(lookup, ["k"], how)
-    assert rows(salted_join(skewed, lookup, ["k"], how, 5)) == rows(plain)
-    assert rows(lookup_join(skewed, lookup, "k", how)) == rows(plain)
-    assert rows(lookup_join(skewed, lookup, "k", how, broadcast_rows=3)) == rows(plain)
+    plain = rows(skewed.join(lookup, ["k"], how))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert rows(lookup_join(skewed, lookup, "k", how)) == plain
+        assert rows(lookup_join(skewed, lookup, ["k"], how, at_most=14)) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_salts_spread_a_hot_key(spark, skewed):
-    lookup = spark.createDataFrame([(7, "x")], "k int, name string")
-    plan = salted_join(skewed, lookup, ["k"], "inner", 8)._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan
-
-
-def test_large_lookups_are_not_broadcast(spark, skewed):
-    lookup = spark.range(100).select(F.col("id").cast("int").alias("k"))
-    assert fits(lookup, 100) and not fits(lookup, 99)
-    plan = lookup_join(skewed, lookup, "k", "inner", broadcast_rows=10)._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan
-
-
-def test_salted_join_refuses_joins_that_would_repeat_rows(spark, skewed):
+def test_lookups_refuse_joins_that_add_rows(skewed):
     with pytest.raises(ValueError):
-        salted_join(skewed, skewed, ["k"], "full")
+        lookup_join(skewed, skewed, ["k"], "full")
+
+
+def test_planning_starts_no_job(spark, skewed):
+    work = skewed.select(F.col("k").cast("string").alias("peptide"))
+    predictions = work.select(F.lit("A").alias("allele"), "peptide", F.lit(1.0).alias("netmhcpan_el_percentile"), F.lit(1.0).alias("netmhcpan_ba_percentile"))
+    tallies = work.select(F.lit(1).alias("start"), F.lit(9).alias("len"), "peptide", *[
+        F.lit(1).cast("bigint").alias(c) for c in ("frequency_all", "total_all", "frequency_unique", "total_unique")])
+    roots = work.select("peptide", F.col("peptide").alias("root"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job expected")
+    restrict_predictions(predictions, work, ["A"])
+    annotate_predictions(predictions, tallies, roots, "M1")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_numbers_are_gap_free_and_ordered(spark):

@@ -1,7 +1,8 @@
 """The given tables reshaped into the relations the library works on.
 
 Orders become isolates, parts become uploaded peptides, suppliers become scanned sequences with
-their predictions, customers fill the allele list. All of them grow with the tables.
+their predictions, customers fill the allele list. All of them grow with the tables, and so do the
+distinct sequences and peptides in them. One protein has most isolates; a quarter of a protein's isolates are equal.
 """
 
 from __future__ import annotations
@@ -41,21 +42,27 @@ def isolates(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
-    ).withColumn("base", _pick(BASES.values(), "o_orderkey"))
+    ).withColumn("kind", F.expr("CASE o_orderkey % 7 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END"))
+    joined = joined.withColumn("base", _pick(BASES.values(), "kind")).withColumn("once", F.expr(
+        "concat(substr(base, 1, CAST(o_custkey % 60 AS INT)),"
+        " substr('ACDEFGHIKLMNPQRSTVWY-', CAST(floor(o_custkey / 60) AS INT) % 21 + 1, 1),"
+        " substr(base, CAST(o_custkey % 60 AS INT) + 2, 60))"
+    ))
     return joined.selectExpr(
         "o_orderkey AS seq_id",
-        f"element_at(array({', '.join(repr(p) for p in BASES)}), CAST(o_orderkey % 3 + 1 AS INT)) AS protein",
+        f"element_at(array({', '.join(repr(p) for p in BASES)}), CAST(kind + 1 AS INT)) AS protein",
         "concat('H', c_custkey % 5 + 1, 'N', c_custkey % 3 + 1) AS genotype",
         "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Homo sapiens' WHEN 'MACHINERY' THEN ' Gallus gallus '"
         " WHEN 'BUILDING' THEN NULL ELSE c_mktsegment END AS host",
         "n_name AS country",
         "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN substr(CAST(day AS STRING), 1, 4)"
         " WHEN 2 THEN substr(CAST(day AS STRING), 1, 7) WHEN 3 THEN CAST(day AS STRING)"
-        " ELSE 'unknown' END AS collection_date",
+        " ELSE if(o_custkey % 2 = 0, 'unknown', concat(CAST(day AS STRING), if(o_custkey % 4 = 1, ' junk', 'Txx'))) END AS collection_date",
         "CAST(day AS STRING) AS release_date",
-        "CASE WHEN o_orderkey % 4 = 0 THEN base ELSE concat(substr(base, 1, CAST(o_custkey % 60 AS INT)),"
-        " substr('ACDEFGHIKLMNPQRSTVWY-', CAST(floor(o_custkey / 60) AS INT) % 21 + 1, 1),"
-        " substr(base, CAST(o_custkey % 60 AS INT) + 2, 60)) END AS sequence",
+        "CASE o_orderkey % 4 WHEN 0 THEN base WHEN 1 THEN once"
+        " ELSE concat(substr(once, 1, CAST(floor(o_orderkey / 4) AS INT) % 60),"
+        " substr('ACDEFGHIKLMNPQRSTVWY-', CAST(floor(o_orderkey / 240) AS INT) % 21 + 1, 1),"
+        " substr(once, CAST(floor(o_orderkey / 4) AS INT) % 60 + 2, 60)) END AS sequence",
     )
 
 
@@ -69,7 +76,13 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").withColumn("base", _pick(BASES.values(), "p_partkey"))
     return part.select(
         F.col("p_partkey").alias("peptide_id"), _pick(BASES, "p_partkey").alias("protein"),
-        F.expr("substr(base, CAST(p_partkey % 60 + 1 AS INT), 8 + p_size % 7)").alias("peptide"),
+        F.expr(
+            "CASE WHEN p_partkey % 5 > 0 THEN substr(base, CAST(p_partkey % 60 + 1 AS INT), 8 + p_size % 7)"
+            " ELSE concat(substr(base, CAST(p_partkey % 60 + 1 AS INT), 3),"
+            " substr('ACDEFGHIKLMNPQRSTVWY', CAST(floor(p_partkey / 60) AS INT) % 20 + 1, 1),"
+            " substr('ACDEFGHIKLMNPQRSTVWY', CAST(floor(p_partkey / 1200) AS INT) % 20 + 1, 1),"
+            " substr(base, CAST(p_partkey % 60 + 6 AS INT), 3 + p_size % 7)) END"
+        ).alias("peptide"),
         F.col("p_brand").alias("attribute_1"),
         F.expr("CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END").alias("attribute_2"),
         F.lit(None).cast("string").alias("attribute_3"),

@@ -1,4 +1,4 @@
-"""SQL that answers the registered queries in DuckDB, written in the two-branch form.
+"""SQL that answers the registered queries in DuckDB.
 
 The relations are spelt out again here, not shared with the Spark adapters, so that both sides
 check each other.
@@ -21,19 +21,25 @@ CTES = {
     n.n_name AS country,
     CASE o.o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN substr(o.o_orderdate::DATE::VARCHAR, 1, 4)
          WHEN 2 THEN substr(o.o_orderdate::DATE::VARCHAR, 1, 7)
-         WHEN 3 THEN o.o_orderdate::DATE::VARCHAR ELSE 'unknown' END AS collection_date,
+         WHEN 3 THEN o.o_orderdate::DATE::VARCHAR
+         ELSE CASE o.o_custkey % 4 WHEN 1 THEN concat(o.o_orderdate::DATE::VARCHAR, ' junk')
+              WHEN 3 THEN concat(o.o_orderdate::DATE::VARCHAR, 'Txx') ELSE 'unknown' END END AS collection_date,
     o.o_orderdate::DATE::VARCHAR AS release_date,
-    CASE WHEN o.o_orderkey % 4 = 0 THEN b.base ELSE
-      concat(substr(b.base, 1, (o.o_custkey % 60)::INT),
-             substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_custkey // 60)::INT % 21 + 1, 1),
-             substr(b.base, (o.o_custkey % 60)::INT + 2, 60)) END AS sequence
+    -- Letters are replaced one by one: none, one by customer, or a second one by order.
+    list_aggregate(list_transform(range(1, 61), lambda i: CASE
+      WHEN o.o_orderkey % 4 >= 2 AND i = o.o_orderkey // 4 % 60 + 1 THEN substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_orderkey // 240)::INT % 21 + 1, 1)
+      WHEN o.o_orderkey % 4 >= 1 AND i = o.o_custkey % 60 + 1 THEN substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_custkey // 60)::INT % 21 + 1, 1)
+      ELSE substr(b.base, i::INT, 1) END), 'string_agg', '') AS sequence
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN bases b ON o.o_orderkey % 3 = b.k""",
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN bases b ON greatest(o.o_orderkey % 7 - 4, 0) = b.k""",
     "refs": """
   SELECT protein, concat(substr(base, 1, 25), '--', substr(base, 26)) AS aligned_sequence FROM bases""",
     "uploads": """
   SELECT p.p_partkey AS peptide_id, b.protein,
-    substr(b.base, (p.p_partkey % 60 + 1)::INT, (8 + p.p_size % 7)::INT) AS peptide,
+    CASE WHEN p.p_partkey % 5 > 0 THEN substr(b.base, (p.p_partkey % 60 + 1)::INT, (8 + p.p_size % 7)::INT)
+      ELSE concat(substr(b.base, (p.p_partkey % 60 + 1)::INT, 3), substr('ACDEFGHIKLMNPQRSTVWY', (p.p_partkey // 60)::INT % 20 + 1, 1),
+        substr('ACDEFGHIKLMNPQRSTVWY', (p.p_partkey // 1200)::INT % 20 + 1, 1),
+        substr(b.base, (p.p_partkey % 60 + 6)::INT, (3 + p.p_size % 7)::INT)) END AS peptide,
     p.p_brand AS attribute_1, CASE WHEN p.p_size % 4 = 0 THEN '' ELSE p.p_type END AS attribute_2,
     NULL::VARCHAR AS attribute_3
   FROM part p JOIN bases b ON p.p_partkey % 3 = b.k""",
@@ -100,20 +106,13 @@ def _frequencies(source: str, by: str = "", suffix: str = "") -> str:
 
 
 def _tallies(source: str, windows: str) -> str:
-    """Window tallies from two branches brought together by a full join."""
+    """One group per window and substring: its rows, its distinct sequences, and their sums over the window."""
     return f"""
-  WITH every AS (SELECT p.start, p.len, substr(f.sequence, p.start, p.len) AS peptide FROM {source} f CROSS JOIN {windows} p),
-  cnt_all AS (SELECT start, len, peptide, count(*) AS n FROM every GROUP BY ALL),
-  tot_all AS (SELECT start, len, sum(n) AS total FROM cnt_all GROUP BY ALL),
-  once AS (SELECT p.start, p.len, substr(f.sequence, p.start, p.len) AS peptide
-           FROM (SELECT DISTINCT sequence FROM {source}) f CROSS JOIN {windows} p),
-  cnt_u AS (SELECT start, len, peptide, count(*) AS n FROM once GROUP BY ALL),
-  tot_u AS (SELECT start, len, sum(n) AS total FROM cnt_u GROUP BY ALL)
-  SELECT start, len, peptide, coalesce(a.n, 0)::BIGINT AS frequency_all, coalesce(ta.total, 0)::BIGINT AS total_all,
-    a.n::DOUBLE / ta.total AS proportion_all, coalesce(u.n, 0)::BIGINT AS frequency_unique,
-    coalesce(tu.total, 0)::BIGINT AS total_unique, u.n::DOUBLE / tu.total AS proportion_unique
-  FROM cnt_all a FULL JOIN cnt_u u USING (start, len, peptide)
-  LEFT JOIN tot_all ta USING (start, len) LEFT JOIN tot_u tu USING (start, len)"""
+  SELECT start, len, peptide, n::BIGINT AS frequency_all, (sum(n) OVER here)::BIGINT AS total_all, n / sum(n) OVER here AS proportion_all,
+    u::BIGINT AS frequency_unique, (sum(u) OVER here)::BIGINT AS total_unique, u / sum(u) OVER here AS proportion_unique
+  FROM (SELECT start, len, substr(sequence, start, len) AS peptide, count(*) AS n, count(DISTINCT sequence) AS u
+        FROM {source}, {windows} GROUP BY ALL)
+  WINDOW here AS (PARTITION BY start, len)"""
 
 
 CTES |= {
@@ -146,20 +145,21 @@ CTES |= {
       sum(frequency_unique) AS fu, max(total_unique) AS tu FROM tallies GROUP BY 1) t ON t.peptide = p.peptide
   LEFT JOIN (SELECT peptide, string_agg(root, ';' ORDER BY root) AS root FROM roots GROUP BY 1) r ON r.peptide = p.peptide""",
     "facet_counts": """
-  SELECT facet, position, substr(sequence, position, 1) AS aminoacid, count(*) AS cnt FROM (
-    SELECT facet, sequence, unnest(generate_series(1, length(sequence))) AS position FROM nonhuman_facets
-    JOIN (SELECT facet FROM nonhuman_facets GROUP BY facet ORDER BY count(*) DESC NULLS LAST, facet LIMIT 6) USING (facet))
+  SELECT facet, place AS position, substr(sequence, place, 1) AS aminoacid, count(*) AS cnt
+  FROM nonhuman_facets, range(1, 61) AS places(place)
+  WHERE place <= length(sequence) AND facet IN (
+    SELECT facet FROM nonhuman_facets GROUP BY facet QUALIFY row_number() OVER (ORDER BY count(*) DESC, facet) <= 6)
   GROUP BY ALL""",
     "facet_ranks": """
-  SELECT facet, position::INT AS position, aminoacid, cnt::BIGINT AS frequency, total::BIGINT AS total, cnt::DOUBLE / total AS share,
-    row_number() OVER (PARTITION BY facet, position ORDER BY cnt::DOUBLE / total DESC, aminoacid)::INT AS r
-  FROM facet_counts JOIN (SELECT facet, position, sum(cnt) AS total FROM facet_counts GROUP BY ALL) USING (facet, position)""",
+  SELECT facet, position::INT AS position, aminoacid, cnt::BIGINT AS frequency, (sum(cnt) OVER here)::BIGINT AS total,
+    cnt / sum(cnt) OVER here AS share, (row_number() OVER (here ORDER BY cnt DESC, aminoacid))::INT AS r
+  FROM facet_counts WINDOW here AS (PARTITION BY facet, position)""",
     "nonhuman_facets": "SELECT country AS facet, sequence FROM nonhuman",
     "nonhuman_genotypes": "SELECT DISTINCT genotype AS facet, sequence FROM nonhuman",
     "half_cached": "SELECT * FROM predictions WHERE netmhcpan_el_percentile < 3",
     "alleles": "SELECT unnest(['HLA-A*02:01', 'HLA-A*11:01', 'HLA-B*35:03', 'HLA-C*04:01']) AS allele",
     "missing": """
-  SELECT allele, peptide FROM alleles CROSS JOIN (SELECT DISTINCT peptide FROM uploads WHERE length(peptide) BETWEEN 8 AND 10) w
+  SELECT allele, peptide FROM alleles CROSS JOIN (SELECT DISTINCT peptide FROM uploads WHERE length(peptide) BETWEEN 8 AND 14) w
   WHERE NOT EXISTS (SELECT 1 FROM half_cached h WHERE h.allele = alleles.allele AND h.peptide = w.peptide)""",
     "occurrences": """
   SELECT s.seq_index, s.seq_id, s.peptide, s.start, s.len AS length FROM (
@@ -172,7 +172,7 @@ CTES |= {
     PARTITION BY protein, position ORDER BY value DESC, aminoacid) AS r FROM frequencies) WHERE r = 1""",
     "qualifying": """
   SELECT a.allele, a.peptide, a.one_root, a.root, a.protein, a.proportion_all FROM (
-    SELECT *, unnest(list_distinct(string_split(root, ';'))) AS one_root FROM annotated
+    SELECT *, unnest(string_split(root, ';')) AS one_root FROM annotated
     WHERE netmhcpan_el_percentile <= 20 AND root <> '') a
   WHERE EXISTS (SELECT 1 FROM annotated q WHERE q.peptide = q.root AND q.netmhcpan_el_percentile <= 20
     AND q.peptide = a.one_root AND q.allele = a.allele AND q.protein = a.protein)""",
@@ -201,9 +201,7 @@ def sql(needs: str, body: str) -> str:
 
 
 _WIDE = 'CASE WHEN seq_no > 1 THEN seq_no END'
-_PARTIAL = """TRY_CAST(CASE WHEN collection_date IS NULL OR collection_date = '' THEN NULL
-  WHEN length(collection_date) = 4 THEN collection_date || '-01-01'
-  WHEN length(collection_date) = 7 THEN collection_date || '-01' ELSE collection_date END AS DATE)"""
+_PARTIAL = "try_strptime(collection_date, ['%Y-%m-%d', '%Y-%m', '%Y'])::DATE"
 _NOTE = """concat(attribute_1, ', "new"')"""
 
 ORACLES: dict[str, str] = {
@@ -275,7 +273,11 @@ WHERE protein = 'NP' AND genotype IN ('H1N1', 'H2N2', 'H3N3', 'H4N1') AND TRUE A
   AND TRY_CAST(release_date AS DATE) BETWEEN DATE '1993-01-01' AND DATE '2000-12-31'"""),
     "filter_nonblank": sql("hla", """
 SELECT "Class I" AS allele FROM hla WHERE "Class I" IS NOT NULL AND length(trim("Class I")) > 0"""),
-    "search_values": sql("isolates", "SELECT seq_id, host FROM isolates WHERE host ILIKE '%galL%S%'"),
+    "search_values": sql("isolates", """
+, h AS (SELECT seq_id, CASE WHEN seq_id % 3 = 0 AND host IS NOT NULL THEN 'a' || chr(92) || 'b ' || host ELSE host END AS host FROM isolates)
+SELECT 'galL%S' AS text, seq_id, host FROM h WHERE regexp_matches(host, 'gall.*s', 'is')
+UNION ALL SELECT 'A' || chr(92) || 'b%o', seq_id, host FROM h WHERE regexp_matches(host, 'a\\\\b.*o', 'is')
+UNION ALL SELECT 'h' || chr(92), seq_id, host FROM h WHERE contains(lower(host), 'h' || chr(92))"""),
     "filter_peptide_length": sql("uploads", """
 , gapped AS (SELECT peptide_id, CASE WHEN peptide_id % 2 = 0 THEN concat(substr(peptide, 1, 3), '--', substr(peptide, 4))
   ELSE peptide END AS peptide FROM uploads)
@@ -344,13 +346,15 @@ SELECT allele, peptide, el, ba FROM (SELECT *, row_number() OVER (
 SELECT * FROM predictions WHERE allele IN ('HLA-A*02:01', 'HLA-A*11:01') AND peptide IN (SELECT peptide FROM uploads)"""),
     "predictions_for_peptides": sql("scan uploads", """
 SELECT seq_no, allele, peptide, start FROM scan WHERE peptide IN (SELECT peptide FROM uploads)"""),
-    "overlay_percentiles": sql("predictions uploads", """
+    "overlay_percentiles": sql("scan uploads", """
 SELECT peptide_id, u.peptide, a.allele, netmhcpan_el_percentile, netmhcpan_ba_percentile
 FROM uploads u CROSS JOIN (VALUES ('HLA-A*02:01'), ('HLA-A*11:01')) a(allele)
-LEFT JOIN predictions p ON p.peptide = u.peptide AND p.allele = a.allele"""),
-    "percentile_by_allele_key": sql("aligned predictions", """
-, known AS (SELECT peptide, netmhcpan_ba_percentile AS ba FROM predictions WHERE allele = 'HLA-A*02:01')
-SELECT peptide_id, coalesce(u.ba, g.ba) AS percentile FROM aligned a
+LEFT JOIN (SELECT allele, peptide, arg_max(el, seq_no * 1000 + start) FILTER (el IS NOT NULL) AS netmhcpan_el_percentile,
+  arg_max(ba, seq_no * 1000 + start) AS netmhcpan_ba_percentile FROM scan GROUP BY ALL) p ON p.peptide = u.peptide AND p.allele = a.allele"""),
+    "percentile_by_allele_key": sql("aligned scan", """
+, known AS (SELECT peptide, arg_max(el, seq_no * 1000 + start) AS el FROM scan
+  WHERE allele = 'HLA-A*02:01' AND el IS NOT NULL GROUP BY peptide)
+SELECT peptide_id, coalesce(u.el, g.el) AS percentile FROM aligned a
 LEFT JOIN known u ON a.peptide_id % 2 = 0 AND u.peptide = a.peptide
 LEFT JOIN known g ON g.peptide = replace(a.peptide_aligned, '-', '')"""),
     "allele_matrix": sql("predictions", """
@@ -475,13 +479,13 @@ SELECT protein, max(n) AS lanes FROM (SELECT p.protein, p.position, count(*) AS
 GROUP BY protein"""),
     "generate_peptides": sql("frequencies", """
 , f AS MATERIALIZED (SELECT protein, aminoacid, position, dense_rank() OVER (PARTITION BY protein ORDER BY position) AS nth
-  FROM frequencies WHERE frequency_all >= total_all * 0.0007 + 4 AND aminoacid <> '-' AND protein <> 'HA'),
+  FROM frequencies WHERE frequency_all >= total_all * 0.002 + 4 AND aminoacid <> '-' AND protein <> 'HA'),
 grown AS (WITH RECURSIVE g(protein, nth, size, start_position, end_position, peptide) AS (
   SELECT protein, nth, 1, position, position, aminoacid FROM f UNION ALL
   SELECT g.protein, f.nth, g.size + 1, g.start_position, f.position, g.peptide || f.aminoacid
-  FROM g JOIN f ON f.protein = g.protein AND f.nth = g.nth + 1 WHERE g.size < 9) SELECT * FROM g)
+  FROM g JOIN f ON f.protein = g.protein AND f.nth = g.nth + 1 WHERE g.size < 14) SELECT * FROM g)
 SELECT protein, size AS peptide_len, min(start_position) AS start_position, min(end_position) AS end_position, peptide
-FROM grown WHERE size IN (8, 9) GROUP BY protein, size, peptide"""),
+FROM grown WHERE size >= 8 GROUP BY protein, size, peptide"""),
     "class_one_workset": sql("uploads candidates", """
 SELECT DISTINCT p AS peptide FROM (SELECT peptide AS p FROM uploads WHERE protein = 'M1'
   UNION ALL SELECT replace(peptide, '-', '') FROM candidates) WHERE length(p) BETWEEN 8 AND 14"""),
@@ -516,12 +520,12 @@ UNION ALL SELECT val, 'search' FROM (SELECT trim(country) AS val FROM isolates W
     "top_facets": sql("isolates", """
 SELECT host AS facet, count(*) AS n FROM isolates GROUP BY host ORDER BY n DESC, host NULLS LAST LIMIT 6"""),
     "allele_options": sql("hla", """
-, base AS (SELECT 'I' AS class, trim("Class I") AS allele FROM hla WHERE length(trim("Class I")) > 0
-  UNION ALL SELECT 'II', trim("Class II") FROM hla WHERE length(trim("Class II")) > 0),
-dedup AS (SELECT DISTINCT class, allele FROM base)
-SELECT allele, 'I' AS page FROM (SELECT allele FROM dedup WHERE class = 'I' ORDER BY allele LIMIT 20 OFFSET 5)
-UNION ALL SELECT allele, 'II' FROM (SELECT allele FROM dedup WHERE class = 'II' AND allele ILIKE '%drb1*1%'
-  ORDER BY allele LIMIT 50 OFFSET 1)"""),
+SELECT name AS allele, replace(kind, 'Class ', '') AS page FROM (
+  SELECT kind, trim(written) AS name FROM (UNPIVOT hla ON "Class I", "Class II" INTO NAME kind VALUE written)
+  WHERE kind = 'Class I' OR contains(lower(written), 'drb1*1'))
+WHERE name <> '' GROUP BY kind, name
+QUALIFY CASE kind WHEN 'Class I' THEN row_number() OVER (PARTITION BY kind ORDER BY name) BETWEEN 6 AND 25
+  ELSE row_number() OVER (PARTITION BY kind ORDER BY name) BETWEEN 2 AND 51 END"""),
     "distinct_sequences": sql("isolates", "SELECT protein, sequence, count(*) AS copies FROM isolates GROUP BY ALL"),
     "distinct_windows": sql("aligned", "SELECT DISTINCT protein, start, length AS len FROM aligned WHERE start > 0 AND length > 0"),
     "ordered_positions": sql("live", "SELECT position, aminoacid, frequency_all FROM live"),

@@ -25,7 +25,7 @@ SELECTED = "MKTAYIAKQ"
 PICKED = ad.ALLELES[:2]
 UPLOAD_COLUMNS = ["peptide", "protein", "attribute_1", "attribute_2", "attribute_3"]
 METHOD = "netmhcpan_el"
-FREQUENT_SHARE, FREQUENT_LEAST = 0.0007, 4
+FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 4
 
 
 def query(function: Query) -> Query:
@@ -294,7 +294,9 @@ def filter_nonblank(spark, sf):
 
 @query
 def search_values(spark, sf):
-    return flt.search_values(ad.isolates(spark, sf), "host", "galL%S").select("seq_id", "host")
+    rows = ad.isolates(spark, sf).withColumn("host", F.expr("if(seq_id % 3 = 0, concat('a\\\\b ', host), host)"))
+    found = [flt.search_values(rows, "host", text).select(F.lit(text).alias("text"), "seq_id", "host") for text in ("galL%S", "A\\b%o", "h\\")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query
@@ -453,13 +455,13 @@ def _half_cached(spark, sf):
 
 @query
 def missing_predictions(spark, sf):
-    work = ad.uploads(spark, sf).select("peptide").where("length(peptide) between 8 and 10")
+    work = ad.uploads(spark, sf).select("peptide").where("length(peptide) between 8 and 14")
     return prd.missing_predictions(work, ad.ALLELES, _half_cached(spark, sf))
 
 
 @query
 def missing_request(spark, sf):
-    work = ad.uploads(spark, sf).select("peptide").where("length(peptide) between 8 and 10")
+    work = ad.uploads(spark, sf).select("peptide").where("length(peptide) between 8 and 14")
     alleles, peptides = prd.request_of_missing(prd.missing_predictions(work, ad.ALLELES, _half_cached(spark, sf)))
     return alleles.select(F.lit("allele").alias("kind"), F.col("allele").alias("name")).unionByName(
         peptides.select(F.lit("peptide").alias("kind"), F.col("peptide").alias("name"))
@@ -488,10 +490,19 @@ def predictions_for_peptides(spark, sf):
     )
 
 
+def _repeated_predictions(spark, sf):
+    """Predictions in which an (allele, peptide) pair comes once per sequence and place."""
+    return ad.scan_predictions(spark, sf).select(
+        "allele", "peptide", F.coalesce("seq #", F.lit(1)).alias("seq_no"), "start",
+        F.col("netmhcpan_el percentile").alias("netmhcpan_el_percentile"),
+        F.col("netmhcpan_ba percentile").alias("netmhcpan_ba_percentile"),
+    )
+
+
 @query
 def overlay_percentiles(spark, sf):
     rows = ad.uploads(spark, sf).select("peptide_id", "peptide")
-    return prd.overlay_percentiles(rows, PICKED, ad.predictions(spark, sf))
+    return prd.overlay_percentiles(rows, PICKED, _repeated_predictions(spark, sf), ["seq_no", "start"])
 
 
 @query
@@ -499,7 +510,7 @@ def percentile_by_allele_key(spark, sf):
     rows = ad.aligned(spark, sf).select(
         "peptide_id", F.expr("CASE WHEN peptide_id % 2 = 0 THEN peptide ELSE 'Q' END").alias("peptide"), "peptide_aligned"
     )
-    return prd.percentile_by_allele_key(rows, "a0201", ad.predictions(spark, sf), "BA").select("peptide_id", "percentile")
+    return prd.percentile_by_allele_key(rows, "a0201", _repeated_predictions(spark, sf), "EL", ["seq_no", "start"]).select("peptide_id", "percentile")
 
 
 @query
@@ -728,7 +739,7 @@ def max_overlap_depth(spark, sf):
 def generate_peptides(spark, sf):
     """The bound follows the number of isolates, as a fixed one would not suit every table size."""
     at_least = F.col("total_all") * FREQUENT_SHARE + FREQUENT_LEAST
-    return pep.generate_peptides(ad.stored_frequencies(spark, sf), at_least, (8, 9), {"HA"})
+    return pep.generate_peptides(ad.stored_frequencies(spark, sf), at_least, without={"HA"})
 
 
 @query
