@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epitrove.functions.text import letters, ungapped
 from epitrove.operators.filters import filter_frequency, within_class
-from epitrove.plans.joins import literal_list, lookup_join
+from epitrove.plans.joins import lookup_join
 from epitrove.plans.numbering import number_rows
 
 # Peptides per request, generated lengths.
@@ -53,24 +53,20 @@ def align_peptides(peptides: DataFrame, references: DataFrame, order: Sequence[s
 def find_occurrences(sequences: DataFrame, peptides: DataFrame) -> DataFrame:
     """All matches, overlapping ones included, of each peptide in each sequence.
 
-    Sequences are cut into substrings of the lengths that occur among the peptides and joined on
-    equality, so no peptide is compared with every sequence.
+    Distinct sequences are cut into substrings of the lengths that occur among the peptides and
+    joined on equality, so no peptide is compared with every sequence and equal sequences are cut once.
     """
     wanted = peptides.where(F.length("peptide") > 0).select("peptide", F.length("peptide").alias("length"))
-    # A handful of small integers.
-    lengths = sorted(row["length"] for row in wanted.select("length").distinct().collect())
-    cut = sequences.where(F.length("sequence") > 0).select(
-        "seq_index", "seq_id", "sequence", F.explode(literal_list(lengths, "int")).alias("length")
-    ).where(F.col("length") <= F.length("sequence"))
+    # One short list: the distinct lengths, as a subquery.
+    lengths = wanted.agg(F.collect_set("length")).scalar()
+    filled = sequences.where(F.length("sequence") > 0).select("seq_index", "seq_id", "sequence")
+    cut = filled.select("sequence").distinct().select("sequence", F.explode(lengths).alias("length")).where(
+        F.col("length") <= F.length("sequence"))
     cut = cut.select(
-        "seq_index", "seq_id", "sequence", "length",
-        F.explode(F.sequence(F.lit(1), F.length("sequence") - F.col("length") + 1)).alias("start"),
-    ).select(
-        "seq_index", "seq_id", F.substring(F.col("sequence"), F.col("start"), F.col("length")).alias("peptide"),
-        "start", "length",
-    )
+        "sequence", "length", F.explode(F.sequence(F.lit(1), F.length("sequence") - F.col("length") + 1)).alias("start"),
+    ).withColumn("peptide", F.substring(F.col("sequence"), F.col("start"), F.col("length")))
     found = lookup_join(cut, wanted.select("peptide"), "peptide", "inner")
-    return found.select("seq_index", "seq_id", "peptide", "start", "length")
+    return lookup_join(filled, found, "sequence", "inner").select("seq_index", "seq_id", "peptide", "start", "length")
 
 
 def class_one_workset(peptides: DataFrame, candidates: DataFrame, protein: str) -> DataFrame:

@@ -53,40 +53,57 @@ def _entry_numbers(entries: DataFrame) -> DataFrame:
     return lookup_join(entries, offsets, ["file", "split"], "inner").withColumn("index", F.col("row") + F.col("offset"))
 
 
+def _related(counted: DataFrame) -> DataFrame:
+    """``file``, ``base``, ``root``: base names whose suffixed forms meet names that the file holds.
+
+    ``counted`` has the entries of each base name. Suffixes of a name go up to its entries and the
+    names of its form ``name_k``, so ``name_k`` with a larger number is not touched. A name that may
+    lose its own form to another takes suffixes as well, so the search goes on from there; each name
+    hangs on one shorter one, and a group is all that hangs on one root.
+    """
+    form = r"^(.*)_([1-9]\d*)$"
+    formed = counted.select("file", "base", F.regexp_extract("base", form, 1).alias("parent"),
+                            F.regexp_extract("base", form, 2).try_cast("long").alias("number")).where("number >= 2")
+    taken = formed.groupBy("file", "parent").agg(F.count(F.lit(1)).alias("taken"))
+    reach = counted.withColumnRenamed("base", "parent").join(taken, ["file", "parent"]).select(
+        "file", "parent", (F.col("entries") > 1).alias("repeated"), (F.col("entries") + F.col("taken")).alias("last"))
+    links = pin(formed.join(reach, ["file", "parent"]).where("number <= last").select("file", "parent", "base", "repeated"))
+    known = pin(links.where("repeated").select("file", F.col("parent").alias("base"), F.col("parent").alias("root")).distinct())
+    while True:
+        below = links.select("file", "parent", F.col("base").alias("child")).join(
+            known.withColumnRenamed("base", "parent"), ["file", "parent"]).select("file", F.col("child").alias("base"), "root")
+        merged = known.unionByName(below).groupBy("file", "base").agg(F.min_by("root", F.length("root")).alias("root"))
+        merged = pin(merged)
+        if merged.join(known, ["file", "base", "root"], "left_anti").isEmpty():
+            return merged
+        known = merged
+
+
 def _renamed(names: DataFrame) -> DataFrame:
     """Entries whose id is not their base name: ``(file, split, row, id)``.
 
     Repeated names get the suffixes ``_2``, ``_3``, … in file order. ``name_k`` is right unless the
-    file also holds an entry literally called ``name_k``; only names related in that way are
-    settled one after the other. Names without a repetition take no part.
+    file also holds an entry literally called so; only such names are settled one after the other.
+    Names without a repetition and without such a relation take no part.
     """
-    counted = names.groupBy("file", "base").agg(F.count(F.lit(1)).alias("entries"))
-    repeated = pin(counted.where("entries > 1").select("file", "base"))
+    counted = pin(names.groupBy("file", "base").agg(F.count(F.lit(1)).alias("entries")))
+    repeated = counted.where("entries > 1").select("file", "base")
     if repeated.isEmpty():
         return names.sparkSession.createDataFrame([], _RENAMED)
     numbered = number_rows_within(
         lookup_join(names, repeated, ["file", "base"], "left_semi"), ["file", "base"], ["split", "row"], "k"
     )
-    suffixed = pin(numbered.where("k > 1").select(
+    suffixed = numbered.where("k > 1").select(
         "file", "split", "row", "base", F.concat_ws("_", "base", F.col("k").cast("string")).alias("id")
-    ))
-    literal = counted.select("file", F.col("base").alias("id"))
-    clashing = suffixed.join(literal, ["file", "id"], "left_semi").select("file", _stem("base").alias("stem")).distinct()
-    clashing = pin(clashing)
-    if clashing.isEmpty():
+    )
+    related = _related(counted)
+    if related.isEmpty():
         return suffixed.drop("base")
-
-    keys = ["file", "stem"]
-    clear = lookup_join(suffixed.withColumn("stem", _stem("base")), clashing, keys, "left_anti")
-    related = lookup_join(names.withColumn("stem", _stem("base")), clashing, keys, "left_semi")
-    settled = related.groupBy(*keys).applyInPandas(_settle_names, _RENAMED)
+    clear = lookup_join(suffixed, related.select("file", "base"), ["file", "base"], "left_anti")
+    settled = lookup_join(names, related, ["file", "base"], "inner").groupBy("file", "root").applyInPandas(_settle_names, _RENAMED)
     return clear.select("file", "split", "row", "id").unionByName(settled)
 
 
-def _stem(base: str) -> Column:
-    return F.regexp_replace(base, r"(_\d+)+$", "")
-
-
 def _settle_names(entries: pd.DataFrame) -> pd.DataFrame:
     entries = entries.sort_values(["split", "row"])
     used: set[str] = set()

@@ -178,3 +178,52 @@ def test_documents_without_the_table(spark, tmp_path):
     assert results.read_prediction_json(spark, path, missing="empty").count() == 0
     with pytest.raises(Exception, match="peptide_table not found"):
         results.read_prediction_json(spark, path).collect()
+
+
+def test_names_that_cannot_meet_are_not_settled_together(spark):
+    from epitrove.sources.fasta import _related
+
+    names = [("f", f"EPI_ISL_{n}", 1) for n in range(1, 3001)] + [("f", "EPI", 2), ("f", "EPI_2", 1), ("f", "EPI_9", 1), ("f", "a_2_2", 1), ("f", "a_2", 1), ("f", "a", 3)]
+    found = {(r.base, r.root) for r in _related(spark.createDataFrame(names, "file string, base string, entries long")).collect()}
+    assert found == {("EPI", "EPI"), ("EPI_2", "EPI"), ("a", "a"), ("a_2", "a"), ("a_2_2", "a")}
+
+
+def test_names_are_those_of_one_pass_through_the_file(spark, tmp_path):
+    import random
+
+    chance = random.Random(6)
+    made = [chance.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_02", "b_1", "c", "c_7"]) for _ in range(60)]
+    folder_ = folder(tmp_path, names="".join(f">{n}\nMK\n" for n in made))
+    used, tried, expected = set(), {}, []
+    for base in made:
+        number = tried.get(base, 1)
+        name = base if number == 1 else f"{base}_{number}"
+        while name in used:
+            number += 1
+            name = f"{base}_{number}"
+        tried[base] = number
+        used.add(name)
+        expected.append(name)
+    valid, _ = fasta.read_fasta_strict(spark, folder_)
+    assert sorted(r.id for r in valid.collect()) == sorted(expected)
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from epitrove.session import local_session\n"
+        "spark = local_session('2')\n"
+        "for name in ('read_fasta', 'read_peptide_list', 'align_references'):\n"
+        "    print(name, entry.queries()[name](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split()) == 6
