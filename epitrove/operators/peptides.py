@@ -69,11 +69,18 @@ def find_occurrences(sequences: DataFrame, peptides: DataFrame) -> DataFrame:
     return lookup_join(filled, found, "sequence", "inner").select("seq_index", "seq_id", "peptide", "start", "length")
 
 
-def class_one_workset(peptides: DataFrame, candidates: DataFrame, protein: str) -> DataFrame:
-    """Distinct ungapped class I peptides among one protein's uploads and the top candidates."""
-    uploads = peptides.where(F.upper("protein") == protein.strip().upper()).select("peptide")
+def class_one_workset(peptides: DataFrame, candidates: DataFrame, protein: str | None = None) -> DataFrame:
+    """Distinct ungapped class I peptides among one protein's uploads and the top candidates.
+
+    Without a protein the candidates have a column ``protein``, and so has the result.
+    """
+    name, by = F.upper(F.trim("protein")), ["protein"] if protein is None else []
+    if protein is None:
+        peptides, candidates = (rows.withColumn("protein", name) for rows in (peptides, candidates))
+    else:
+        peptides = peptides.where(name == protein.strip().upper())
     bare = F.upper(ungapped(F.col("peptide"))).alias("peptide")
-    everything = uploads.unionByName(candidates.select("peptide")).select(bare)
+    everything = peptides.select(*by, "peptide").unionByName(candidates.select(*by, "peptide")).select(*by, bare)
     return everything.where(within_class(F.col("peptide"), "I")).distinct()
 
 

@@ -117,30 +117,53 @@ def window_tallies_selected(tallies: DataFrame, selected: str) -> DataFrame:
     return tallies.select(*measures).unionByName(zero.select(*measures))
 
 
-def _usable_uploads(aligned: DataFrame, protein: str) -> DataFrame:
-    placed = (F.length("peptide_aligned") > 0) & (F.col("start") > 0)
-    return aligned.where(placed & (F.upper("protein") == protein.strip().upper()))
+def _name(text: Column) -> Column:
+    """How proteins are compared here."""
+    return F.upper(F.trim(text))
 
 
-def peptide_tallies(aligned: DataFrame, tallies: DataFrame, protein: str) -> DataFrame:
+def _of(rows: DataFrame, protein: str | None) -> DataFrame:
+    """The rows of one protein; without a name all rows, with their proteins' names as they are compared."""
+    if protein is None:
+        return rows.withColumn("protein", _name(F.col("protein")))
+    return rows.where(_name(F.col("protein")) == protein.strip().upper())
+
+
+def _by(protein: str | None) -> list[str]:
+    """What tallies of one protein lack and those of all proteins are grouped by."""
+    return ["protein"] if protein is None else []
+
+
+def _tallied(tallies: DataFrame, protein: str | None) -> DataFrame:
+    return _of(tallies, None) if protein is None else tallies
+
+
+def _shown(protein: str | None) -> Column:
+    return F.col("protein") if protein is None else F.lit(protein).alias("protein")
+
+
+def peptide_tallies(aligned: DataFrame, tallies: DataFrame, protein: str | None = None) -> DataFrame:
     """Frequencies of each uploaded peptide summed over the windows it was seen in.
 
-    Totals are those of its first window, and the shares are formed anew.
+    Totals are those of its first window, and the shares are formed anew. With a protein the tallies
+    are that protein's; without, they have a column ``protein`` and all proteins are done at once.
     """
-    uploads = _usable_uploads(aligned, protein).select(F.upper("peptide_aligned").alias("key")).distinct()
-    wanted = lookup_join(tallies.withColumn("key", F.upper("peptide")), uploads, "key", "left_semi")
+    by = _by(protein)
+    placed = aligned.where((F.length("peptide_aligned") > 0) & (F.col("start") > 0))
+    uploads = _of(placed, protein).select(*by, F.upper("peptide_aligned").alias("key")).distinct()
+    wanted = lookup_join(_tallied(tallies, protein).withColumn("key", F.upper("peptide")), uploads, [*by, "key"], "left_semi")
     window = F.struct(*WINDOW)
-    summed = wanted.groupBy("peptide").agg(
+    summed = wanted.groupBy(*by, "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"),
         F.min_by("total_all", window).alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"),
         F.min_by("total_unique", window).alias("total_unique"),
     )
     return summed.select(
-        F.lit(protein).alias("protein"), "peptide",
+        _shown(protein), "peptide",
         "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
         "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
-    ).orderBy(F.desc("proportion_all"), "peptide")
+    ).orderBy("protein", F.desc("proportion_all"), "peptide")
 
 
 def _leading(tallies: DataFrame, group: Sequence[str], metric: str, most: int) -> DataFrame:
@@ -242,14 +265,18 @@ def mismatch_template(rows: DataFrame, selected: str, key: str = "ungapped_key")
 def peptide_proportion_lookup(aligned: DataFrame, tallies: DataFrame, unique: bool = False) -> DataFrame:
     """Share of each aligned peptide in its own window; 0 when it was not seen there.
 
-    Peptides are compared without gaps; of several gap patterns the largest share counts.
+    Peptides are compared without gaps; of several gap patterns the largest share counts. Tallies
+    with a column ``protein`` are looked up by protein.
     """
     metric = "proportion_unique" if unique else "proportion_all"
+    named = ["__protein"] if "protein" in tallies.columns else []
     shares = tallies.withColumn("key", F.upper(ungapped(F.col("peptide"))))
-    shares = shares.groupBy("start", F.col("len").alias("length"), "key").agg(F.max(metric).alias("proportion"))
     text = F.when(F.length("peptide_aligned") > 0, F.col("peptide_aligned")).otherwise(F.col("peptide"))
     keyed = aligned.withColumn("key", F.upper(ungapped(text)))
-    joined = lookup_join(keyed, shares, ["start", "length", "key"], "left")
+    if named:
+        shares, keyed = (rows.withColumn("__protein", _name(F.col("protein"))) for rows in (shares, keyed))
+    shares = shares.groupBy(*named, "start", F.col("len").alias("length"), "key").agg(F.max(metric).alias("proportion"))
+    joined = lookup_join(keyed, shares, [*named, "start", "length", "key"], "left")
     return joined.select(*aligned.columns, F.coalesce("proportion", F.lit(0.0)).alias("proportion"))
 
 
@@ -261,101 +288,114 @@ def aligned_summary(aligned: DataFrame) -> DataFrame:
     )
 
 
-def conserved_summary(aligned: DataFrame, tallies: DataFrame, protein: str) -> DataFrame:
-    """Uploaded peptides whose largest share is above and below the conserved bound.
+def conserved_summary(aligned: DataFrame, tallies: DataFrame, protein: str | None = None) -> DataFrame:
+    """Uploaded peptides whose largest share is above and below the conserved bound, of one protein or of each.
 
     A peptide that was not seen counts as below; one exactly at the bound counts in neither.
     """
-    wanted = protein_key(F.lit(protein))
-    uploads = aligned.where(protein_key(F.col("protein")) == wanted).select(peptide_key(F.col("peptide")).alias("key"))
-    uploads = uploads.where("key <> ''").distinct()
+    by = _by(protein)
+    if protein is None:
+        aligned, tallies = (rows.withColumn("protein", protein_key(F.col("protein"))) for rows in (aligned, tallies))
+    else:
+        aligned = aligned.where(protein_key(F.col("protein")) == protein_key(F.lit(protein)))
+    uploads = aligned.select(*by, peptide_key(F.col("peptide")).alias("key")).where("key <> ''").distinct()
     shares = tallies.select(
-        peptide_key(F.col("peptide")).alias("key"), F.coalesce("proportion_all", "proportion_unique").alias("share")
-    ).groupBy("key").agg(F.max("share").alias("share"))
+        *by, peptide_key(F.col("peptide")).alias("key"), F.coalesce("proportion_all", "proportion_unique").alias("share")
+    ).groupBy(*by, "key").agg(F.max("share").alias("share"))
     share = F.coalesce("share", F.lit(0.0))
-    return uploads.join(shares, "key", "left").agg(
+    return uploads.join(shares, [*by, "key"], "left").groupBy(*by).agg(
         F.count_if(share > CONSERVED_SHARE).alias("conserved"), F.count_if(share < CONSERVED_SHARE).alias("not_conserved")
     )
 
 
-def _root_windows(aligned: DataFrame, protein: str) -> DataFrame:
-    """Distinct (root, window) of the uploads of one protein."""
-    return aligned.where(
-        (F.upper("protein") == protein.strip().upper()) & (F.col("start") > 0) & (F.col("length") > 0)
-    ).select(
-        F.upper(ungapped(F.col("peptide"))).alias("root"),
+def _root_windows(aligned: DataFrame, protein: str | None) -> DataFrame:
+    """Distinct (root, window) of the uploads of one protein, or of each."""
+    return _of(aligned.where((F.col("start") > 0) & (F.col("length") > 0)), protein).select(
+        *_by(protein), F.upper(ungapped(F.col("peptide"))).alias("root"),
         F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("len"),
     ).where("root <> ''").distinct()
 
 
-def window_roots(aligned: DataFrame, candidates: DataFrame, protein: str) -> DataFrame:
-    """Root peptides of every candidate: those uploaded in its windows, and itself if uploaded."""
+def window_roots(aligned: DataFrame, candidates: DataFrame, protein: str | None = None) -> DataFrame:
+    """Root peptides of every candidate: those uploaded in its windows, and itself if uploaded.
+
+    Of one protein, or with the column ``protein`` of each.
+    """
+    by = _by(protein)
     by_window = _root_windows(aligned, protein)
-    keyed = candidates.select(F.upper(ungapped(F.col("peptide"))).alias("peptide"), *WINDOW).distinct()
-    found = lookup_join(keyed, by_window, WINDOW, "inner").select("peptide", "root")
-    own = aligned.where(F.upper("protein") == protein.strip().upper()).select(
-        F.upper(ungapped(F.col("peptide"))).alias("peptide")
-    ).withColumn("root", F.col("peptide"))
+    keyed = _tallied(candidates, protein).select(*by, F.upper(ungapped(F.col("peptide"))).alias("peptide"), *WINDOW).distinct()
+    found = lookup_join(keyed, by_window, [*by, *WINDOW], "inner").select(*by, "peptide", "root")
+    own = _of(aligned, protein).select(*by, F.upper(ungapped(F.col("peptide"))).alias("peptide")).withColumn("root", F.col("peptide"))
     return found.unionByName(own).where("peptide <> ''").distinct()
 
 
-def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: DataFrame, protein: str) -> DataFrame:
+def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: DataFrame, protein: str | None = None) -> DataFrame:
     """Predictions with the tallies of their peptide and its roots, joined by ``;``.
 
-    Frequencies are summed over windows; the totals are those of the last window.
+    Frequencies are summed over windows; the totals are those of the last window. Without a protein
+    every prediction comes once for each protein that has tallies or roots.
     """
+    by = _by(protein)
     window = F.struct(*WINDOW)
     predicted = predictions.select(F.upper(ungapped(F.col("peptide"))).alias("peptide")).distinct()
-    bare = tallies.withColumn("peptide", F.upper(ungapped(F.col("peptide"))))
-    summed = lookup_join(bare, predicted, "peptide", "left_semi").groupBy("peptide").agg(
+    bare = _tallied(tallies, protein).withColumn("peptide", F.upper(ungapped(F.col("peptide"))))
+    summed = lookup_join(bare, predicted, "peptide", "left_semi").groupBy(*by, "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", window).alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", window).alias("total_unique"),
     )
     # The list of roots is part of the result row.
-    joined_roots = roots.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("root")), ";").alias("root"))
+    joined_roots = _tallied(roots, protein).groupBy(*by, "peptide").agg(F.array_join(F.array_sort(F.collect_set("root")), ";").alias("root"))
     base = predictions.select(
         F.upper("allele").alias("allele"), F.upper(ungapped(F.col("peptide"))).alias("peptide"),
         "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
     )
-    both = lookup_join(lookup_join(base, summed, "peptide", "left"), joined_roots, "peptide", "left")
+    if protein is None:
+        # The proteins' names: one short list, as a subquery.
+        names = tallies.select("protein").unionByName(roots.select("protein")).agg(F.collect_set(_name(F.col("protein")))).scalar()
+        base = base.withColumn("protein", F.explode(names))
+    both = lookup_join(lookup_join(base, summed, [*by, "peptide"], "left"), joined_roots, [*by, "peptide"], "left")
     counts = ("frequency_all", "total_all", "frequency_unique", "total_unique")
     filled = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return filled.select(
-        F.lit(protein).alias("protein"), "allele", "peptide", "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
+        _shown(protein), "allele", "peptide", "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
         "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
         "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
         F.coalesce("root", F.lit("")).alias("root"),
     )
 
 
-def frequency_summary(aligned: DataFrame, tallies: DataFrame, protein: str, most: int = TOP_ALTERNATES) -> DataFrame:
+def frequency_summary(
+    aligned: DataFrame, tallies: DataFrame, protein: str | None = None, most: int = TOP_ALTERNATES
+) -> DataFrame:
     """Every root seen in its windows with its tallies, and up to four alternates from there.
 
     Alternates are the most frequent over all sequences. The fill from the ranking over distinct
     sequences only applies when there are fewer, and then the first ranking already has them all.
+    Of one protein, or of each that the tallies' column ``protein`` names.
     """
+    by = _by(protein)
     roots = _root_windows(aligned, protein)
-    rows = tallies.select(
-        *WINDOW, F.upper(ungapped(F.col("peptide"))).alias("peptide"),
+    rows = _tallied(tallies, protein).select(
+        *by, *WINDOW, F.upper(ungapped(F.col("peptide"))).alias("peptide"),
         "frequency_all", "total_all", "frequency_unique", "total_unique",
     ).where("peptide <> ''")
     # Roots that share their windows share the counts, so they are summed per window first.
-    rows = rows.groupBy(*WINDOW, "peptide").agg(
+    rows = rows.groupBy(*by, *WINDOW, "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"), F.max("total_all").alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"), F.max("total_unique").alias("total_unique"),
     )
     window = F.struct(*WINDOW)
-    paired = lookup_join(rows, roots, WINDOW, "inner").groupBy("root", "peptide").agg(
+    paired = lookup_join(rows, roots, [*by, *WINDOW], "inner").groupBy(*by, "root", "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", window).alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", window).alias("total_unique"),
     )
     own = F.col("peptide") == F.col("root")
-    seen = paired.where(own).select("root")
-    order = Window.partitionBy("root").orderBy(F.desc("frequency_all"), F.desc("frequency_unique"), "peptide")
+    seen = paired.where(own).select(*by, "root")
+    order = Window.partitionBy(*by, "root").orderBy(F.desc("frequency_all"), F.desc("frequency_unique"), "peptide")
     alternates = paired.where(~own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    alternates = alternates.drop("place").join(seen, "root", "left_semi")
+    alternates = alternates.drop("place").join(seen, [*by, "root"], "left_semi")
     return paired.where(own).unionByName(alternates).select(
-        "peptide", F.lit(protein).alias("protein"),
+        "peptide", _shown(protein),
         "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
         "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
         F.col("root").alias("root_peptide"),

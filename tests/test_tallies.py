@@ -164,3 +164,31 @@ def test_all_and_distinct_counts_meet(isolates):
     once = every.where("peptide <> 'MKT'").withColumnRenamed("frequency_all", "frequency_unique")
     both = tly.full_outer_all_unique(every, once)
     assert rows(both.where("peptide = 'MKT'")) == [(1, 3, "MKT", 9, 0)]
+
+
+def test_all_proteins_at_once_are_each_protein_alone(spark, isolates, uploads):
+    windows = tly.distinct_windows(uploads).withColumn("protein", F.upper("protein")).distinct()
+    every = pin(tly.window_tallies(isolates, windows, ["protein"]))
+    candidates = tly.top_candidates_by_window(every, by=["protein"])
+    predictions = spark.createDataFrame([("a1", "mktv", 1.0, 2.0), ("A1", "GG", 3.0, None)],
+                                        "allele string, peptide string, netmhcpan_el_percentile double, netmhcpan_ba_percentile double")
+    roots = tly.window_roots(uploads, candidates)
+    together = {
+        "tallies": tly.peptide_tallies(uploads, every), "summary": tly.frequency_summary(uploads, every),
+        "roots": roots.select("protein", "peptide", "root"), "conserved": tly.conserved_summary(uploads, every).select("protein", "conserved", "not_conserved"),
+        "annotated": tly.annotate_predictions(predictions, every, roots),
+    }
+    found = {name: rows(frame) for name, frame in together.items()}
+    expected = {name: [] for name in found}
+    for protein in ("M1", "HA"):
+        own = every.where(F.col("protein") == protein).drop("protein")
+        mine = tly.window_roots(uploads, tly.top_candidates_by_window(own), protein)
+        parts = {
+            "tallies": tly.peptide_tallies(uploads, own, protein), "summary": tly.frequency_summary(uploads, own, protein),
+            "roots": mine.select(F.lit(protein), "peptide", "root"),
+            "conserved": tly.conserved_summary(uploads, own, protein).select(F.lit(protein), "conserved", "not_conserved"),
+            "annotated": tly.annotate_predictions(predictions, own, mine, protein),
+        }
+        for name, frame in parts.items():
+            expected[name] += rows(frame)
+    assert {k: sorted(map(str, v)) for k, v in found.items()} == {k: sorted(map(str, v)) for k, v in expected.items()}

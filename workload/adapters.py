@@ -152,30 +152,24 @@ def live_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return position_frequencies(filter_isolates(isolates(spark, sf), NON_HUMAN))
 
 
-def upload_tallies(spark: SparkSession, sf: str, protein: str = "M1", placed: DataFrame | None = None) -> DataFrame:
-    """Tallies of one protein over the windows of its aligned uploads."""
+def upload_tallies(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
+    """Tallies of every protein over the windows of its aligned uploads."""
     placed = aligned(spark, sf) if placed is None else placed
-    windows = distinct_windows(placed).where(F.col("protein") == protein)
-    kept = filter_isolates(isolates(spark, sf), IsolateFilter(protein=protein))
-    return window_tallies(kept, windows, ["protein"]).drop("protein")
+    return window_tallies(isolates(spark, sf), distinct_windows(placed), ["protein"])
 
 
-def uploads_and_tallies(spark: SparkSession, sf: str, protein: str = "M1") -> tuple[DataFrame, DataFrame]:
-    """Aligned uploads, kept because they are used twice, and the tallies of their windows."""
+def uploads_and_tallies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Aligned uploads and the tallies of their windows, both kept because they are used more than once."""
     placed = pin(aligned(spark, sf))
-    return placed, upload_tallies(spark, sf, protein, placed)
+    return placed, pin(upload_tallies(spark, sf, placed))
 
 
-def uploads_and_candidates(
-    spark: SparkSession, sf: str, protein: str = "M1"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Aligned uploads, stored tallies and the top candidates, which read the tallies several times."""
-    placed, tallies = uploads_and_tallies(spark, sf, protein)
-    tallies = pin(tallies)
-    return placed, tallies, top_candidates_by_window(tallies)
+def uploads_and_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Aligned uploads, their tallies and the top candidates."""
+    placed, tallies = uploads_and_tallies(spark, sf)
+    return placed, tallies, top_candidates_by_window(tallies, by=["protein"])
 
 
-def annotated(spark: SparkSession, sf: str, protein: str = "M1") -> DataFrame:
-    placed, tallies, candidates = uploads_and_candidates(spark, sf, protein)
-    roots = window_roots(placed, candidates, protein)
-    return annotate_predictions(predictions(spark, sf), tallies, roots, protein)
+def annotated(spark: SparkSession, sf: str) -> DataFrame:
+    placed, tallies, candidates = uploads_and_candidates(spark, sf)
+    return annotate_predictions(predictions(spark, sf), tallies, window_roots(placed, candidates))

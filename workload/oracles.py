@@ -105,45 +105,49 @@ def _frequencies(source: str, by: str = "", suffix: str = "") -> str:
   LEFT JOIN totals_u tu USING {using}"""
 
 
-def _tallies(source: str, windows: str) -> str:
-    """One group per window and substring: its rows, its distinct sequences, and their sums over the window."""
+def _tallies(source: str, windows: str, by: str = "") -> str:
+    """One group per window and substring: its rows, its distinct sequences, and their sums over the window.
+
+    ``by`` names a column of both sides by which all of it is done.
+    """
+    keys, pairs = (f"{by}, ", f"{source} JOIN {windows} USING ({by})") if by else ("", f"{source}, {windows}")
     return f"""
-  SELECT start, len, peptide, n::BIGINT AS frequency_all, (sum(n) OVER here)::BIGINT AS total_all, n / sum(n) OVER here AS proportion_all,
+  SELECT {keys}start, len, peptide, n::BIGINT AS frequency_all, (sum(n) OVER here)::BIGINT AS total_all, n / sum(n) OVER here AS proportion_all,
     u::BIGINT AS frequency_unique, (sum(u) OVER here)::BIGINT AS total_unique, u / sum(u) OVER here AS proportion_unique
-  FROM (SELECT start, len, substr(sequence, start, len) AS peptide, count(*) AS n, count(DISTINCT sequence) AS u
-        FROM {source}, {windows} GROUP BY ALL)
-  WINDOW here AS (PARTITION BY start, len)"""
+  FROM (SELECT {keys}start, len, substr(sequence, start, len) AS peptide, count(*) AS n, count(DISTINCT sequence) AS u
+        FROM {pairs} GROUP BY ALL)
+  WINDOW here AS (PARTITION BY {keys}start, len)"""
 
 
 CTES |= {
     "m1": "SELECT * FROM isolates WHERE protein = 'M1'",
     "nonhuman": "SELECT * FROM isolates WHERE protein = 'M1' AND host <> 'Homo sapiens'",
     "windows": "SELECT * FROM (VALUES (1, 9), (5, 9), (20, 10), (55, 9)) t(start, len)",
-    "upload_windows": "SELECT DISTINCT start, length AS len FROM aligned WHERE protein = 'M1' AND start > 0 AND length > 0",
+    "upload_windows": "SELECT DISTINCT protein, start, length AS len FROM aligned WHERE start > 0 AND length > 0",
     "first_window": "SELECT * FROM (VALUES (1, 9)) t(start, len)",
     "frequencies": _frequencies("isolates", "protein"),
     "live": _frequencies("nonhuman"),
-    "tallies": _tallies("m1", "upload_windows"),
+    "tallies": _tallies("isolates", "upload_windows", "protein"),
     "first_tallies": _tallies("m1", "first_window"),
     "candidates": """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, len ORDER BY proportion_all DESC, peptide) AS r_all,
-      row_number() OVER (PARTITION BY start, len ORDER BY proportion_unique DESC, peptide) AS r_u FROM tallies)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protein, start, len ORDER BY proportion_all DESC, peptide) AS r_all,
+      row_number() OVER (PARTITION BY protein, start, len ORDER BY proportion_unique DESC, peptide) AS r_u FROM tallies)
   WHERE r_all <= 5 OR r_u <= 5""",
     "roots": """
-  SELECT DISTINCT c.peptide, r.root FROM
-    (SELECT start, len, upper(replace(peptide, '-', '')) AS peptide FROM candidates) c
-    JOIN (SELECT start, length AS len, peptide AS root FROM aligned WHERE protein = 'M1' AND start > 0) r USING (start, len)
+  SELECT DISTINCT protein, c.peptide, r.root FROM
+    (SELECT protein, start, len, upper(replace(peptide, '-', '')) AS peptide FROM candidates) c
+    JOIN (SELECT protein, start, length AS len, peptide AS root FROM aligned WHERE start > 0) r USING (protein, start, len)
   WHERE c.peptide <> ''
-  UNION SELECT peptide, peptide FROM aligned WHERE protein = 'M1'""",
+  UNION SELECT protein, peptide, peptide FROM aligned""",
     "annotated": """
-  SELECT 'M1' AS protein, allele, p.peptide, netmhcpan_el_percentile, netmhcpan_ba_percentile,
+  SELECT protein, allele, p.peptide, netmhcpan_el_percentile, netmhcpan_ba_percentile,
     coalesce(fa, 0)::BIGINT AS frequency_all, coalesce(ta, 0)::BIGINT AS total_all, coalesce(fa::DOUBLE / ta, 0) AS proportion_all,
     coalesce(fu, 0)::BIGINT AS frequency_unique, coalesce(tu, 0)::BIGINT AS total_unique,
     coalesce(fu::DOUBLE / tu, 0) AS proportion_unique, coalesce(root, '') AS root
-  FROM predictions p LEFT JOIN (
-    SELECT replace(peptide, '-', '') AS peptide, sum(frequency_all) AS fa, max(total_all) AS ta,
-      sum(frequency_unique) AS fu, max(total_unique) AS tu FROM tallies GROUP BY 1) t ON t.peptide = p.peptide
-  LEFT JOIN (SELECT peptide, string_agg(root, ';' ORDER BY root) AS root FROM roots GROUP BY 1) r ON r.peptide = p.peptide""",
+  FROM predictions p CROSS JOIN (SELECT protein FROM bases) LEFT JOIN (
+    SELECT protein, replace(peptide, '-', '') AS peptide, sum(frequency_all) AS fa, max(total_all) AS ta,
+      sum(frequency_unique) AS fu, max(total_unique) AS tu FROM tallies GROUP BY 1, 2) t USING (protein, peptide)
+  LEFT JOIN (SELECT protein, peptide, string_agg(root, ';' ORDER BY root) AS root FROM roots GROUP BY 1, 2) r USING (protein, peptide)""",
     "facet_counts": """
   SELECT facet, place AS position, substr(sequence, place, 1) AS aminoacid, count(*) AS cnt
   FROM nonhuman_facets, range(1, 61) AS places(place)
@@ -179,8 +183,8 @@ CTES |= {
 }
 NEEDS |= {
     "m1": ["isolates"], "nonhuman": ["isolates"], "upload_windows": ["aligned"], "frequencies": ["isolates"],
-    "live": ["nonhuman"], "tallies": ["m1", "upload_windows"], "first_tallies": ["m1", "first_window"],
-    "candidates": ["tallies"], "roots": ["candidates", "aligned"], "annotated": ["predictions", "tallies", "roots"],
+    "live": ["nonhuman"], "tallies": ["isolates", "upload_windows"], "first_tallies": ["m1", "first_window"],
+    "candidates": ["tallies"], "roots": ["candidates", "aligned"], "annotated": ["bases", "predictions", "tallies", "roots"],
     "nonhuman_facets": ["nonhuman"], "nonhuman_genotypes": ["nonhuman"], "facet_counts": ["nonhuman_facets"],
     "facet_ranks": ["facet_counts"], "half_cached": ["predictions"], "missing": ["alleles", "uploads", "half_cached"],
     "occurrences": ["scanned", "uploads"], "consensus_all": ["frequencies"], "qualifying": ["annotated"],
@@ -328,8 +332,9 @@ SELECT DISTINCT CASE WHEN trim(attribute_2) <> '' THEN attribute_2 END AS catego
 SELECT position, substr(sequence, position, 1) AS aminoacid, count(*) AS n, sum(seq_id)::BIGINT AS id_sum FROM cells GROUP BY ALL"""),
     "cross_windows": sql("isolates windows", """
 SELECT seq_id, start, len, substr(sequence, start, len) AS peptide FROM isolates CROSS JOIN windows"""),
-    "full_outer_all_unique": sql("m1 windows", f"""
-, t AS ({_tallies('m1', 'windows')}) SELECT start, len, peptide, frequency_all, frequency_unique FROM t"""),
+    "full_outer_all_unique": sql("isolates windows", """
+SELECT protein, start, len, substr(sequence, start, len) AS peptide, count(*) AS frequency_all, count(DISTINCT sequence) AS frequency_unique
+FROM isolates, windows GROUP BY ALL"""),
     "left_join_totals": sql("frequencies", """
 SELECT protein, position, aminoacid, frequency_all, total_all, value FROM frequencies"""),
     "join_top_facets": sql("isolates", """
@@ -381,10 +386,10 @@ SELECT k AS ungapped_key, display AS display_peptide,
     CASE WHEN substr(display, i, 1) = substr('MKTA--YIAKQ', i, 1) THEN '.' ELSE 'x' END), 'string_agg', '') AS mismatches FROM d"""),
     "peptide_proportion_lookup": sql("aligned tallies", """
 SELECT peptide_id, coalesce(max(proportion_all), 0) AS proportion FROM aligned a
-LEFT JOIN tallies t ON t.start = a.start AND t.len = a.length
+LEFT JOIN tallies t ON t.protein = a.protein AND t.start = a.start AND t.len = a.length
   AND replace(t.peptide, '-', '') = replace(coalesce(a.peptide_aligned, a.peptide), '-', '')
-WHERE a.protein = 'M1' GROUP BY peptide_id"""),
-    "window_roots": sql("roots", "SELECT peptide, root FROM roots"),
+GROUP BY peptide_id"""),
+    "window_roots": sql("roots", "SELECT protein, peptide, root FROM roots"),
     "annotate_predictions": sql("annotated", "SELECT * FROM annotated"),
     "label_sequences": sql("scan scanned", """
 SELECT coalesce(q.seq_id, concat('seq', seq_no)) AS label, allele, peptide, start FROM scan
@@ -400,10 +405,10 @@ SELECT * EXCLUDE (start, len) FROM first_tallies UNION ALL
 SELECT 'QQQQQQQQQ', 0, max(total_all), 0.0, 0, max(total_unique), 0.0 FROM first_tallies"""),
     "upload_window_tallies": sql("tallies", "SELECT * FROM tallies"),
     "peptide_tallies": sql("tallies aligned", """
-, s AS (SELECT peptide, sum(frequency_all)::BIGINT AS fa, arg_min(total_all, start * 1000 + len) AS ta,
+, s AS (SELECT protein, peptide, sum(frequency_all)::BIGINT AS fa, arg_min(total_all, start * 1000 + len) AS ta,
   sum(frequency_unique)::BIGINT AS fu, arg_min(total_unique, start * 1000 + len) AS tu FROM tallies
-  WHERE upper(peptide) IN (SELECT upper(peptide_aligned) FROM aligned WHERE protein = 'M1' AND start > 0) GROUP BY peptide)
-SELECT 'M1' AS protein, peptide, fa AS frequency_all, ta AS total_all, fa::DOUBLE / ta AS proportion_all,
+  WHERE (protein, upper(peptide)) IN (SELECT (protein, upper(peptide_aligned)) FROM aligned WHERE start > 0) GROUP BY ALL)
+SELECT protein, peptide, fa AS frequency_all, ta AS total_all, fa::DOUBLE / ta AS proportion_all,
   fu AS frequency_unique, tu AS total_unique, fu::DOUBLE / tu AS proportion_unique FROM s"""),
     "distinct_values": sql("isolates", """
 SELECT trim(host) AS val, count(*) AS n FROM isolates WHERE host IS NOT NULL AND length(trim(host)) > 0 GROUP BY 1"""),
@@ -434,19 +439,19 @@ SELECT a.n AS total_all_previous, b.n AS total_all_current, a.u AS total_unique_
 SELECT protein, count(*) FILTER (length(peptide_aligned) > 0) AS aligned,
   count(*) FILTER (coalesce(length(peptide_aligned), 0) = 0) AS not_aligned FROM aligned GROUP BY protein"""),
     "conserved_summary": sql("aligned tallies", """
-, u AS (SELECT DISTINCT peptide FROM aligned WHERE protein = 'M1'),
-s AS (SELECT u.peptide, coalesce(max(proportion_all), 0) AS share FROM u
-  LEFT JOIN tallies t ON replace(t.peptide, '-', '') = u.peptide GROUP BY 1)
-SELECT count(*) FILTER (share > 0.95) AS conserved, count(*) FILTER (share < 0.95) AS not_conserved FROM s"""),
+, u AS (SELECT DISTINCT protein, peptide FROM aligned),
+s AS (SELECT u.protein, u.peptide, coalesce(max(proportion_all), 0) AS share FROM u
+  LEFT JOIN tallies t ON t.protein = u.protein AND replace(t.peptide, '-', '') = u.peptide GROUP BY 1, 2)
+SELECT protein, count(*) FILTER (share > 0.95) AS conserved, count(*) FILTER (share < 0.95) AS not_conserved FROM s GROUP BY protein"""),
     "frequency_summary": sql("aligned tallies", """
-, r AS (SELECT DISTINCT peptide AS root, start, length AS len FROM aligned WHERE protein = 'M1' AND start > 0),
-g AS (SELECT root, replace(t.peptide, '-', '') AS peptide, sum(frequency_all)::BIGINT AS fa, max(total_all) AS ta,
-  sum(frequency_unique)::BIGINT AS fu, max(total_unique) AS tu FROM r JOIN tallies t USING (start, len)
+, r AS (SELECT DISTINCT protein, peptide AS root, start, length AS len FROM aligned WHERE start > 0),
+g AS (SELECT protein, root, replace(t.peptide, '-', '') AS peptide, sum(frequency_all)::BIGINT AS fa, max(total_all) AS ta,
+  sum(frequency_unique)::BIGINT AS fu, max(total_unique) AS tu FROM r JOIN tallies t USING (protein, start, len)
   WHERE replace(t.peptide, '-', '') <> '' GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY root, peptide = root ORDER BY fa DESC, fu DESC, peptide) AS place FROM g)
-SELECT peptide, 'M1' AS protein, fa AS frequency_all, ta AS total_all, fa::DOUBLE / ta AS proportion_all,
+k AS (SELECT *, row_number() OVER (PARTITION BY protein, root, peptide = root ORDER BY fa DESC, fu DESC, peptide) AS place FROM g)
+SELECT peptide, protein, fa AS frequency_all, ta AS total_all, fa::DOUBLE / ta AS proportion_all,
   fu AS frequency_unique, tu AS total_unique, fu::DOUBLE / tu AS proportion_unique, root AS root_peptide
-FROM k WHERE place <= 4 AND root IN (SELECT root FROM g WHERE peptide = root)"""),
+FROM k WHERE place <= 4 AND (protein, root) IN (SELECT (protein, root) FROM g WHERE peptide = root)"""),
     "min_percentile_by_position": sql("scan", """
 , cells AS (SELECT *, unnest(generate_series(start, end_pos))::INT AS position FROM scan WHERE el IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY seq_no, len, allele, position ORDER BY el, start, peptide) AS r FROM cells)
@@ -487,8 +492,8 @@ grown AS (WITH RECURSIVE g(protein, nth, size, start_position, end_position, pep
 SELECT protein, size AS peptide_len, min(start_position) AS start_position, min(end_position) AS end_position, peptide
 FROM grown WHERE size >= 8 GROUP BY protein, size, peptide"""),
     "class_one_workset": sql("uploads candidates", """
-SELECT DISTINCT p AS peptide FROM (SELECT peptide AS p FROM uploads WHERE protein = 'M1'
-  UNION ALL SELECT replace(peptide, '-', '') FROM candidates) WHERE length(p) BETWEEN 8 AND 14"""),
+SELECT DISTINCT protein, p AS peptide FROM (SELECT protein, peptide AS p FROM uploads
+  UNION ALL SELECT protein, replace(peptide, '-', '') FROM candidates) WHERE length(p) BETWEEN 8 AND 14"""),
     "request_batches": sql("predictions", """
 , n AS (SELECT peptide, row_number() OVER (ORDER BY peptide) - 1 AS n FROM (SELECT DISTINCT peptide FROM predictions))
 SELECT n // 1000 + 1 AS batch, count(*) AS peptides, string_agg(concat('>p', n % 1000 + 1, chr(10), peptide), chr(10) ORDER BY n) AS fasta
@@ -501,7 +506,7 @@ SELECT row_number() OVER (ORDER BY len, n // 1000) AS batch, len AS peptide_len,
     # Ranking, sorting, paging, set operations
     "rank_facet_residue": sql("facet_ranks", "SELECT * FROM facet_ranks"),
     "top_candidates_by_window": sql("candidates", """
-SELECT start, len, peptide, r_all, r_u, proportion_all, proportion_unique, frequency_all, total_all, frequency_unique, total_unique
+SELECT protein, start, len, peptide, r_all, r_u, proportion_all, proportion_unique, frequency_all, total_all, frequency_unique, total_unique
 FROM candidates"""),
     "top_alternates": sql("first_tallies", """
 , rest AS (SELECT *, row_number() OVER (ORDER BY proportion_all DESC, peptide) AS r FROM first_tallies

@@ -426,13 +426,14 @@ def cross_windows(spark, sf):
 
 @query
 def full_outer_all_unique(spark, sf):
-    rows = ad.isolates(spark, sf).where("protein = 'M1'")
-    keys = ["start", "len", "peptide"]
-    every = tly.cross_windows(rows, ad.WINDOWS, []).groupBy(keys).agg(F.count(F.lit(1)).alias("frequency_all"))
-    once = tly.cross_windows(frq.distinct_sequences(rows), ad.WINDOWS, []).groupBy(keys).agg(
+    rows = ad.isolates(spark, sf)
+    by = ["protein"]
+    keys = [*by, "start", "len", "peptide"]
+    every = tly.cross_windows(rows, ad.WINDOWS, by).groupBy(keys).agg(F.count(F.lit(1)).alias("frequency_all"))
+    once = tly.cross_windows(frq.distinct_sequences(rows, by), ad.WINDOWS, by).groupBy(keys).agg(
         F.count(F.lit(1)).alias("frequency_unique")
     )
-    return tly.full_outer_all_unique(every, once)
+    return tly.full_outer_all_unique(every, once, by)
 
 
 @query
@@ -551,14 +552,13 @@ def mismatch_template(spark, sf):
 @query
 def peptide_proportion_lookup(spark, sf):
     placed, tallies = ad.uploads_and_tallies(spark, sf)
-    placed = placed.where("protein = 'M1'").select("peptide_id", "peptide", "peptide_aligned", "start", "length")
     return tly.peptide_proportion_lookup(placed, tallies).select("peptide_id", "proportion")
 
 
 @query
 def window_roots(spark, sf):
     placed, _, candidates = ad.uploads_and_candidates(spark, sf)
-    return tly.window_roots(placed, candidates, "M1")
+    return tly.window_roots(placed, candidates)
 
 
 @query
@@ -621,7 +621,7 @@ def upload_window_tallies(spark, sf):
 @query
 def peptide_tallies(spark, sf):
     placed, tallies = ad.uploads_and_tallies(spark, sf)
-    return tly.peptide_tallies(placed, tallies, "M1")
+    return tly.peptide_tallies(placed, tallies)
 
 
 @query
@@ -676,13 +676,13 @@ def aligned_summary(spark, sf):
 @query
 def conserved_summary(spark, sf):
     placed, tallies = ad.uploads_and_tallies(spark, sf)
-    return tly.conserved_summary(placed, tallies, "M1")
+    return tly.conserved_summary(placed, tallies)
 
 
 @query
 def frequency_summary(spark, sf):
     placed, tallies = ad.uploads_and_tallies(spark, sf)
-    return tly.frequency_summary(placed, tallies, "M1")
+    return tly.frequency_summary(placed, tallies)
 
 
 @query
@@ -745,7 +745,7 @@ def generate_peptides(spark, sf):
 @query
 def class_one_workset(spark, sf):
     candidates = ad.uploads_and_candidates(spark, sf)[2]
-    return pep.class_one_workset(ad.uploads(spark, sf), candidates, "M1")
+    return pep.class_one_workset(ad.uploads(spark, sf), candidates)
 
 
 @query
