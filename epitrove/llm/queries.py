@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epitrove.llm import embedding_dedup, fingerprints, language_id, minhash, mixing, packing, sharding, substring_dedup, toxicity, url_filter
+from epitrove.llm import embedding_dedup, fingerprints, language_id, minhash, mixing, oracles, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,5 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
-    "op9_url_filter": url_filter.oracle_sql(URL_RULES),
+    "op1_substring_dedup": oracles.substring_dedup(13),
+    "op2_sharding": oracles.sharding(16),
+    "op3_embedding_dedup": oracles.embedding_dedup(0.9),
+    "op4_minhash": oracles.minhash(3, 85),
+    "op9_url_filter": oracles.url_filter(URL_RULES),
 }

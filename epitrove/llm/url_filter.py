@@ -141,22 +141,3 @@ def rules_table(spark, rules: list[Rule]) -> DataFrame:
     """A list of rules as a DataFrame."""
     return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
 
-
-def oracle_sql(rules: list[Rule], default: str = "allow") -> str:
-    listed = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
-    return f"""
-        WITH rules(verdict, rule_host, rule_path) AS (VALUES {listed}),
-        parted AS (
-            SELECT row_number() OVER () AS line, page_id,
-                   translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)([^?#]*)', 1), ''),
-                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)([^?#]*)', 2), '') AS path
-            FROM pages
-        ), fits AS (
-            SELECT line, rule_host || rule_path AS rule, verdict,
-                   row_number() OVER (PARTITION BY line ORDER BY length(rule_host || rule_path) DESC) AS place
-            FROM parted JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-        )
-        SELECT page_id, host, path, rule, coalesce(verdict, '{default}') AS verdict
-        FROM parted LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (line)
-    """
