@@ -72,6 +72,37 @@ def minhash(size: int, percent: int) -> str:
     FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN components ON node = doc_id"""
 
 
+def mixing(parts: dict[str, int], others: str, block_rows: int) -> str:
+    """The schedule slot by slot: the earliest due of the released blocks, and a new start when a source is used up."""
+    named = {name: part for name, part in sorted(parts.items())}
+    listed = ", ".join(f"({n}, '{name}', {part})" for n, (name, part) in enumerate(named.items(), 1))
+    known = ", ".join(f"'{name}'" for name in parts if name != others)
+    return f"""
+    WITH RECURSIVE parts(i, name, part) AS (VALUES {listed}),
+    docs AS (SELECT doc_id, source, CASE WHEN source IN ({known}) THEN source ELSE '{others}' END AS mix_source FROM documents),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY mix_source ORDER BY doc_id) - 1 AS n FROM docs),
+    used AS (SELECT row_number() OVER (ORDER BY i) AS i, name, part, (rows + {block_rows - 1}) // {block_rows} AS blocks
+             FROM parts JOIN (SELECT mix_source AS name, count(*) AS rows FROM docs GROUP BY 1) USING (name)),
+    lists AS (SELECT list(part ORDER BY i) AS p, list(blocks ORDER BY i) AS blocks FROM used),
+    run(turn, slot, total, remaining, taken, source, block) AS (
+        SELECT 0, 0::BIGINT, list_sum(p)::BIGINT, blocks, list_transform(p, lambda x: 0::BIGINT), NULL::BIGINT, NULL::BIGINT FROM lists
+        UNION ALL
+        SELECT turn + 1, CASE WHEN ends THEN 0 ELSE slot + 1 END,
+               CASE WHEN ends THEN list_sum(list_transform(p, lambda x, i: CASE WHEN remaining[i] > taken[i] THEN x ELSE 0 END))::BIGINT ELSE total END,
+               CASE WHEN ends THEN list_transform(remaining, lambda x, i: x - taken[i]) ELSE remaining END,
+               list_transform(taken, lambda x, i: CASE WHEN ends THEN 0 WHEN i = best THEN x + 1 ELSE x END),
+               CASE WHEN NOT ends THEN best END, CASE WHEN NOT ends THEN blocks[best] - remaining[best] + taken[best] END
+        FROM (SELECT *, taken[best] = remaining[best] AS ends FROM (
+            SELECT run.*, p, blocks, list_min(list_filter(list_transform(p, lambda x, i: CASE
+                WHEN remaining[i] > 0 AND taken[i] * total // x <= slot THEN ((taken[i] + 1) * total + x - 1) // x * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
+            FROM run, lists WHERE list_sum(remaining) > 0))),
+    slots AS (SELECT row_number() OVER (ORDER BY turn) - 1 AS mix_slot, name AS mix_source, block AS mix_block
+              FROM run JOIN used ON used.i = run.source)
+    SELECT doc_id, d.source, mix_source, mix_block::BIGINT AS mix_block, mix_slot,
+           row_number() OVER (ORDER BY mix_slot, n) - 1 AS mix_position
+    FROM numbered d JOIN slots USING (mix_source) WHERE mix_block = n // {block_rows}"""
+
+
 def url_filter(rules: list[Rule], default: str = "allow") -> str:
     listed = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
     part = r"coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)([^?#]*)', {n}), '')"
