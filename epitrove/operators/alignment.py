@@ -60,8 +60,9 @@ def trace_together(codes: np.ndarray, lengths: np.ndarray, scores: np.ndarray, b
     before = [np.full(shape, NEVER) for _ in range(3)]
     last = [np.full(shape, NEVER) for _ in range(3)]
     last[MATCH][:, 0] = 0.0
-    # Where each of the three states came from, for every anti-diagonal.
-    origin = np.zeros((3, columns + length + 1, count, columns + 1), dtype=np.int8)
+    # Where each of the three states came from, for the columns of every anti-diagonal that are in the band.
+    left = -((band - np.arange(columns + length + 1)) // 2)
+    origin = np.zeros((3, columns + length + 1, count, band + 1), dtype=np.int8)
     origin[DELETE], origin[INSERT] = DELETE, INSERT
     final = np.zeros((3, count))
     final[:, ends == 0] = np.array([[0.0], [NEVER], [NEVER]])
@@ -78,12 +79,12 @@ def trace_together(codes: np.ndarray, lengths: np.ndarray, scores: np.ndarray, b
             paired = np.stack([before[state][:, at - 1] + fit for state in (MATCH, DELETE, INSERT)])
             choice = paired.argmax(axis=0)
             now[MATCH][:, at] = np.take_along_axis(paired, choice[None], axis=0)[0]
-            origin[MATCH, diagonal][:, at] = choice
+            origin[MATCH, diagonal][:, at - left[diagonal]] = choice
             for state, source in ((DELETE, at - 1), (INSERT, at)):
                 opened = last[MATCH][:, source] + GAP_OPEN
                 extended = last[state][:, source] + GAP_EXTEND
                 now[state][:, at] = np.maximum(opened, extended)
-                origin[state, diagonal][:, at] = np.where(opened >= extended, MATCH, state)
+                origin[state, diagonal][:, at - left[diagonal]] = np.where(opened >= extended, MATCH, state)
         before, last = last, now
         ending = ends == diagonal
         for state in (MATCH, DELETE, INSERT):
@@ -99,7 +100,7 @@ def trace_together(codes: np.ndarray, lengths: np.ndarray, scores: np.ndarray, b
         if not going.any():
             break
         steps[going, step] = state[going]
-        came_from = origin[state, diagonal, rows, column]
+        came_from = origin[state, diagonal, rows, np.clip(column - left[diagonal], 0, band)]
         diagonal = np.where(going, diagonal - np.where(state == MATCH, 2, 1), diagonal)
         column = np.where(going & (state != INSERT), column - 1, column)
         state = np.where(going, came_from, state)
@@ -129,7 +130,7 @@ def align_group(sequences: list[str], profile: list[dict[str, float]]) -> list[s
         by_band.setdefault(band_width(len(profile), len(sequences[number])), []).append(number)
     for band, members in by_band.items():
         longest = len(sequences[members[-1]])
-        cells = 3 * (len(profile) + longest + 1) * (len(profile) + 1)
+        cells = 3 * (len(profile) + longest + 1) * (band + 1)
         at_once = max(1, TABLE_CELLS // cells)
         for first in range(0, len(members), at_once):
             chunk = members[first:first + at_once]
