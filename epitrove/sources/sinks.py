@@ -23,6 +23,9 @@ SLIM_PEPTIDE_TYPES = {
     "netmhcpan_ba percentile": "float",
 }
 ROWS_PER_FILE = 2_000_000
+SLIM_ROWS_PER_GROUP = 1_000_000
+ROWS_PER_GROUP = 500_000
+_GROUP_ROWS = "parquet.block.row.count.limit"
 FASTA_WIDTH = 60
 
 
@@ -48,13 +51,14 @@ def slim_peptide_table(table: DataFrame) -> DataFrame:
     ])
 
 
-def write_slim(table: DataFrame, path: str) -> None:
+def write_slim(table: DataFrame, path: str, rows_per_group: int = SLIM_ROWS_PER_GROUP) -> None:
     """ZSTD Parquet; Parquet's own dictionary pages cover the repeated strings."""
-    table.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    table.write.mode("overwrite").option("compression", "zstd").option(_GROUP_ROWS, rows_per_group).parquet(path)
 
 
 def partition_by_protein(
-    table: DataFrame, path: str, only: Iterable[str] | None = None, rows_per_file: int = ROWS_PER_FILE
+    table: DataFrame, path: str, only: Iterable[str] | None = None, rows_per_file: int = ROWS_PER_FILE,
+    rows_per_group: int = ROWS_PER_GROUP,
 ) -> None:
     """Write ``protein=…/`` folders, replacing the proteins present in ``table`` and no others.
 
@@ -71,6 +75,7 @@ def partition_by_protein(
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file)
+        .option(_GROUP_ROWS, rows_per_group)
         .partitionBy("protein")
         .parquet(path)
     )

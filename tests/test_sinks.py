@@ -53,6 +53,19 @@ def test_files_hold_a_limited_number_of_rows(spark, tmp_path):
     assert len(list(Path(path).glob("protein=M1/*.parquet"))) >= 4
 
 
+def test_row_groups_hold_a_limited_number_of_rows(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    table = spark.range(0, 1000, 1, 1).withColumn("protein", F.lit("M1"))
+    sinks.write_slim(table, str(tmp_path / "slim"), rows_per_group=300)
+    sinks.partition_by_protein(table, str(tmp_path / "parts"), rows_per_group=400)
+    for pattern, most in (("slim/*.parquet", 300), ("parts/protein=M1/*.parquet", 400)):
+        for file in tmp_path.glob(pattern):
+            meta = pq.ParquetFile(file).metadata
+            assert meta.num_rows <= most or meta.num_row_groups > 1
+            assert all(meta.row_group(n).num_rows <= most for n in range(meta.num_row_groups))
+
+
 def test_quoted_csv(spark, tmp_path):
     frame = spark.createDataFrame([(1, 'say "x"', None), (2, " two\r\nlines\n", "")], "n int, `a b` string, c string").coalesce(1)
     sinks.export_csv_quoted(frame, str(tmp_path / "csv"))
