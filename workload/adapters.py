@@ -59,7 +59,7 @@ def isolates(spark: SparkSession, sf: str) -> DataFrame:
         " WHEN 2 THEN substr(CAST(day AS STRING), 1, 7) WHEN 3 THEN CAST(day AS STRING)"
         " ELSE if(o_custkey % 2 = 0, 'unknown', concat(CAST(day AS STRING), if(o_custkey % 4 = 1, ' junk', 'Txx'))) END AS collection_date",
         "CAST(day AS STRING) AS release_date",
-        "CASE o_orderkey % 4 WHEN 0 THEN base WHEN 1 THEN once"
+        "CASE WHEN o_orderkey % 4 = 0 THEN base WHEN o_orderkey % 16 = 1 THEN once"
         " ELSE concat(substr(once, 1, CAST(floor(o_orderkey / 4) AS INT) % 60),"
         " substr('ACDEFGHIKLMNPQRSTVWY-', CAST(floor(o_orderkey / 240) AS INT) % 21 + 1, 1),"
         " substr(once, CAST(floor(o_orderkey / 4) AS INT) % 60 + 2, 60)) END AS sequence",
@@ -77,7 +77,7 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("peptide_id"), _pick(BASES, "p_partkey").alias("protein"),
         F.expr(
-            "CASE WHEN p_partkey % 5 > 0 THEN substr(base, CAST(p_partkey % 60 + 1 AS INT), 8 + p_size % 7)"
+            "CASE WHEN p_partkey % 5 > 1 THEN substr(base, CAST(p_partkey % 60 + 1 AS INT), 8 + p_size % 7)"
             " ELSE concat(substr(base, CAST(p_partkey % 60 + 1 AS INT), 3),"
             " substr('ACDEFGHIKLMNPQRSTVWY', CAST(floor(p_partkey / 60) AS INT) % 20 + 1, 1),"
             " substr('ACDEFGHIKLMNPQRSTVWY', CAST(floor(p_partkey / 1200) AS INT) % 20 + 1, 1),"

@@ -27,7 +27,7 @@ CTES = {
     o.o_orderdate::DATE::VARCHAR AS release_date,
     -- Letters are replaced one by one: none, one by customer, or a second one by order.
     list_aggregate(list_transform(range(1, 61), lambda i: CASE
-      WHEN o.o_orderkey % 4 >= 2 AND i = o.o_orderkey // 4 % 60 + 1 THEN substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_orderkey // 240)::INT % 21 + 1, 1)
+      WHEN o.o_orderkey % 4 >= 1 AND o.o_orderkey % 16 <> 1 AND i = o.o_orderkey // 4 % 60 + 1 THEN substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_orderkey // 240)::INT % 21 + 1, 1)
       WHEN o.o_orderkey % 4 >= 1 AND i = o.o_custkey % 60 + 1 THEN substr('ACDEFGHIKLMNPQRSTVWY-', (o.o_custkey // 60)::INT % 21 + 1, 1)
       ELSE substr(b.base, i::INT, 1) END), 'string_agg', '') AS sequence
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
@@ -36,7 +36,7 @@ CTES = {
   SELECT protein, concat(substr(base, 1, 25), '--', substr(base, 26)) AS aligned_sequence FROM bases""",
     "uploads": """
   SELECT p.p_partkey AS peptide_id, b.protein,
-    CASE WHEN p.p_partkey % 5 > 0 THEN substr(b.base, (p.p_partkey % 60 + 1)::INT, (8 + p.p_size % 7)::INT)
+    CASE WHEN p.p_partkey % 5 > 1 THEN substr(b.base, (p.p_partkey % 60 + 1)::INT, (8 + p.p_size % 7)::INT)
       ELSE concat(substr(b.base, (p.p_partkey % 60 + 1)::INT, 3), substr('ACDEFGHIKLMNPQRSTVWY', (p.p_partkey // 60)::INT % 20 + 1, 1),
         substr('ACDEFGHIKLMNPQRSTVWY', (p.p_partkey // 1200)::INT % 20 + 1, 1),
         substr(b.base, (p.p_partkey % 60 + 6)::INT, (3 + p.p_size % 7)::INT)) END AS peptide,
@@ -484,7 +484,7 @@ SELECT protein, max(n) AS lanes FROM (SELECT p.protein, p.position, count(*) AS
 GROUP BY protein"""),
     "generate_peptides": sql("frequencies", """
 , f AS MATERIALIZED (SELECT protein, aminoacid, position, dense_rank() OVER (PARTITION BY protein ORDER BY position) AS nth
-  FROM frequencies WHERE frequency_all >= total_all * 0.002 + 4 AND aminoacid <> '-' AND protein <> 'HA'),
+  FROM frequencies WHERE frequency_all >= total_all * 0.002 + 6 AND aminoacid <> '-' AND protein <> 'HA'),
 grown AS (WITH RECURSIVE g(protein, nth, size, start_position, end_position, peptide) AS (
   SELECT protein, nth, 1, position, position, aminoacid FROM f UNION ALL
   SELECT g.protein, f.nth, g.size + 1, g.start_position, f.position, g.peptide || f.aminoacid

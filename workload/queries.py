@@ -25,7 +25,7 @@ SELECTED = "MKTAYIAKQ"
 PICKED = ad.ALLELES[:2]
 UPLOAD_COLUMNS = ["peptide", "protein", "attribute_1", "attribute_2", "attribute_3"]
 METHOD = "netmhcpan_el"
-FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 4
+FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 6
 
 
 def query(function: Query) -> Query:
