@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from epitrove.llm.components import components
+from epitrove.llm.folds import below_share, sample_order
 from epitrove.plans.storage import pin
 
 SAMPLE, QUERIES, LINKS_OF_A_QUERY = 16_384, 1_024, 32
@@ -188,9 +189,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     usable = rows.where(_usable(F.col("vector")) & (F.size("vector") == usual["length"]))
     classes = pin(usable.groupBy("vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")))
 
-    sample = classes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
+    count = classes.count()
+    few = classes.select("node", "vector").where(below_share("node", SAMPLE, F.lit(count)))
+    sample = few.orderBy(sample_order("node"), "node").limit(SAMPLE).toArrow()
     known = unit(_matrix(sample["vector"]))
-    codes = int(np.clip(np.sqrt(classes.count() / CELL_VECTORS), 1, MOST_CODES))
+    codes = int(np.clip(np.sqrt(count / CELL_VECTORS), 1, MOST_CODES))
     index = Index(known, codes)
     queries, names = known[:QUERIES], sample["node"].to_numpy()[:QUERIES]
     vector_type = f"array<{number.simpleString()}>"

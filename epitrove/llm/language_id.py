@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from epitrove.llm.folds import held_out
+from epitrove.llm.folds import below_share, held_out, sample_order
 from epitrove.llm.words import LOWER, NOT_LETTERS, slices, text_bytes
+from epitrove.plans.storage import pin
 
 WINDOW = 128
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 8
@@ -178,8 +179,11 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> tuple[Network, list[str]]:
     """Train on ``docs`` (doc_id, text, lang): at most ``texts`` texts of each language."""
     named = docs.where("doc_id is not null and text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     named = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= texts).select("doc_id").distinct()
+    ids = named.select("doc_id", "lang")
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = Window.partitionBy("lang").orderBy(sample_order("doc_id"), "doc_id")
+    few = ids.join(counts, "lang").where(below_share("doc_id", texts, F.col("texts"))).select("doc_id", "lang")
+    chosen = pin(few.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= texts).select("doc_id").distinct())
     # At most ``texts`` ids of a language.
     rows = named.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "lang string, bytes binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["bytes"]))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epitrove.llm.folds import held_out
+from epitrove.llm.folds import hash_sample, held_out
 from epitrove.llm.words import NOT_LETTERS, Words, mix, slices
 from epitrove.plans.storage import pin
 
@@ -146,11 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known, toxic = labels.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = F.xxhash64("doc_id")
-    ours = labels.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(order, "doc_id").limit(positives)
+    ours = hash_sample(labels.where("toxic = 1").select("doc_id"), "doc_id", positives)
     # The unlabelled stand for all texts, so confirmed ones are not taken out.
-    others = named.select("doc_id").distinct().select("doc_id", F.lit(False).alias("positive"))
-    chosen = ours.unionByName(others.orderBy(order, "doc_id").limit(unlabelled))
+    others = hash_sample(named.select("doc_id"), "doc_id", unlabelled)
+    chosen = ours.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
     # At most positives + unlabelled ids, so they go to every task.
     sample = pin(named.join(F.broadcast(pin(chosen)), "doc_id").select("text", "positive"))
     ours, others = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
