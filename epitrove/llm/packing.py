@@ -23,7 +23,7 @@ from epitrove.plans.storage import pin
 
 GROUP_PIECES = 20_000
 OPEN_BINS = 256
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 """Words of which a worker remembers the ids; when there are more it starts anew."""
 
 
@@ -102,7 +102,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
-_SLICE = 512
+_SLICE = 256
 
 
 def cut(length: int, most: int) -> list[tuple[int, int]]:

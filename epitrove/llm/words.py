@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 """Documents are worked on in slices of about so many bytes; a longer document is a slice of its own."""
 
 _BASE = 0x9E3779B97F4A7C15 | 1
