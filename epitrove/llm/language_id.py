@@ -182,7 +182,8 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> tuple[Network, list[str]]:
     ids = named.select("doc_id", "lang")
     counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     ranked = Window.partitionBy("lang").orderBy(sample_order("doc_id"), "doc_id")
-    few = ids.join(counts, "lang").where(below_share("doc_id", texts, F.col("texts"))).select("doc_id", "lang")
+    # One row per language; the network, which goes to every task as well, has a class for each.
+    few = ids.join(F.broadcast(counts), "lang").where(below_share("doc_id", texts, F.col("texts"))).select("doc_id", "lang")
     chosen = pin(few.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= texts).select("doc_id").distinct())
     # At most ``texts`` ids of a language.
     rows = named.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "lang string, bytes binary").toArrow().to_pylist()
