@@ -39,13 +39,17 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order in which the mix takes them; the packing works in this order."""
+    """All documents in the order in which the mix takes them."""
     return mixing.in_mix_order(docs, queries.SOURCE_WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 2048 tokens."""
-    return packing.pack(docs, queries.tokenizer_path(), most=2048, end_id=0)
+    """Where each piece of each document goes in sequences of 2048 tokens, packed in the order of the mix.
+
+    Files don't come back in the order they were written in, so the places are worked out again.
+    """
+    placed = lambda pieces: mixing.with_places(pieces, docs, queries.SOURCE_WEIGHTS).withColumnRenamed("mix_place", "place")
+    return packing.pack_by_place(docs, placed, queries.tokenizer_path(), most=2048, end_id=0)
 
 
 STAGES = [

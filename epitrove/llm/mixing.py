@@ -124,18 +124,27 @@ def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0
         "mix_position", F.col("mix_slot") * block_rows + F.col("mix_number") % block_rows - short).drop("mix_number")
 
 
-def in_mix_order(docs: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """The rows of ``docs`` sorted by their place in the mix.
+def with_places(rows: DataFrame, docs: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """``rows`` (doc_id, source, …) and the ``mix_place`` that the mix of ``docs`` gives each one's document.
 
-    Places are worked out on ids and sources alone and joined to the texts. Rows that repeat an id and
-    a source share a place; rows without an id come after the mix.
+    Places are worked out on ids and sources alone. Rows that repeat an id and a source share a place;
+    rows without an id have none.
     """
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
     places = mix(key.where("doc_id is not null").distinct(), weights).select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_of"), "mix_position")
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_of"), F.col("mix_position").alias("mix_place"))
     # Both sides grow with the documents, so neither is broadcast.
     match = (F.col("doc_id") == F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_of"))
-    return docs.join(places.hint("merge"), match, "left").orderBy(F.asc_nulls_last("mix_position")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(places.hint("merge"), match, "left").select(*[F.col(f"`{c}`") for c in rows.columns], "mix_place")
+
+
+def in_mix_order(docs: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """The rows of ``docs`` sorted by their place in the mix; rows without an id come after the mix.
+
+    The order is that of the rows as they are returned. A table written from them and read again has another one.
+    """
+    placed = with_places(docs, docs, weights)
+    return placed.orderBy(F.asc_nulls_last("mix_place")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def slot_of(rows: list[dict], source: str, block: int) -> int:

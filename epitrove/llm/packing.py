@@ -1,7 +1,8 @@
 """Pack tokenized documents into sequences of fixed length: bounded-space online best-fit.
 
 Each document is tokenized once, where it is read; only the lengths of its pieces are moved. Pieces
-are packed in the order in which the documents were read, in groups of some ten thousand pieces. A
+are packed in the order in which the documents were read, or in the order of a place that is looked
+up for their documents, in groups of some ten thousand pieces. A
 group keeps at most ``open_bins`` sequences open. The open ones are found through a bitset with one
 bit for each amount of free space: the lowest bit at or above a piece's length is the best fit. If
 nothing fits and all are open, the fullest is closed.
@@ -13,12 +14,13 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from epitrove.llm.ordering import running
 from epitrove.plans.storage import pin
 
 GROUP_PIECES = 20_000
@@ -114,6 +116,7 @@ def cut(length: int, most: int) -> list[tuple[int, int]]:
 def _pieces(path: str, end_id: int, most: int):
     names = ["part", "doc", "doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    read = ["part", "doc", "doc_id", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(path, Encoder(path))
@@ -121,14 +124,17 @@ def _pieces(path: str, end_id: int, most: int):
         for batch in batches:
             for low in range(0, len(batch), _SLICE):
                 part = batch.slice(low, _SLICE)
-                rows = []
+                rows, of = [], []
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for place, doc, doc_id, ids in zip(part.column("part").to_pylist(), part.column("doc").to_pylist(),
-                                                   part.column("doc_id").to_pylist(), encoder.encode(texts)):
+                for row, (place, doc, doc_id, ids) in enumerate(zip(part.column("part").to_pylist(), part.column("doc").to_pylist(),
+                                                                    part.column("doc_id").to_pylist(), encoder.encode(texts))):
                     ids += ending
                     rows += [(place, doc, doc_id, n, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]))
                              for n, (start, length) in enumerate(cut(len(ids) // 4, most))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=names)
+                    of += [row] * (len(rows) - len(of))
+                kept = [c for c in part.schema.names if c not in read]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)]
+                                                 + [part.column(c).take(pa.array(of, pa.int32())) for c in kept], names=names + kept)
 
     return run
 
@@ -169,9 +175,9 @@ def best_fit(lengths: list[int], most: int, open_bins: int) -> tuple[list[int],
     return sequence, offset
 
 
-def _pack(most: int, open_bins: int):
+def _pack(most: int, open_bins: int, order: list[str]):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("doc", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([(name, "ascending") for name in order])
         sequence, offset = best_fit(table["length"].to_pylist(), most, open_bins)
         first = table["bundle"][0].as_py() << 32 if len(table) else 0
         return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column(
@@ -181,6 +187,15 @@ def _pack(most: int, open_bins: int):
     return run
 
 
+_PIECES = "part int, doc long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def _read(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("doc"),
+                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
 def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS,
          group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Where each piece of each document of ``docs`` (doc_id, text) goes.
@@ -191,13 +206,28 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, ope
     ``offset``. Null texts count as empty and are packed as ``end_id`` alone. Rows that repeat an id
     are packed as often as they come; null ids are packed under null.
     """
-    read = docs.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("doc"),
-                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = pin(read.mapInArrow(_pieces(tokenizer, end_id, most),
-                                 "part int, doc long, doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = pin(_read(docs).mapInArrow(_pieces(tokenizer, end_id, most), _PIECES))
     # Neighbouring partitions of the input share a group until it has enough pieces.
     count, parts = pieces.agg(F.count(F.lit(1)), F.max("part")).first()
     groups = max(1, min(-(-count // group_pieces), (parts or 0) + 1))
     bundle = (F.col("part") * F.lit(groups).cast("long") / F.lit((parts or 0) + 1)).cast("long")
-    return pieces.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(
-        _pack(most, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(_pack(most, open_bins, ["part", "doc", "piece"]), _PACKED)
+
+
+def pack_by_place(docs: DataFrame, placed: Callable[[DataFrame], DataFrame], tokenizer: str, most: int = 2048, end_id: int = 0,
+                  open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """As ``pack``, in the order of the places of the documents, however ``docs`` (doc_id, source, text) is stored and read.
+
+    ``placed`` is given the pieces, with doc_id and source, and adds their documents' ``place``; null is last.
+    Rows that share a place are packed one after the other. Sequences are numbered by groups of
+    equally many pieces, so a piece of an earlier group has the smaller ``sequence_id``.
+    """
+    pieces = _read(docs, F.col("source").cast("string").alias("source")).mapInArrow(_pieces(tokenizer, end_id, most), _PIECES + ", source string")
+    pieces = pin(pieces)
+    count = pieces.count()
+    groups = max(1, -(-count // group_pieces))
+    order = ["place", "doc", "piece"]
+    last = F.lit((1 << 63) - 1).cast("long")
+    numbered = running(placed(pieces).withColumn("place", F.coalesce("place", last)), order, {"number": F.lit(1).cast("long")})
+    bundle = F.expr(f"number * {groups}L div {max(1, count)}L")
+    return numbered.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(_pack(most, open_bins, order), _PACKED)

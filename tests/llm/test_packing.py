@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import pytest
 from llm_fixtures import odd_documents, some_documents, table  # noqa: F401
+from pyspark.sql import functions as F
 
 from epitrove.llm import packing
-from epitrove.llm.packing import Encoder, best_fit, cut, pack
+from epitrove.llm.packing import Encoder, best_fit, cut, pack, pack_by_place
 from epitrove.llm.queries import tokenizer_path
 
 
@@ -100,3 +101,18 @@ def test_empty_table_and_clashing_columns(table, encoder):
     assert pack(table([]), tokenizer_path()).collect() == []
     docs = table([(1, "a b"), (2, "c")], "part int, doc long, piece string, offset int, bundle long", (1, 2, "p", 3, 4))
     check_packed(encoder, [(1, "a b"), (2, "c")], placed(pack(docs, tokenizer_path())), 2048)
+
+
+@pytest.mark.parametrize("group", [20_000, 40])
+def test_groups_follow_the_places(table, encoder, some_documents, odd_documents, group):
+    documents = some_documents + odd_documents
+    placed_by = lambda pieces: pieces.withColumn("place", F.abs(F.col("doc_id") - 500))
+    rows = placed(pack_by_place(table(documents, parts=7), placed_by, tokenizer_path(), 256, group_pieces=group))
+    check_packed(encoder, documents, rows, 256)
+    place = lambda r: 10**9 if r["doc_id"] is None else abs(r["doc_id"] - 500)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["sequence_id"] >> 32, []).append(place(r))
+    assert len(groups) == -(-len(rows) // group) and [n for _, own in sorted(groups.items()) for n in sorted(own)] == sorted(map(place, rows))
+    assert max(map(len, groups.values())) - min(map(len, groups.values())) <= 1
+    assert pack_by_place(table([]), placed_by, tokenizer_path()).collect() == []

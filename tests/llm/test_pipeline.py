@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -45,6 +47,22 @@ def test_run_is_the_stages_one_after_the_other(spark, steps):
     assert pieces(corpus_pipeline.run(spark, FOLDER)) == pieces(steps[-1][1])
 
 
+def test_sequences_follow_the_mix_whatever_the_files(spark, tmp_path):
+    chance = random.Random(1)
+    # No two of these documents fit one sequence, so sequences are numbered in the order of packing.
+    rows = [(n, " ".join(chance.choice(["a", "b"]) for _ in range(1_200)), "en", f"src{0 if n % 3 == 0 else n % 20}", 2_399) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()
+    # The stage's files hold a range of the mix each; Spark lists the largest first.
+    at = 0
+    for size in (10, 60, 20, 90, 30, 5, 120, 65):
+        spark.createDataFrame(mixed[at:at + size]).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+        at += size
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), FOLDER).collect()
+    assert len({r.sequence_id for r in packed}) == len(rows)
+    assert [r.doc_id for r in sorted(packed, key=lambda r: r.sequence_id)] == [r.doc_id for r in mixed]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_and_no_documents(spark, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
