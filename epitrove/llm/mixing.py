@@ -5,16 +5,17 @@ released at slot floor((k - 1) / w) and due at slot ceil(k / w). In each slot th
 released blocks goes next. With weights that add up to one, every source has at each slot less than
 one block more or less than its weight asks for.
 
-Weights are whole parts of a cycle, so the schedule repeats after as many slots as there are parts
-(``CYCLE`` at most). When a source has no block left the others go on by their weights: a new
-phase, with the same bound from its start on. Only the schedule, one line per phase and slot of its
-cycle, is worked out in the driver; it is as long as the weights make it, whatever the data. The
-documents get their numbers by prefix sums, and their slots by a look-up in the schedule.
+Weights are taken exactly, as whole parts of their common denominator, so the schedule repeats after
+as many slots as there are parts. When a source has no block left the others go on by their weights:
+a new phase, with the same bound from its start on. Only the schedule is worked out in the driver, one
+line per phase and slot of its cycle, or of the phase if that is shorter. The documents get their
+numbers by prefix sums, and their slots by a look-up in the schedule.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -22,34 +23,43 @@ from pyspark.sql import DataFrame, functions as F
 
 from epitrove.llm.ordering import running
 
-CYCLE = 1_000
 BLOCK_ROWS = 32
 OTHERS = "other sources"
 
 
-def parts_of(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int]:
-    """Whole parts of a cycle, at least one each, in proportion to the weights."""
+def parts_of(weights: Mapping[str, float], cycle: int | None = None) -> dict[str, int]:
+    """Whole parts in exactly the proportion of the weights, each read as the decimal it is written as.
+
+    Only a caller that asks for a ``cycle`` gets parts rounded to it, at least one each.
+    """
     if not weights or any(not w > 0 for w in weights.values()):
         raise ValueError("every source needs a weight above 0")
-    total = sum(Fraction(w) for w in weights.values())
-    return {name: max(1, round(Fraction(w) * cycle / total)) for name, w in weights.items()}
-
-
-def schedule(parts: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one cycle of ``sum(parts)`` slots: earliest deadline first among the released."""
+    exact = {name: Fraction(str(w)) for name, w in weights.items()}
+    if cycle is not None:
+        total = sum(exact.values())
+        return {name: max(1, round(w * cycle / total)) for name, w in exact.items()}
+    whole = math.lcm(*[w.denominator for w in exact.values()])
+    parts = {name: int(w * whole) for name, w in exact.items()}
+    common = math.gcd(*parts.values())
+    return {name: p // common for name, p in parts.items()}
+
+
+def schedule(parts: Mapping[str, int], most: int | None = None) -> list[str]:
+    """The source of each slot of one cycle of ``sum(parts)`` slots, or of its first ``most``: earliest deadline first among the released."""
     slots = sum(parts.values())
-    release = {name: [k * slots // p for k in range(p)] for name, p in parts.items()}
-    due = {name: [-(-(k + 1) * slots // p) for k in range(p)] for name, p in parts.items()}
-    waiting = sorted(((release[n][k], due[n][k], n) for n in parts for k in range(parts[n])), reverse=True)
-    ready: list[tuple[int, str]] = []
+    # The next block of each source; the one after it is released no sooner than this one is taken.
+    waiting = [(0, -(-slots // p), name, 1) for name, p in parts.items()]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int]] = []
     out = []
-    for slot in range(slots):
-        while waiting and waiting[-1][0] <= slot:
-            _, deadline, name = waiting.pop()
-            heapq.heappush(ready, (deadline, name))
-        deadline, name = heapq.heappop(ready)
+    for slot in range(slots if most is None else min(slots, most)):
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, name, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, name, n))
+        deadline, name, n = heapq.heappop(ready)
         assert deadline > slot, "weights of one always meet their deadlines"
         out.append(name)
+        heapq.heappush(waiting, (n * slots // parts[name], -(-(n + 1) * slots // parts[name]), name, n + 1))
     return out
 
 
@@ -60,17 +70,21 @@ def phases(parts: Mapping[str, int], blocks: Mapping[str, int]) -> list[dict]:
     base, out = 0, []
     while left:
         active = {name: parts[name] for name in left}
-        order = schedule(active)
+        common = math.gcd(*active.values())
+        active = {name: p // common for name, p in active.items()}
+        # A phase has at most as many slots as blocks, and one in which a source has none.
+        order = schedule(active, sum(left.values()) + 1)
+        whole = sum(active.values())
         places: dict[str, list[int]] = {name: [] for name in active}
         for slot, name in enumerate(order):
             places[name].append(slot)
         # It ends at the first slot for which a source has no block.
-        end = min(n // active[name] * len(order) + places[name][n % active[name]] for name, n in left.items())
-        cycles, rest = divmod(end, len(order))
+        end = min(n // active[name] * whole + places[name][n % active[name]] for name, n in left.items() if n % active[name] < len(places[name]))
+        cycles, rest = divmod(end, whole)
         taken = {name: cycles * active[name] + sum(p < rest for p in places[name]) for name in active}
         for name, slots in places.items():
-            out += [{"source": name, "first": done[name], "last": done[name] + taken[name], "parts": active[name], "cycle": len(order),
-                     "base": base, "turn": n, "slot": slot} for n, slot in enumerate(slots)]
+            out += [{"source": name, "first": done[name], "last": done[name] + taken[name], "parts": active[name], "cycle": whole,
+                     "base": base, "turn": n, "slot": slot} for n, slot in enumerate(slots) if cycles or slot < end]
         for name, n in taken.items():
             done[name] += n
             left[name] -= n
@@ -89,7 +103,7 @@ def _values(spark, rows: list[dict]) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + lines + " AS t(mix_source, " + ", ".join(f"mix_{k}" for k in keys) + ")")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0, block_rows: int = BLOCK_ROWS, cycle: int | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, …), each once, with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position``.
 
     ``mix_position`` is the row's place in the mix, without gaps from 0. A source's rows come in the

@@ -94,6 +94,6 @@ ORACLES: dict[str, str] = {
     "op2_sharding": oracles.sharding(16),
     "op3_embedding_dedup": oracles.embedding_dedup(0.9),
     "op4_minhash": oracles.minhash(3, 85),
-    "op8_mixing": oracles.mixing(mixing.parts_of({**SOURCE_WEIGHTS, mixing.OTHERS: 1.0}), mixing.OTHERS, mixing.BLOCK_ROWS),
+    "op8_mixing": oracles.mixing(mixing.parts_of({**SOURCE_WEIGHTS, mixing.OTHERS: 1.0}, cycle=1_000), mixing.OTHERS, mixing.BLOCK_ROWS),
     "op9_url_filter": oracles.url_filter(URL_RULES),
 }

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 import pytest
 
+from epitrove.llm import queries
 from epitrove.llm.mixing import OTHERS, in_mix_order, mix, parts_of, phases, schedule
 
 
@@ -91,3 +93,26 @@ def test_sorted_rows_keep_everything(spark):
     assert found.columns == docs.columns
     assert sorted(r.text for r in found.collect()) == sorted(f"t{n}" for n in range(len(ROWS)))
     assert [r.doc_id for r in found.collect()][-2:] == [None, None]
+
+
+@pytest.mark.parametrize("weights", [{**queries.SOURCE_WEIGHTS, OTHERS: 1.0}, queries.SOURCE_WEIGHTS, {"a": 1.0, "b": 0.0001, "c": 0.1}, {"a": 1 / 3, "b": 0.123456789}])
+def test_a_source_stays_less_than_a_block_off_the_weight_asked_for(weights):
+    exact = {name: Fraction(str(w)) for name, w in weights.items()}
+    total = sum(exact.values())
+    rows, seen, slots = phases(parts_of(weights), dict.fromkeys(weights, 9_000)), dict.fromkeys(weights, 0), {}
+    first = {r["source"]: r["last"] for r in rows if r["base"] == 0}
+    for r in rows:
+        if r["base"] == 0:
+            for block in range(r["turn"], first[r["source"]], r["parts"]):
+                slots[block // r["parts"] * r["cycle"] + r["slot"]] = r["source"]
+    assert sorted(slots) == list(range(sum(first.values()))) and len(slots) >= 9_000
+    for slot in range(len(slots)):
+        seen[slots[slot]] += 1
+        assert all(abs(seen[name] - w * (slot + 1) / total) < 1 for name, w in exact.items())
+
+
+def test_rare_weights_are_mixed_as_simulated(spark):
+    weights = {"hot": 1.0, "s1": 0.0001, "s2": 0.123456789}
+    docs = spark.createDataFrame(ROWS, "doc_id long, source string")
+    found = mix(docs, weights, 0.5, 2).orderBy("mix_position").collect()
+    assert [(r.doc_id, r.mix_source) for r in found] == brute(ROWS, weights, 0.5, 2, None)
