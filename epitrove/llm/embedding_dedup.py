@@ -5,7 +5,8 @@ cells in the order of the sum of its halves' distances (the multi-sequence order
 vectors at home there. The first n cells of that order lie under the hyperbola (i + 1) * (j + 1) <= n
 of the sorted halves, so they are found without the whole grid. How many are visited follows from a
 sample: ``QUERIES`` vectors are compared with all rows, and as many cells are visited as it takes to
-find ``RECALL`` of their links from one side or the other. Cosines are then taken in double precision.
+find ``RECALL`` of their links from one side or the other, and ``RECALL`` of ``TURNED`` links of just the
+threshold's cosine, however few links the sample has. Cosines are then taken in double precision.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. Equal vectors are
 one entry with a count. A cell's members and visitors meet in blocks of at most ``BLOCK`` each, so
@@ -27,7 +28,7 @@ from epitrove.plans.storage import pin
 SAMPLE, QUERIES, LINKS_OF_A_QUERY = 16_384, 1_024, 32
 CELL_VECTORS, MOST_CODES = 128, 512
 BLOCK = 2_048
-RECALL, LEAST_VISITS, USUAL_VISITS = 0.99, 4, 8
+RECALL, LEAST_VISITS, TURNED = 0.99, 4, 1_024
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -93,6 +94,13 @@ class Index:
         return out
 
 
+def turned(rows: np.ndarray, cosine: float, seed: int = 2) -> np.ndarray:
+    """Unit vectors at the given cosine from each unit vector, in random directions."""
+    aside = np.random.default_rng(seed).normal(size=rows.shape)
+    aside -= (aside * rows).sum(axis=1, keepdims=True) * rows
+    return cosine * rows + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+
+
 def _links_of(queries: np.ndarray, names: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +122,10 @@ def _links_of(queries: np.ndarray, names: np.ndarray, threshold: float):
 
 def _visited(index: Index, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(64, min(4096, 262_144 // count))
         for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, len(batch), step):
+                part = batch.slice(start, step)
                 cells = index.visits(unit(_matrix(part.column("vector"))), count).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "cells"])
@@ -200,11 +209,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     near = classes.mapInArrow(_links_of(queries, names, threshold), f"query int, node long, vector {vector_type}")
     first = Window.partitionBy("query").orderBy(F.xxhash64("node"), "node")
     near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LINKS_OF_A_QUERY).select("query", "vector").toArrow()
-    visits = USUAL_VISITS
+    visits = LEAST_VISITS
+    pairs = []
     if len(near):
-        ours, theirs = queries[near["query"].to_numpy()], unit(_matrix(near["vector"]))
+        pairs.append((queries[near["query"].to_numpy()], unit(_matrix(near["vector"]))))
+    if known.shape[1] > 1 and abs(threshold) < 1:
+        ours = np.resize(queries, (TURNED, known.shape[1]))
+        pairs.append((ours, turned(ours, threshold)))
+    for ours, theirs in pairs:
         ranks = np.minimum(index.rank(ours, index.visits(theirs, 1)[:, 0]), index.rank(theirs, index.visits(ours, 1)[:, 0]))
-        visits = max(LEAST_VISITS, int(np.ceil(np.quantile(ranks, recall))) + 1)
+        visits = max(visits, int(np.ceil(np.quantile(ranks, recall))) + 1)
 
     placed = pin(classes.select("node", "copies", "vector").mapInArrow(_visited(index, visits), f"node long, copies long, vector {vector_type}, cells array<int>"))
     homes = placed.groupBy(F.get("cells", F.lit(0)).alias("cell")).agg(F.count(F.lit(1)).alias("members"))

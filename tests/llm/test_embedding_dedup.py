@@ -83,3 +83,15 @@ def test_cells_come_in_the_order_of_their_distance():
         assert np.allclose(np.take_along_axis(grid, found, 1), np.sort(grid, axis=1)[:, :count])
     home = index.visits(rows, 1)[:, 0]
     assert (index.rank(rows, home) == 0).all()
+
+
+def test_recall_holds_where_links_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(ed, "CELL_VECTORS", 4)
+    monkeypatch.setattr(ed, "QUERIES", 4)
+    chance = np.random.default_rng(11)
+    rows = ed.unit(chance.normal(size=(6_000, 64)))
+    aside = chance.normal(size=(400, 64))
+    aside = ed.unit(aside - (aside * rows[:400]).sum(axis=1, keepdims=True) * rows[:400])
+    rows = np.concatenate([rows, 0.905 * rows[:400] + np.sqrt(1 - 0.905**2) * aside])
+    table = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    assert sum(r.n_links for r in near_duplicates(table, 0.9).collect()) >= 0.97 * 800
