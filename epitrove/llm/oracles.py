@@ -113,3 +113,84 @@ def url_filter(rules: list[Rule], default: str = "allow") -> str:
              JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
              QUALIFY row_number() OVER (PARTITION BY line ORDER BY length(rule_host || rule_path) DESC) = 1)
     SELECT page_id, host, path, rule, coalesce(verdict, '{default}') AS verdict FROM parted LEFT JOIN best USING (line)"""
+
+
+_STEPS = """steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS step)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text of ASCII characters, with ``steps`` in the FROM clause."""
+    return f"""xor(4294967295, list_reduce(list_transform(range(strlen({text})), lambda i: ascii(substr({text}, i + 1, 1))::BIGINT),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"""
+
+
+def periodic_runs(least: int) -> str:
+    """All pairs of equal words of a document, as stretches of one distance."""
+    return f"""
+    WITH {_STEPS},
+    split AS (SELECT row_number() OVER () AS line, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents, steps),
+    sized AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+    docs AS (SELECT line, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+                 w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM sized),
+    words AS (SELECT line, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM docs),
+    pairs AS (SELECT x.line, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.line = y.line AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+    placed AS (SELECT *, i - row_number() OVER (PARTITION BY line, q ORDER BY i) AS stretch FROM pairs),
+    stretches AS (SELECT line, q, min(i) AS start, count(*) + q AS length FROM placed GROUP BY line, q, stretch HAVING count(*) >= greatest(q, {least} - q)),
+    runs AS (SELECT line, start, length, min(q) AS period FROM stretches GROUP BY line, start, length),
+    gone AS (SELECT DISTINCT words.line, i FROM words JOIN runs ON words.line = runs.line AND i >= start + period AND i < start + length),
+    kept AS (SELECT w.line, string_agg(word, ' ' ORDER BY w.i) AS left_over FROM words w ANTI JOIN gone g ON w.line = g.line AND w.i = g.i GROUP BY w.line),
+    found AS (SELECT line, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                     first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length,
+                     first(period ORDER BY length DESC, start, period) AS period FROM runs GROUP BY line)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+           CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+    FROM docs LEFT JOIN found USING (line) LEFT JOIN kept USING (line)"""
+
+
+def merkle(fields: list[str], arity: int = 16) -> str:
+    """Level by level, and every leaf's siblings looked up level by level."""
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = " || ".join(part.format(f) for f in fields)
+    told = " || ".join(part.format(f"translate(text, {_LETTERS})" if f == "text" else f) for f in fields)
+    return f"""
+    WITH RECURSIVE {_STEPS},
+    hashed AS (SELECT doc_id, source, sha256({leaf}) AS leaf,
+                      sha256(CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {told} ELSE {leaf} END) AS told FROM documents, steps),
+    trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+    leaves AS (SELECT h.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, told) - 1 AS pos
+               FROM hashed h JOIN trees t ON h.source IS NOT DISTINCT FROM t.source),
+    nodes(tree, level, pos, digest) AS (
+        SELECT tree, 0, pos, leaf FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, pos // {arity}, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM nodes) WHERE size > 1 GROUP BY tree, level, pos // {arity}),
+    heights AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+    subroots AS (SELECT tree, height, digest FROM nodes JOIN heights USING (tree) WHERE level = height),
+    tops(level, pos, digest) AS (
+        SELECT 0, tree, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // {arity}, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM (SELECT *, count(*) OVER () AS size FROM tops) WHERE size > 1 GROUP BY level, pos // {arity}),
+    upper AS (SELECT max(level) AS height FROM tops),
+    members AS (
+        SELECT n.tree, n.level, n.pos, n.digest, n.level AS step, h.height AS below FROM nodes n JOIN heights h USING (tree) WHERE n.level < h.height
+        UNION ALL
+        SELECT s.tree, t.level, t.pos, t.digest, s.height + t.level, s.height FROM subroots s, tops t, upper u WHERE t.level < u.height),
+    runs AS (SELECT tree, step, level, below, pos // {arity} AS run, list(digest ORDER BY pos) AS run_members FROM members GROUP BY ALL),
+    ways AS (SELECT l.doc_id, l.leaf, l.told, l.tree, l.pos AS leaf_pos, r.step, r.run_members,
+                    CASE WHEN r.step < r.below THEN l.pos // CAST({arity} ** r.level AS BIGINT) ELSE l.tree // CAST({arity} ** r.level AS BIGINT) END % {arity} + 1 AS place
+             FROM leaves l JOIN runs r ON r.tree = l.tree
+              AND r.run = CASE WHEN r.step < r.below THEN l.pos // CAST({arity} ** (r.level + 1) AS BIGINT) ELSE l.tree // CAST({arity} ** (r.level + 1) AS BIGINT) END),
+    folded(tree, leaf_pos, step, digest) AS (
+        SELECT tree, pos, 0, told FROM leaves
+        UNION ALL
+        SELECT f.tree, f.leaf_pos, f.step + 1,
+               sha256(array_to_string(w.run_members[1:w.place - 1], '') || f.digest || array_to_string(w.run_members[w.place + 1:], ''))
+        FROM folded f JOIN ways w ON f.tree = w.tree AND f.leaf_pos = w.leaf_pos AND f.step = w.step),
+    proofs AS (SELECT tree, leaf_pos, string_agg(array_to_string(run_members[1:place - 1], '') || array_to_string(run_members[place + 1:], ''), '' ORDER BY step) AS proof
+               FROM ways GROUP BY tree, leaf_pos),
+    ends AS (SELECT tree, leaf_pos, last(digest ORDER BY step) AS folded_root FROM folded GROUP BY tree, leaf_pos)
+    SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM tops, upper WHERE level = height) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+           folded_root, folded_root = (SELECT digest FROM tops, upper WHERE level = height) AS verified
+    FROM leaves l JOIN subroots s USING (tree) JOIN ends e ON e.tree = l.tree AND e.leaf_pos = l.pos LEFT JOIN proofs p ON p.tree = l.tree AND p.leaf_pos = l.pos"""
