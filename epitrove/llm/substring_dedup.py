@@ -12,8 +12,8 @@ sorted list, and gets one bit per entry back:
 
 * which of my rolling hashes are indexed, and seen in two documents? (46 bits of the hash, as
   differences; a false yes costs time only)
-* for the windows around these: does a document before my own first one hold it? (another 64-bit
-  hash and the smallest id)
+* for the windows around these: does a document before my own first one hold it? (128 further bits of hashes
+  and the smallest id)
 
 So a passage of a third of all documents is one entry per chunk. The texts are shuffled once, by
 chunk; all three steps over texts read that shuffle.
@@ -35,7 +35,7 @@ CHUNK_BYTES = 4_000_000
 
 _BITS = 46
 _BUCKETED = "bucket long, chunk long, list binary, wide boolean, index binary, many binary"
-_WINDOWS = "bucket long, chunk long, list binary, ids binary"
+_WINDOWS = "bucket long, chunk long, list binary, more binary, ids binary"
 _ANSWERS = "chunk long, kind int, bucket long, bits binary"
 
 
@@ -63,12 +63,23 @@ def _bounds(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]]).astype(np.int64)
 
 
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, and which of them each pair is."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return high[new], low[new], which
+
+
 class _Chunk:
     """The windows of a chunk's documents: distinct block hashes, and the windows at each word."""
 
     def __init__(self, ids: np.ndarray, named: np.ndarray, texts: pa.Array, window: int) -> None:
         block = (window + 1) // 2
-        short, long, doc, count, starts, aligned = [], [], [], [], [], []
+        short, long, more, doc, count, starts, aligned = [], [], [], [], [], [], []
         before = words_before = 0
         for start, end in slices(texts):
             words = Words(texts.slice(start, end - start))
@@ -80,9 +91,10 @@ class _Chunk:
             starts.append(at + words_before)
             aligned.append((at - words.first[words.doc[at]]) % block == 0)
             hashes, at = words.windows(window, seed=2)
-            whole = np.zeros(len(words), np.uint64)
-            whole[at] = hashes
-            long.append(whole)
+            for kept, values in ((long, hashes), (more, words.windows(window, seed=3)[0])):
+                whole = np.zeros(len(words), np.uint64)
+                whole[at] = values
+                kept.append(whole)
             fits = np.zeros(len(words), bool)
             fits[at] = usable[at]
             count.append((words.counts, fits))
@@ -93,7 +105,7 @@ class _Chunk:
         self.ids, self.window, self.block = ids, window, block
         self.counts = join([c for c, _ in count], np.int64)
         self.fits = join([f for _, f in count], bool)
-        self.doc, self.long = join(doc, np.int64), join(long, np.uint64)
+        self.doc, self.long, self.more = join(doc, np.int64), join(long, np.uint64), join(more, np.uint64)
         self.starts, self.aligned = join(starts, np.int64), join(aligned, bool)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.short, self.place = np.unique(join(short, np.uint64), return_inverse=True)
@@ -115,7 +127,7 @@ class _Chunk:
         np.cumsum(marks, out=marks)
         last = np.minimum(np.arange(len(self.doc)) + self.window - self.block + 1, len(self.doc))
         self.at = np.flatnonzero(self.fits & (marks[last] > marks[:-1]))
-        self.windows, self.which = np.unique(self.long[self.at], return_inverse=True)
+        self.windows, self.rest, self.which = _distinct(self.long[self.at], self.more[self.at])
         self.least = np.full(len(self.windows), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.which, self.ids[self.doc[self.at]])
 
@@ -194,7 +206,7 @@ def _grow(window: int, buckets: int):
         rows = []
         for bucket in np.flatnonzero(np.diff(bounds)):
             part = slice(bounds[bucket], bounds[bucket + 1])
-            rows.append((int(bucket), number, chunk.windows[part].tobytes(), _planes(chunk.least[part])))
+            rows.append((int(bucket), number, chunk.windows[part].tobytes(), chunk.rest[part].tobytes(), _planes(chunk.least[part])))
         return _table(rows, _WINDOWS)
 
     return run
@@ -205,7 +217,7 @@ def _earlier(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     lists = [np.frombuffer(r["list"], np.uint64) for r in rows]
     ids = np.concatenate([_values(r["ids"], np.int64) for r in rows])
-    hashes, place = np.unique(np.concatenate(lists), return_inverse=True)
+    hashes, _, place = _distinct(np.concatenate(lists), np.concatenate([np.frombuffer(r["more"], np.uint64) for r in rows]))
     least = np.full(len(hashes), np.iinfo(np.int64).max)
     np.minimum.at(least, place, ids)
     earlier = np.split(least[place] < ids, np.cumsum([len(x) for x in lists])[:-1])

@@ -1,7 +1,8 @@
 """Words of Arrow string columns as numpy arrays: where they lie and a 64-bit hash of each.
 
 A word is a run of bytes other than the six ASCII white-space bytes. Nothing here loops over words
-in Python: a slice of documents is hashed with prefix sums over its bytes.
+in Python: a slice of documents is hashed with prefix sums over its bytes. A word's hash is made of two polynomials
+of its bytes modulo two primes. (Modulo a power of two, words can be written down that collide for every base.)
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import pyarrow as pa
 SLICE_BYTES = 1_000_000
 """Documents are worked on in slices of about so many bytes; a longer document is a slice of its own."""
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_FIELDS = ((0x5BD1E995, 2_147_483_647), (0x27D4EB2F, 2_147_483_629))
+"""Base and prime modulus of each polynomial; a product of two residues fits into 64 bits."""
+_LONGEST_PLAIN = 1 << 24
+"""Terms of words up to so many bytes are summed without being reduced."""
 _MODULUS = 1 << 64
-_BASE_INVERSE = pow(_BASE, -1, _MODULUS)
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NOT_LETTERS = np.ones(256, bool)
@@ -24,20 +27,22 @@ NOT_LETTERS = np.ones(256, bool)
 NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    """base**0 … base**(count-1) modulo 2**64; kept up to the size of a slice."""
-    kept = _powers.get(base)
+def powers(base: int, prime: int, count: int) -> np.ndarray:
+    """base**0 … base**(count-1) modulo a prime below 2**31; kept up to a few times the size of a slice."""
+    kept = _powers.get((base, prime))
     if kept is None or len(kept) < count:
-        kept = np.empty(max(count, SLICE_BYTES + 1), np.uint64)
-        kept[0] = 1
-        kept[1:] = base & (_MODULUS - 1)
-        np.multiply.accumulate(kept, out=kept)
+        kept = np.ones(max(count, SLICE_BYTES + 1), np.uint64)
+        done, step = 1, base % prime
+        while done < len(kept):
+            more = min(done, len(kept) - done)
+            kept[done:done + more] = kept[:more] * np.uint64(step) % np.uint64(prime)
+            done, step = done + more, step * step % prime
         if len(kept) <= 4 * SLICE_BYTES:
-            _powers[base] = kept
-    return kept
+            _powers[base, prime] = kept
+    return kept[:count]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -96,8 +101,16 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data) + 1)[:len(data)], out=self._sums[1:])
+        longest = int((self.ends - self.starts).max(initial=0))
+        self._sums = []
+        for base, prime in _FIELDS:
+            terms = (data.astype(np.uint64) + np.uint64(1)) * powers(base, prime, len(data))
+            if longest > _LONGEST_PLAIN:
+                terms %= np.uint64(prime)
+            # A sum may overflow; the difference of two that are less than 2**64 apart is right all the same.
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self._sums.append(sums)
         self.hashes = self.prefixes(None)
 
     def __len__(self) -> int:
@@ -106,7 +119,11 @@ class Words:
     def prefixes(self, size: int | None) -> np.ndarray:
         """A hash of the first ``size`` bytes of each word; of all if None."""
         ends = self.ends if size is None else np.minimum(self.ends, self.starts + size)
-        return mix((self._sums[ends] - self._sums[self.starts]) * powers(_BASE_INVERSE, len(self.data) + 1)[self.starts])
+        both = np.zeros(len(self), np.uint64)
+        for (base, prime), sums in zip(_FIELDS, self._sums):
+            shift = powers(pow(base, -1, prime), prime, len(self.data) + 1)[self.starts]
+            both = (both << np.uint64(32)) + (sums[ends] - sums[self.starts]) % np.uint64(prime) * shift % np.uint64(prime)
+        return mix(both + np.uint64(1))
 
     def windows(self, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words within one document, and the word each starts at."""
@@ -116,9 +133,8 @@ class Words:
         base = (0xD6E8FEB86659FD93 + 2 * seed) & (_MODULUS - 1) | 1
         runs = np.zeros(len(self) - size + 1, np.uint64)
         for place in range(size):
-            runs *= np.uint64(base)
-            runs += self.hashes[place:place + len(runs)]
-        return mix(runs[starts] + np.uint64(size)), starts
+            runs = mix(runs * np.uint64(base) + self.hashes[place:place + len(runs)])
+        return runs[starts], starts
 
     def whole(self) -> np.ndarray:
         """One hash for the whole word sequence of each document."""

@@ -95,3 +95,10 @@ def test_overlaps_counts_common_members():
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     found = overlaps(hashes, bounds)
     assert all(found[a, b] == len(sets[a] & sets[b]) for a in range(5) for b in range(5) if a != b)
+
+
+def test_different_words_of_equal_polynomials_are_no_near_duplicates(table):
+    from test_words import morse
+
+    found = near_duplicates(table(list(enumerate(morse(1_024)))), size=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(0, 0, True), (1, 1, True)]

@@ -69,3 +69,11 @@ def test_windows_are_judged_on_the_input(table):
     run = [f"w{n}" for n in range(26)]
     rows = {r.doc_id: r.n_removed for r in cut_repeats(table([(1, " ".join(run[:13])), (2, " ".join(run)), (3, " ".join(run[5:]))]), 13).collect()}
     assert rows == {1: 0, 2: 13, 3: 21}
+
+
+def test_different_words_of_equal_polynomials_are_not_cut(table):
+    from test_words import morse
+
+    one, other = morse(1_024)
+    rest = " ".join(f"w{n}" for n in range(12))
+    assert {r.doc_id: r.n_removed for r in cut_repeats(table([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")]), 13).collect()} == {1: 0, 2: 0, 3: 13}

@@ -72,3 +72,26 @@ def test_ranges():
 def test_whole_depends_on_order_and_length():
     values = Words(pa.array(["a b", "b a", "a b ", "a b b", "", None])).whole().tolist()
     assert values[0] == values[2] and len({values[0], values[1], values[3]}) == 3 and values[4] == values[5] == 0
+
+
+def morse(letters):
+    """The Thue–Morse word of a power of two letters, and its complement: equal for every polynomial modulo 2**64 from 1,024 letters on."""
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_modulo_a_power_of_two_confuse():
+    for letters in (1_024, 2_048, 4_096):
+        assert len(set(Words(pa.array([" ".join(morse(letters))])).hashes.tolist())) == 2
+
+
+def test_words_of_any_length_hash_alike_wherever_they_stand(monkeypatch):
+    from epitrove.llm import words
+
+    text = "q" * 300 + " " + "ab" * 400 + " " + "q" * 300 + " x " + "ab" * 400
+    plain = Words(pa.array([text])).hashes
+    assert plain[0] == plain[2] and plain[1] == plain[4] and len(set(plain.tolist())) == 3
+    monkeypatch.setattr(words, "_LONGEST_PLAIN", 1)
+    assert (Words(pa.array([text])).hashes == plain).all()
