@@ -53,6 +53,19 @@ def class_percentile_column(columns: Sequence[str], mhc_class: str = "I", mode:
     return next((c for c in columns if re.search(f"{kind}.*percent", c, re.IGNORECASE)), None)
 
 
+def percentile_value(columns: Sequence[str], mode: str = "EL", explicit: str | None = None) -> Column:
+    """Each row's own percentile: that of an explicit column if the table has it, else of the first that is filled.
+
+    Class I comes before class II, and a name with an underscore before the same with a space. So a table may
+    mix rows of both classes.
+    """
+    if explicit in columns:
+        return quoted(explicit).cast("double")
+    kind = "ba" if "BA" in mode.upper() else "el"
+    names = [f"{prefix}_{kind}{sign}percentile" for prefix in CLASS_PREFIX.values() for sign in ("_", " ")]
+    return F.coalesce(*[quoted(name).cast("double") for name in names if name in columns], F.lit(None).cast("double"))
+
+
 def allele_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
     """First column equal to one of the names without regard to case, else containing one."""
     wanted = [name.lower() for name in names]

@@ -7,10 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epitrove.functions.schema import (
-    LABEL_SEQUENCE_NAMES, peptide_length, percentile_column, quoted, sequence_number,
+    LABEL_SEQUENCE_NAMES, peptide_length, percentile_column, percentile_value, quoted, sequence_number,
 )
 from epitrove.functions.text import allele_key, is_residues_only, peptide_key, ungapped
 from epitrove.operators.filters import filter_predictions_slice
+from epitrove.operators.stabbing import best_interval
 from epitrove.plans.joins import literal_list, lookup_join
 
 PERCENTILES = ("netmhcpan_el_percentile", "netmhcpan_ba_percentile")
@@ -71,15 +72,27 @@ def predictions_for_peptides(predictions: DataFrame, peptides: DataFrame) -> Dat
     ).drop("__key")
 
 
+def _place(rows: DataFrame, order: Sequence[str]) -> Column:
+    """What tells later rows: two numbers of 32 bits as one of 64, so that a hash aggregate can hold it, else a struct."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and all(kinds.get(c) in ("byte", "short", "integer") for c in order):
+        high, low = (F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 31))) for c in order)
+        return F.shiftleft(high, 32) + (low + F.lit(1 << 31))
+    return F.struct(*order)
+
+
 def _by_pair(predictions: DataFrame, allele: Column, wanted: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Percentiles by (allele key, peptide key), only for the peptides that are wanted.
+    """Percentiles by (allele key, peptide key), only for the peptides that are wanted; each row has those of its class.
 
     Of a pair's rows the last finite value of each percentile counts, by the columns ``order``.
     Without an order pairs must not repeat; if they do, the largest value counts.
     """
     keyed = predictions.select(
-        allele.alias("allele_key"), peptide_key(F.col("peptide")).alias("peptide_key"), *PERCENTILES,
-        F.struct(*order).alias("__order") if order else F.lit(None).alias("__order"),
+        allele.alias("allele_key"), peptide_key(F.col("peptide")).alias("peptide_key"),
+        percentile_value(predictions.columns, "EL").alias(PERCENTILES[0]), percentile_value(predictions.columns, "BA").alias(PERCENTILES[1]),
+        _place(predictions, order).alias("__order") if order else F.lit(None).alias("__order"),
     )
     needed = lookup_join(keyed, wanted.select("peptide_key").distinct(), "peptide_key", "left_semi")
 
@@ -92,7 +105,7 @@ def _by_pair(predictions: DataFrame, allele: Column, wanted: DataFrame, order: S
 
 
 def overlay_percentiles(rows: DataFrame, alleles: Sequence[str], predictions: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Every row with every chosen allele and the pair's percentiles, if known.
+    """Every row with every chosen allele and the pair's percentiles, if known, of class I or II.
 
     ``order`` names the columns that tell later predictions of a pair; its last finite values count.
     """
@@ -140,23 +153,18 @@ def _chosen(predictions: DataFrame, method: str) -> DataFrame:
 def min_percentile_by_position(predictions: DataFrame, method: str) -> DataFrame:
     """Heat map: the lowest percentile over each position and its residue, per sequence and length.
 
-    Ties go to the smaller start, then to the peptide. Rows are spread over their positions and
-    reduced again within each task, so about one row per cell is shuffled and no sequence is
-    gathered in one place.
+    Ties go to the smaller start, then to the peptide. Predictions are shuffled once, by slice and block of
+    positions, and never unfolded to the positions they cover.
     """
     slices = ["seq_no", "peptide_length", "allele"]
     usable = _chosen(predictions, method).where(
         (F.col("allele") != "") & (F.col("peptide") != "") & F.col("start").isNotNull()
         & F.col("end").isNotNull() & F.col("pct").isNotNull() & ~F.isnan("pct") & (F.col("start") <= F.col("end"))
     )
-    spread = usable.select(
-        *slices, F.explode(F.sequence("start", "end")).alias("position"),
-        F.struct("pct", "start", "peptide").alias("hit"),
-    )
-    best = spread.groupBy(*slices, "position").agg(F.min("hit").alias("best"))
+    best = best_interval(usable, slices, ["pct", "start", "peptide"])
     return best.select(
-        *slices, "position", F.col("best.pct").alias("pct"), F.col("best.peptide").alias("peptide"),
-        F.substring(F.col("best.peptide"), F.col("position") - F.col("best.start") + 1, F.lit(1)).alias("aminoacid"),
+        *slices, "position", "pct", "peptide",
+        F.substring(F.col("peptide"), F.col("position") - F.col("start") + 1, F.lit(1)).alias("aminoacid"),
     )
 
 

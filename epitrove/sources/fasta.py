@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epitrove.functions.text import RESIDUES, is_residues_only, strip
@@ -53,72 +51,92 @@ def _entry_numbers(entries: DataFrame) -> DataFrame:
     return lookup_join(entries, offsets, ["file", "split"], "inner").withColumn("index", F.col("row") + F.col("offset"))
 
 
-def _related(counted: DataFrame) -> DataFrame:
-    """``file``, ``base``, ``root``: base names whose suffixed forms meet names that the file holds.
+def _forms(counted: DataFrame) -> DataFrame:
+    """``file``, ``parent``, ``number``, ``base``, ``met``: names of the form ``parent_number`` that the parent's suffixes can meet.
 
-    ``counted`` has the entries of each base name. Suffixes of a name go up to its entries and the
-    names of its form ``name_k``, so ``name_k`` with a larger number is not touched. A name that may
-    lose its own form to another takes suffixes as well, so the search goes on from there; each name
-    hangs on one shorter one, and a group is all that hangs on one root.
+    ``counted`` has the entries of each base name and the index of the first. Suffixes of a name go up to its entries
+    and the names of its form, so one with a larger number is not touched.
     """
     form = r"^(.*)_([1-9]\d*)$"
-    formed = counted.select("file", "base", F.regexp_extract("base", form, 1).alias("parent"),
+    formed = counted.select("file", "base", F.col("first").alias("met"), F.regexp_extract("base", form, 1).alias("parent"),
                             F.regexp_extract("base", form, 2).try_cast("long").alias("number")).where("number >= 2")
     taken = formed.groupBy("file", "parent").agg(F.count(F.lit(1)).alias("taken"))
-    reach = counted.withColumnRenamed("base", "parent").join(taken, ["file", "parent"]).select(
-        "file", "parent", (F.col("entries") > 1).alias("repeated"), (F.col("entries") + F.col("taken")).alias("last"))
-    links = pin(formed.join(reach, ["file", "parent"]).where("number <= last").select("file", "parent", "base", "repeated"))
-    known = pin(links.where("repeated").select("file", F.col("parent").alias("base"), F.col("parent").alias("root")).distinct())
-    while True:
-        below = links.select("file", "parent", F.col("base").alias("child")).join(
-            known.withColumnRenamed("base", "parent"), ["file", "parent"]).select("file", F.col("child").alias("base"), "root")
-        merged = known.unionByName(below).groupBy("file", "base").agg(F.min_by("root", F.length("root")).alias("root"))
-        merged = pin(merged)
-        if merged.join(known, ["file", "base", "root"], "left_anti").isEmpty():
-            return merged
-        known = merged
+    reach = counted.select("file", F.col("base").alias("parent"), "entries").join(taken, ["file", "parent"])
+    reach = pin(reach.select("file", "parent", (F.col("entries") + F.col("taken")).alias("last")))
+    return lookup_join(formed, reach, ["file", "parent"], "inner").where("number <= last").drop("last")
+
+
+_SETTLED = "array<struct<number: long, skipped: boolean, turn: long>>"
+
+
+def _settled(forms: pa.Array) -> pa.Array:
+    """Of a name's forms (number, before), by number: is it skipped, and if not, which of the name's entries to rename gets it?
+
+    ``before`` counts the entries to rename before the form's own first entry. A form is skipped if that comes
+    before the entry whose turn it is.
+    """
+    out = []
+    for row in forms.to_pylist():
+        skipped, found = 0, []
+        for form in row:
+            turn = form["number"] - 1 - skipped
+            skips = turn > form["before"]
+            found.append({"number": form["number"], "skipped": skips, "turn": turn})
+            skipped += skips
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("number", pa.int64()), ("skipped", pa.bool_()), ("turn", pa.int64())])))
 
 
 def _renamed(names: DataFrame) -> DataFrame:
     """Entries whose id is not their base name: ``(file, split, row, id)``.
 
-    Repeated names get the suffixes ``_2``, ``_3``, … in file order. ``name_k`` is right unless the
-    file also holds an entry literally called so; only such names are settled one after the other.
-    Names without a repetition and without such a relation take no part.
+    Entries of a name that is taken get the suffixes ``_2``, ``_3``, … in file order, without those that are taken
+    by then. Only a form ``name_k`` of the name can be in the way, or lose its own name; so names are settled from
+    the shorter to the longer ones, all of one depth at once. Per name only the list of its forms is gathered, never
+    its entries: these get their turn, and the number of skipped suffixes before it, by prefix sums.
     """
-    counted = pin(names.groupBy("file", "base").agg(F.count(F.lit(1)).alias("entries")))
-    repeated = counted.where("entries > 1").select("file", "base")
-    if repeated.isEmpty():
+    counted = pin(names.groupBy("file", "base").agg(F.count(F.lit(1)).alias("entries"), F.min("index").alias("first")))
+    key = ["file", "base"]
+    if counted.where("entries > 1").isEmpty():
         return names.sparkSession.createDataFrame([], _RENAMED)
-    numbered = number_rows_within(
-        lookup_join(names, repeated, ["file", "base"], "left_semi"), ["file", "base"], ["split", "row"], "k"
-    )
-    suffixed = numbered.where("k > 1").select(
-        "file", "split", "row", "base", F.concat_ws("_", "base", F.col("k").cast("string")).alias("id")
-    )
-    related = _related(counted)
-    if related.isEmpty():
-        return suffixed.drop("base")
-    clear = lookup_join(suffixed, related.select("file", "base"), ["file", "base"], "left_anti")
-    settled = lookup_join(names, related, ["file", "base"], "inner").groupBy("file", "root").applyInPandas(_settle_names, _RENAMED)
-    return clear.select("file", "split", "row", "id").unionByName(settled)
-
-
-def _settle_names(entries: pd.DataFrame) -> pd.DataFrame:
-    entries = entries.sort_values(["split", "row"])
-    used: set[str] = set()
-    tried: dict[str, int] = {}
-    names = []
-    for base in entries["base"]:
-        number = tried.get(base, 1)
-        name = base if number == 1 else f"{base}_{number}"
-        while name in used:
-            number += 1
-            name = f"{base}_{number}"
-        tried[base] = number
-        used.add(name)
-        names.append(name)
-    return entries.assign(id=names)[["file", "split", "row", "id"]]
+    forms = pin(_forms(counted))
+    # Entries before each form's first one: places in the merged order less places among the forms.
+    parents = pin(forms.select("file", F.col("parent").alias("base")).distinct())
+    entries = lookup_join(names, parents, key, "left_semi").select(*key, "index", F.lit(None).cast("long").alias("number"))
+    meetings = forms.select("file", F.col("parent").alias("base"), F.col("met").alias("index"), "number")
+    before = number_rows_within(entries.unionByName(meetings), key, ["index", "number"], "both").where("number IS NOT NULL")
+    before = pin(number_rows_within(before, key, ["index", "number"], "among").select(*key, "number", (F.col("both") - F.col("among")).alias("before")))
+    concerned = counted.where("entries > 1").select(*key).unionByName(parents).distinct()
+    depth = lookup_join(lookup_join(counted, pin(concerned), key, "inner"), forms.select(*key), key, "left_anti")
+    depth = pin(depth.withColumn("lost", F.lit(False)))
+    settled, skips = [], []
+    while not depth.isEmpty():
+        settled.append(depth)
+        # All entries of a name that was lost are renamed, else all but the first.
+        kept = F.when(F.col("lost"), 0).otherwise(1)
+        active = depth.where((F.col("entries") > 1) | F.col("lost")).select(*key, "entries", kept.alias("kept"))
+        listed = before.join(active, key).groupBy(*key, "entries", "kept").agg(
+            F.array_sort(F.collect_list(F.struct("number", F.greatest(F.col("before") - F.col("kept"), F.lit(0)).alias("before")))).alias("forms"))
+        turns = pin(listed.select(*key, (F.col("entries") - F.col("kept")).alias("renamed"), F.inline(F.arrow_udf(_settled, _SETTLED)("forms"))))
+        skips.append(turns.where("skipped").select(*key, "number", "turn"))
+        lost = turns.where("NOT skipped AND turn <= renamed").select("file", F.concat_ws("_", "base", F.col("number").cast("string")).alias("base"), F.lit(True).alias("taken"))
+        below = forms.select("file", F.col("parent").alias("base"), F.col("base").alias("form")).join(depth.select(*key), key).select("file", F.col("form").alias("base"))
+        depth = pin(counted.join(below, key).join(lost, key, "left").select(*key, "entries", "first", F.coalesce("taken", F.lit(False)).alias("lost")))
+    names_lost = _together(settled).where((F.col("entries") > 1) | F.col("lost")).select(*key, "lost")
+    numbered = number_rows_within(lookup_join(names, pin(names_lost), key, "inner"), key, ["index"], "k")
+    turned = numbered.withColumn("turn", F.col("k") - F.when(F.col("lost"), 0).otherwise(1)).where("turn > 0")
+    # A skipped suffix moves up the entries from the turn it would have had; it stands before that entry.
+    entries = turned.select(*key, "turn", "split", "row", F.lit(1).alias("entry"), F.lit(0).cast("long").alias("number"))
+    skipped = _together(skips).select(*key, "turn", F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("entry"), "number")
+    merged = number_rows_within(entries.unionByName(skipped), key, ["turn", "entry", "number", "split", "row"], "n").where("entry = 1")
+    return merged.select("file", "split", "row", F.concat_ws("_", "base", (F.col("n") + 1).cast("string")).alias("id"))
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionByName(frame)
+    return found
 
 
 def read_fasta_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +163,7 @@ def read_fasta_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         "base", F.substring(F.regexp_replace(named, "[^A-Za-z0-9_.-]", "_"), 1, ID_LENGTH)
     )
     place = ["file", "split", "row"]
-    renamed = pin(_renamed(entries.select(*place, "base")))
+    renamed = pin(_renamed(entries.select(*place, "base", "index")))
     named = lookup_join(entries, renamed, place, "left").select(
         "file", F.coalesce("id", "base").alias("id"), "sequence"
     )

@@ -52,6 +52,17 @@ def test_overlay_keeps_every_row_and_allele(spark, pairs):
         (2, "hla-b*07:02", None, None), (3, "HLA-A*02:01", None, None), (3, "hla-b*07:02", None, None)]
 
 
+def test_overlay_of_both_classes(spark):
+    """Each row has the percentiles of its class; class I comes first, and pairs keep their last finite value."""
+    table = spark.createDataFrame([
+        ("A", "ACD", 1, 1, 5.0, None, 7.0), ("A", "ACD", 2, 1, None, 6.0, None), ("B", "ACD", 1, 2, None, None, 8.0), ("B", "ACD", 1, 1, 1.0, 2.0, 3.0),
+        ("B", "ACD", None, 9, 4.0, None, None)],
+        "allele string, peptide string, seq_no int, start int, `netmhcpan_el percentile` double, netmhciipan_ba_percentile float, `netmhciipan_el percentile` double")
+    grid = prd.overlay_percentiles(spark.createDataFrame([("ACD",)], "peptide string"), ["A", "B"], table, ["seq_no", "start"])
+    assert rows(grid) == [("ACD", "A", 5.0, 6.0), ("ACD", "B", 8.0, 2.0)]
+    assert "SortAggregate" not in grid._jdf.queryExecution().executedPlan().toString()
+
+
 def test_percentile_by_spelling_of_the_allele(spark, pairs):
     bars = spark.createDataFrame([(1, "ACD", None), (2, "QQ", "A-CD"), (3, "EFG", "EFG"), (4, None, None)],
                                  "n int, peptide string, peptide_aligned string")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -97,6 +98,34 @@ def test_repeated_names_never_clash(spark, tmp_path, bases):
     assert [name for name, _ in valid] == one_by_one(bases)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_random_names_never_clash(spark, tmp_path, seed):
+    """Forms of forms, forms that come before and after the suffix they meet, numbers out of reach, and several files."""
+    dice = random.Random(seed)
+    pool = ["a", "a_2", "a_3", "a_4", "a_2_2", "a_2_3", "a_2_2_2", "a_02", "a_1", "b", "b_9", "b_2", "c", "c_2_2"]
+    files = {name: dice.choices(pool, weights=[dice.choice([1, 5]) for _ in pool], k=dice.randint(1, 70)) for name in "xyz"}
+    valid, _ = fasta.read_fasta_strict(spark, folder(tmp_path, **{name: "".join(f">{b}\nMK{'A' * n}\n" for n, b in enumerate(bases)) for name, bases in files.items()}))
+    expected = []
+    for bases in files.values():
+        taken = set()
+        for n, base in enumerate(bases):
+            name, k = base, 1
+            while name in taken:
+                k += 1
+                name = f"{base}_{k}"
+            taken.add(name)
+            expected.append((name, "MK" + "A" * n))
+    assert rows(valid.select("id", "sequence")) == sorted(expected)
+
+
+def test_a_hot_name_with_one_literal_form_is_settled_in_many_tasks(spark, tmp_path):
+    bases = ["hot" if n % 3 == 0 else f"n{n}" for n in range(3_000)]
+    bases[1] = "hot_2"
+    valid, _ = fasta.read_fasta_strict(spark, folder(tmp_path, a="".join(f">{b}\nMK\n" for b in bases)))
+    assert sorted(r.id for r in valid.collect()) == one_by_one(bases)
+    assert "Pandas" not in valid._jdf.queryExecution().executedPlan().toString().replace("MapInPandas", "")
+
+
 def test_peptides_csv(spark, tmp_path):
     path = folder(tmp_path, a='Peptide,PROTEIN ,"Attribute 1",My attribute 2,attribute no 3\n'
                               'acd, M1 ,"x, ""y""",ignored,\nEF,HA,,b, c \n')
@@ -180,12 +209,13 @@ def test_documents_without_the_table(spark, tmp_path):
         results.read_prediction_json(spark, path).collect()
 
 
-def test_names_that_cannot_meet_are_not_settled_together(spark):
-    from epitrove.sources.fasta import _related
+def test_only_forms_that_suffixes_can_meet_are_looked_at(spark):
+    from epitrove.sources.fasta import _forms
 
-    names = [("f", f"EPI_ISL_{n}", 1) for n in range(1, 3001)] + [("f", "EPI", 2), ("f", "EPI_2", 1), ("f", "EPI_9", 1), ("f", "a_2_2", 1), ("f", "a_2", 1), ("f", "a", 3)]
-    found = {(r.base, r.root) for r in _related(spark.createDataFrame(names, "file string, base string, entries long")).collect()}
-    assert found == {("EPI", "EPI"), ("EPI_2", "EPI"), ("a", "a"), ("a_2", "a"), ("a_2_2", "a")}
+    names = [("f", f"EPI_ISL_{n}", 1, n) for n in range(1, 3001)] + [
+        ("f", name, entries, 0) for name, entries in (("EPI", 2), ("EPI_2", 1), ("EPI_9", 1), ("a_2_2", 1), ("a_2", 1), ("a", 3))]
+    found = {(r.parent, r.number) for r in _forms(spark.createDataFrame(names, "file string, base string, entries long, first long")).collect()}
+    assert found == {("EPI", 2), ("a", 2), ("a_2", 2)}
 
 
 def test_names_are_those_of_one_pass_through_the_file(spark, tmp_path):

@@ -128,6 +128,20 @@ def scan_predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def of_both_classes(scan: DataFrame) -> DataFrame:
+    """The same predictions, a third of them with the percentiles in columns of class II; some rows have class II values
+    besides those of class I, which come first."""
+    el, ba = F.col("netmhcpan_el percentile"), F.col("netmhcpan_ba percentile")
+    turn = F.col("start") % 6
+    placed = {
+        "netmhcpan_el_percentile": F.when(turn.isin(1), el), "netmhcpan_el percentile": F.when(turn.isin(0, 2, 3), el),
+        "netmhciipan_el_percentile": F.when(turn.isin(4), el), "netmhciipan_el percentile": F.when(turn.isin(5), el),
+        "netmhcpan_ba_percentile": F.when(turn.isin(1), ba), "netmhcpan_ba percentile": F.when(turn.isin(0, 2, 3), ba),
+        "netmhciipan_ba_percentile": F.when(turn.isin(4), ba), "netmhciipan_ba percentile": F.when(turn.isin(3, 5), ba + F.when(turn == 3, 1.0).otherwise(0.0)),
+    }
+    return scan.select(*[c for c in scan.columns if "percentile" not in c], *[value.alias(name) for name, value in placed.items()])
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (allele, peptide) under the viewer's column names."""
     return scan_predictions(spark, sf).groupBy("allele", "peptide").agg(

@@ -219,7 +219,21 @@ LEFT JOIN frequencies f USING (protein, position)"""),
     "read_allele_list": sql("hla", """SELECT DISTINCT trim("Class I") AS allele FROM hla WHERE trim("Class I") <> ''"""),
     "read_fasta": sql("scanned", "SELECT seq_id AS protein, sequence AS raw_sequence FROM scanned"),
     "read_fasta_strict": sql("scanned", """
-SELECT replace(seq_id, '#', '_') AS id,
+, clash AS (SELECT seq_index % 3 AS part, row_number() OVER (PARTITION BY seq_index % 3 ORDER BY seq_index) AS n, sequence,
+    CASE WHEN seq_index % 5 < 2 THEN 'hot' WHEN seq_index % 5 = 2 THEN concat('hot_', seq_index % 23)
+         WHEN seq_index % 5 = 3 THEN concat('hot_2_', seq_index % 7) ELSE replace(seq_id, '#', '_') END AS base FROM scanned),
+-- One entry after the other: its name, or the first suffixed one that no entry before it has.
+settled AS (SELECT * FROM (
+  WITH RECURSIVE named(part, n, taken, id, sequence) AS (
+    SELECT DISTINCT part, 0, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM clash
+    UNION ALL
+    SELECT part, n, list_append(taken, id), id, sequence FROM (
+      SELECT c.part, c.n, c.sequence, taken, CASE WHEN list_contains(taken, base)
+        THEN concat(base, '_', list_filter(range(2, c.n + 2), lambda k: NOT list_contains(taken, concat(base, '_', k)))[1]) ELSE base END AS id
+      FROM named JOIN clash c ON c.part = named.part AND c.n = named.n + 1))
+  SELECT id, sequence FROM named WHERE n > 0))
+SELECT id, sequence, NULL AS type, NULL AS chars FROM settled
+UNION ALL SELECT replace(seq_id, '#', '_') AS id,
   CASE WHEN seq_index % 7 > 0 AND seq_index % 11 > 0 THEN sequence END AS sequence,
   CASE WHEN seq_index % 7 = 0 THEN 'invalid_chars' WHEN seq_index % 11 = 0 THEN 'empty_after_clean' END AS type,
   CASE WHEN seq_index % 7 = 0 THEN 'BX' END AS chars FROM scanned"""),
@@ -301,7 +315,9 @@ SELECT position, aminoacid, value_unique AS value, frequency_unique AS frequency
     "select_facet": sql("isolates", """
 SELECT host AS facet, count(*) AS n, count(DISTINCT sequence) AS sequences FROM isolates
 WHERE host IN ('Homo sapiens', 'AUTOMOBILE') GROUP BY host"""),
-    "resolve_percentile_column": sql("scan", "SELECT allele, peptide, start, el, ba, ba AS ba_by_class FROM scan"),
+    "resolve_percentile_column": sql("scan", """
+SELECT allele, peptide, start, el, ba, ba AS ba_by_class, NULL::DOUBLE AS el_by_row, NULL::DOUBLE AS ba_by_row, NULL::DOUBLE AS ba_explicit FROM scan
+UNION ALL SELECT allele, peptide, start, NULL, NULL, NULL, el, ba, CASE start % 6 WHEN 3 THEN ba + 1 WHEN 5 THEN ba END FROM scan"""),
     "resolve_length_column": sql("scan", """
 SELECT seq_no, len AS length, allele, peptide FROM scan UNION ALL SELECT 1, len, allele, peptide FROM scan"""),
     "normalize_predictions": sql("scan", """
@@ -535,3 +551,42 @@ QUALIFY CASE kind WHEN 'Class I' THEN row_number() OVER (PARTITION BY kind ORDER
     "distinct_windows": sql("aligned", "SELECT DISTINCT protein, start, length AS len FROM aligned WHERE start > 0 AND length > 0"),
     "ordered_positions": sql("live", "SELECT position, aminoacid, frequency_all FROM live"),
 }
+
+ORACLES["align_references"] = sql("scanned frequencies", """
+, raw AS (SELECT seq_index, protein, concat(substr(sequence, 1, 20 + seq_index % 9), substr(sequence, 24 + seq_index % 13)) AS raw_sequence FROM scanned),
+profiles AS (SELECT protein, max(position) AS columns FROM frequencies GROUP BY protein),
+given AS (SELECT row_number() OVER () AS id, protein, columns, raw_sequence, length(raw_sequence) AS letters,
+    greatest(75, abs(columns - length(raw_sequence)) + 20) AS band
+  FROM (SELECT DISTINCT protein, raw_sequence FROM raw) JOIN profiles USING (protein)),
+-- What a letter scores in a column: by its share, else 0 where X occurs, else -5.
+fits AS (SELECT p.protein, l.letter, list(CASE WHEN f.value > 0 THEN 2 * ln(f.value / 0.05) WHEN x.value IS NOT NULL THEN 0 ELSE -5 END ORDER BY p.position) AS fit
+  FROM (SELECT protein, unnest(generate_series(1, columns)) AS position FROM profiles) p
+  CROSS JOIN (SELECT DISTINCT unnest(string_split(raw_sequence, '')) AS letter FROM raw) l
+  LEFT JOIN frequencies f ON f.protein = p.protein AND f.position = p.position AND f.aminoacid = l.letter
+  LEFT JOIN frequencies x ON x.protein = p.protein AND x.position = p.position AND x.aminoacid = 'X'
+  GROUP BY p.protein, l.letter),
+-- The fits of a sequence, letter by letter.
+scored AS (SELECT g.id, list(f.fit ORDER BY s.j) AS fit FROM (SELECT *, unnest(generate_series(1, letters)) AS j FROM given) s
+  JOIN given g USING (id) JOIN fits f ON f.protein = s.protein AND f.letter = substr(s.raw_sequence, s.j, 1) GROUP BY g.id),
+aligned_texts AS (
+  WITH RECURSIVE cells(id, d, before, last) USING KEY (id) AS (
+    -- Of each column, three scores and their texts: the letter on the column, the column skipped, the letter on its own.
+    SELECT id, 0, list_transform(range(columns + 1), lambda i: {m: -1e9, x: -1e9, y: -1e9, tm: '', tx: '', ty: ''}),
+      list_transform(range(columns + 1), lambda i: {m: CASE WHEN i = 0 THEN 0e0 ELSE -1e9 END, x: -1e9, y: -1e9, tm: '', tx: '', ty: ''})
+    FROM given
+    UNION
+    SELECT id, d + 1, last, list_transform(steps, lambda s: CASE
+        WHEN NOT s.inside THEN {m: -1e9, x: -1e9, y: -1e9, tm: '', tx: '', ty: ''}
+        WHEN s.j = 0 THEN {m: -1e9, x: -5 - 2e0 * d, y: -1e9, tm: '', tx: repeat('-', d + 1), ty: ''}
+        WHEN s.i = 0 THEN {m: -1e9, x: -1e9, y: -5 - 2e0 * d, tm: '', tx: '', ty: substr(raw_sequence, 1, d + 1)}
+        ELSE {m: greatest(s.p.m + s.fit, s.p.x + s.fit, s.p.y + s.fit), x: greatest(s.l.m - 5, s.l.x - 2), y: greatest(s.u.m - 5, s.u.y - 2),
+              tm: CASE WHEN s.p.m + s.fit >= greatest(s.p.x + s.fit, s.p.y + s.fit) THEN s.p.tm WHEN s.p.x + s.fit >= s.p.y + s.fit THEN s.p.tx ELSE s.p.ty END || substr(raw_sequence, s.j, 1),
+              tx: CASE WHEN s.l.m - 5 >= s.l.x - 2 THEN s.l.tm ELSE s.l.tx END || '-',
+              ty: CASE WHEN s.u.m - 5 >= s.u.y - 2 THEN s.u.tm ELSE s.u.ty END || substr(raw_sequence, s.j, 1)} END)
+    FROM (SELECT c.id, c.d, c.last, g.raw_sequence, list_transform(range(g.columns + 1), lambda i: {
+            i: i, j: c.d + 1 - i, inside: c.d + 1 - i BETWEEN 0 AND g.letters AND abs(2 * i - c.d - 1) <= g.band,
+            p: c.before[i], l: c.last[i], u: c.last[i + 1], fit: s.fit[c.d + 1 - i][i]}) AS steps
+          FROM cells c JOIN given g USING (id) JOIN scored s USING (id) WHERE c.d < g.columns + g.letters))
+  SELECT g.protein, g.raw_sequence, CASE WHEN e.m >= greatest(e.x, e.y) THEN e.tm WHEN e.x >= e.y THEN e.tx ELSE e.ty END AS aligned_sequence
+  FROM (SELECT id, last[-1] AS e FROM cells) JOIN given g USING (id))
+SELECT seq_index, raw_sequence, aligned_sequence FROM raw LEFT JOIN aligned_texts USING (protein, raw_sequence)""")

@@ -80,9 +80,19 @@ def read_fasta_strict(spark, sf):
         ).alias("body"),
     )
     sinks.export_fasta(spoilt, path, "header", "body")
+    # Three files in which most names repeat and many are literally the suffixed form of another.
+    clashing = scratch_path(spark, "fasta")
+    named = ad.scanned_sequences(spark, sf).select(
+        (F.col("seq_index") % 3).alias("part"), "seq_index", "sequence",
+        F.expr("CASE seq_index % 5 WHEN 2 THEN concat('hot_', seq_index % 23) WHEN 3 THEN concat('hot_2_', seq_index % 7)"
+               " WHEN 4 THEN seq_id ELSE 'hot' END").alias("header"),
+    )
+    named.repartition("part").sortWithinPartitions("part", "seq_index").select(
+        "part", F.concat(F.lit(">"), "header", F.lit("\n"), "sequence").alias("record")).write.partitionBy("part").text(clashing)
     valid, issues = fasta.read_fasta_strict(spark, path)
+    settled, _ = fasta.read_fasta_strict(spark, clashing)
     absent = F.lit(None).cast("string")
-    return valid.select("id", "sequence", absent.alias("type"), absent.alias("chars")).unionByName(
+    return valid.unionByName(settled).select("id", "sequence", absent.alias("type"), absent.alias("chars")).unionByName(
         issues.select("id", absent.alias("sequence"), "type", "chars")
     )
 
@@ -350,9 +360,15 @@ def resolve_percentile_column(spark, sf):
     loose = schema.percentile_column(rows.columns, METHOD)
     exact = schema.percentile_column(rows.columns, "netmhcpan_ba")
     by_class = schema.class_percentile_column(rows.columns, "I", "BA")
+    both = ad.of_both_classes(ad.scan_predictions(spark, sf))
+    by_row = both.select(
+        "allele", "peptide", "start", *[F.lit(None).cast("double").alias(c) for c in ("el", "ba", "ba_by_class")],
+        schema.percentile_value(both.columns, "EL").alias("el_by_row"), schema.percentile_value(both.columns, "BA").alias("ba_by_row"),
+        schema.percentile_value(both.columns, "BA", explicit="netmhciipan_ba percentile").alias("ba_explicit"),
+    )
     return rows.select("allele", "peptide", "start", *[
         schema.quoted(c).alias(n) for n, c in (("el", loose), ("ba", exact), ("ba_by_class", by_class))
-    ])
+    ], *[F.lit(None).cast("double").alias(c) for c in ("el_by_row", "ba_by_row", "ba_explicit")]).unionByName(by_row)
 
 
 @query
@@ -492,12 +508,8 @@ def predictions_for_peptides(spark, sf):
 
 
 def _repeated_predictions(spark, sf):
-    """Predictions in which an (allele, peptide) pair comes once per sequence and place."""
-    return ad.scan_predictions(spark, sf).select(
-        "allele", "peptide", F.coalesce("seq #", F.lit(1)).alias("seq_no"), "start",
-        F.col("netmhcpan_el percentile").alias("netmhcpan_el_percentile"),
-        F.col("netmhcpan_ba percentile").alias("netmhcpan_ba_percentile"),
-    )
+    """Predictions of both classes in which an (allele, peptide) pair comes once per sequence and place."""
+    return ad.of_both_classes(ad.scan_predictions(spark, sf)).withColumn("seq_no", F.coalesce("seq #", F.lit(1)))
 
 
 @query
