@@ -50,22 +50,30 @@ def align_peptides(peptides: DataFrame, references: DataFrame, order: Sequence[s
     )
 
 
+def _seed_length(length: Column) -> Column:
+    """The largest power of two that is not above ``length``."""
+    return F.pow(F.lit(2), F.length(F.bin(length)) - 1).cast("int")
+
+
 def find_occurrences(sequences: DataFrame, peptides: DataFrame) -> DataFrame:
     """All matches, overlapping ones included, of each peptide in each sequence.
 
-    Distinct sequences are cut into substrings of the lengths that occur among the peptides and
-    joined on equality, so no peptide is compared with every sequence and equal sequences are cut once.
+    Peptides are indexed by a seed, their first 1, 2, 4, 8, … letters, as many as they have. Distinct sequences
+    are probed with the seed at each place, once for each seed length that occurs; what a seed hits is
+    verified letter by letter. So the probes grow with the logarithm of the lengths at most, and with 8 to 14 letters
+    there is one per place. A probe carries as many letters as the longest peptide has.
     """
     wanted = peptides.where(F.length("peptide") > 0).select("peptide", F.length("peptide").alias("length"))
-    # One short list: the distinct lengths, as a subquery.
-    lengths = wanted.agg(F.collect_set("length")).scalar()
+    index = wanted.select("peptide", "length", _seed_length(F.col("length")).alias("size")).withColumn("seed", F.expr("substring(peptide, 1, size)"))
+    # One short list: for each seed length the longest peptide that has it, as a subquery.
+    reach = index.groupBy("size").agg(F.max("length").alias("longest"))
+    sizes = reach.agg(F.collect_list(F.struct("size", "longest"))).scalar()
     filled = sequences.where(F.length("sequence") > 0).select("seq_index", "seq_id", "sequence")
-    cut = filled.select("sequence").distinct().select("sequence", F.explode(lengths).alias("length")).where(
-        F.col("length") <= F.length("sequence"))
-    cut = cut.select(
-        "sequence", "length", F.explode(F.sequence(F.lit(1), F.length("sequence") - F.col("length") + 1)).alias("start"),
-    ).withColumn("peptide", F.substring(F.col("sequence"), F.col("start"), F.col("length")))
-    found = lookup_join(cut, wanted.select("peptide"), "peptide", "inner")
+    probes = filled.select("sequence").distinct().select("sequence", F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("start"))
+    probes = probes.select("sequence", "start", F.inline(sizes)).select(
+        "sequence", "start", F.expr("substring(sequence, start, longest)").alias("ahead"), F.expr("substring(sequence, start, size)").alias("seed"), "size"
+    ).where(F.length("seed") == F.col("size"))
+    found = lookup_join(probes, index, ["size", "seed"], "inner").where(F.col("ahead").startswith(F.col("peptide")))
     return lookup_join(filled, found, "sequence", "inner").select("seq_index", "seq_id", "peptide", "start", "length")
 
 
@@ -89,38 +97,42 @@ def generate_peptides(
 ) -> DataFrame:
     """All peptides that combine frequent residues over windows of the positions that have any.
 
-    The combinations are unfolded one position at a time, so no row ever holds them all, and the
-    rows are spread again half-way: one window can have very many of them.
+    They grow as a prefix tree, one position at a time: a peptide of one length is the beginning of the next
+    longer ones, so each is made once. Half-way the beginnings, of which one window can have very many, are
+    spread over all tasks without the choices of their window, and look up those of the positions to come.
     """
     spark = frequencies.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = sorted(set(lengths))
+    half = min(sizes[0], (sizes[-1] + 1) // 2)
     frequent = filter_frequency(frequencies, at_least, without)
     # Per position a set of residues, per window the sets of its positions: both are short.
     choices = frequent.groupBy("protein", "position").agg(F.collect_set("aminoacid").alias("choice"))
-    ahead = Window.partitionBy("protein").orderBy("position").rowsBetween(0, sizes[-1] - 1)
-    windows = choices.select(
-        "protein", F.col("position").alias("start_position"),
-        F.collect_list("position").over(ahead).alias("positions"), F.collect_list("choice").over(ahead).alias("choices"),
-    ).repartition(tasks, "protein", "start_position")
-
-    def unfolded(size: int) -> DataFrame:
-        grown = windows.where(F.size("choices") >= size).select(
-            "protein", "start_position", F.get("positions", F.lit(size - 1)).alias("end_position"),
-            "choices", F.lit("").alias("peptide"),
-        )
-        for at in range(size):
-            if at == size // 2:
-                grown = grown.repartition(tasks, "protein", "start_position", "peptide")
-            grown = grown.select(
-                "protein", "start_position", "end_position", "choices",
-                "peptide", F.explode(F.get("choices", F.lit(at))).alias("residue"),
-            ).withColumn("peptide", F.concat("peptide", "residue")).drop("residue")
-        return grown.select("protein", F.lit(size).alias("peptide_len"), "start_position", "end_position", "peptide")
-
-    combined = unfolded(sizes[0])
-    for size in sizes[1:]:
-        combined = combined.unionByName(unfolded(size))
+    numbered = choices.withColumn("place", F.row_number().over(Window.partitionBy("protein").orderBy("position")))
+
+    def window(size: int) -> list[Column]:
+        ahead = Window.partitionBy("protein").orderBy("position").rowsBetween(0, size - 1)
+        return [F.collect_list("position").over(ahead).alias("positions"), F.collect_list("choice").over(ahead).alias("choices")]
+
+    grown = numbered.select("protein", F.col("position").alias("start_position"), (F.col("place") + half).alias("place"), *window(half))
+    grown = grown.where(F.size("choices") == half).repartition(tasks, "protein", "start_position")
+    grown = grown.select("protein", "start_position", F.element_at("positions", -1).alias("end_position"), "place", "choices", F.lit("").alias("peptide"))
+    for at in range(half):
+        grown = grown.withColumn("residue", F.explode(F.get("choices", F.lit(at)))).withColumn("peptide", F.concat("peptide", "residue")).drop("residue")
+    grown = grown.drop("choices").repartition(tasks, "protein", "start_position", "peptide")
+    rest = numbered.select("protein", "place", *window(sizes[-1] - half)) if sizes[-1] > half else None
+    if rest is not None:
+        grown = lookup_join(grown, rest, ["protein", "place"], "left").withColumn("whole", F.lit(False))
+    for at in range(sizes[-1] - half):
+        # An empty residue ends a peptide that is long enough.
+        onward = F.coalesce(F.get("choices", F.lit(at)), F.array().cast("array<string>"))
+        if half + at >= sizes[0]:
+            onward = F.when(F.col("whole"), F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), onward))
+        grown = grown.withColumn("residue", F.explode(onward)).withColumns({
+            "whole": F.col("whole") | (F.col("residue") == ""), "peptide": F.concat("peptide", "residue")}).drop("residue")
+    length = F.length("peptide")
+    end = F.coalesce(F.get("positions", length - half - 1), "end_position") if rest is not None else F.col("end_position")
+    combined = grown.select("protein", length.alias("peptide_len"), "start_position", end.alias("end_position"), "peptide").where(F.col("peptide_len").isin(sizes))
     # The end grows with the start, so the smallest of both belong to the same window.
     return combined.groupBy("protein", "peptide_len", "peptide").agg(
         F.min("start_position").alias("start_position"), F.min("end_position").alias("end_position")

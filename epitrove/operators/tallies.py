@@ -1,8 +1,8 @@
 """Window tallies: how often each substring occurs in a ``(start, len)`` window of the alignment.
 
 As in ``frequencies``, identical sequences are grouped first, so all and distinct counts come
-from one pass. A window's rows are never gathered in one task: totals are aggregates joined
-back by window, and ranks come from top-k limits or from counting.
+from one pass. A window's rows are never gathered in one task: totals come along from the
+sequences, and ranks come from top-k limits or from counting.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from epitrove.functions.text import peptide_key, protein_key, ungapped
 from epitrove.operators.filters import is_aligned
 from epitrove.operators.frequencies import distinct_sequences
 from epitrove.plans.joins import lookup_join
+from epitrove.plans.storage import pin
 from epitrove.sources.tables import valid_windows
 
 # Candidates per window, alternates per peptide, the bound of a conserved peptide.
@@ -78,21 +79,50 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole)).otherwise(F.lit(0.0))
 
 
+def _starts(windows: Iterable[tuple[int, int]]) -> Column:
+    """A list of windows as an array of (start, lens): the lengths asked for at each start."""
+    found: dict[int, list[int]] = {}
+    for start, length in valid_windows(windows):
+        found.setdefault(int(start), []).append(int(length))
+    literal = [F.struct(F.lit(start).alias("start"), F.array(*[F.lit(n) for n in sorted(lens)]).alias("lens")) for start, lens in found.items()]
+    return F.array(*literal) if literal else F.array().cast("array<struct<start:int,lens:array<int>>>")
+
+
 def window_tallies(
     isolates: DataFrame, windows: Iterable[tuple[int, int]] | DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Count, total and share of every observed substring in every window, per group of ``by``."""
+    """Count, total and share of every observed substring in every window, per group of ``by``.
+
+    Windows that share a start are prefixes of the longest one: each distinct sequence is cut once per
+    start, the longest substrings are counted, and shorter ones are counted from these counts. Every
+    sequence has one substring in each window, so a window's totals are those of its group. They are known
+    before, come along from the start and need no join by window; a window that holds most rows is split like any other.
+    """
     weighted = distinct_sequences(isolates, by)
-    # There is one total per window, so a list of windows bounds the look-up of totals.
-    bound = None if by or isinstance(windows, DataFrame) else len(valid_windows(windows))
-    counts = cross_windows(weighted, windows, [*by, "copies"], by, bound).groupBy(*by, *WINDOW, "peptide").agg(
+    sums = [F.sum("copies").alias("total_all"), F.count(F.lit(1)).alias("total_unique")]
+    if isinstance(windows, DataFrame):
+        if not by:
+            raise ValueError("a table of windows needs the columns it is joined on")
+        asked = windows.select(*by, F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len")).where("start > 0 and len > 0")
+        # The lengths at one start: a short list. Windows and totals are small next to the sequences.
+        asked = asked.groupBy(*by, "start").agg(F.array_sort(F.collect_set("len")).alias("lens"))
+        paired = lookup_join(weighted, lookup_join(asked, weighted.groupBy(*by).agg(*sums), by, "inner"), by, "inner")
+    else:
+        starts = F.explode(_starts(windows)).alias("window")
+        if by:
+            paired = lookup_join(weighted, weighted.groupBy(*by).agg(*sums), by, "inner").select("*", starts)
+        else:
+            paired = weighted.select("*", weighted.agg(F.struct(*sums)).scalar().alias("totals"), starts).select("*", "totals.*")
+        paired = paired.select("*", "window.*")
+    totals = ["total_all", "total_unique"]
+    longest = F.substring(F.col("sequence"), F.col("start"), F.element_at("lens", -1)).alias("peptide")
+    counts = paired.select(*by, "start", "lens", *totals, "copies", longest).groupBy(*by, "start", "lens", *totals, "peptide").agg(
         F.sum("copies").alias("frequency_all"), F.count(F.lit(1)).alias("frequency_unique")
-    )
-    totals = counts.groupBy(*by, *WINDOW).agg(
-        F.sum("frequency_all").alias("total_all"), F.sum("frequency_unique").alias("total_unique")
-    )
-    both = lookup_join(counts, totals, [*by, *WINDOW], "inner", at_most=bound)
-    return both.select(
+    ).select("*", F.explode("lens").alias("len")).withColumn("peptide", F.substring(F.col("peptide"), F.lit(1), F.col("len")))
+    if isinstance(windows, DataFrame) or len({start for start, _ in valid_windows(windows)}) < len(valid_windows(windows)):
+        counts = counts.groupBy(*by, *WINDOW, *totals, "peptide").agg(
+            F.sum("frequency_all").alias("frequency_all"), F.sum("frequency_unique").alias("frequency_unique"))
+    return counts.select(
         *by, *WINDOW, "peptide",
         "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
         "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
@@ -172,42 +202,56 @@ def _leading(tallies: DataFrame, group: Sequence[str], metric: str, most: int) -
     return tallies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def _slot(board: str, row: Column, most: int) -> Column:
+    """How many entries of a sorted ``board`` of at most ``most`` are not after ``row``, by binary search."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        # A board that ends before ``middle`` has null there, which is after every row.
+        return F.when(F.get(board, F.lit(middle)) <= row, within(middle + 1, high)).otherwise(within(low, middle))
+
+    return within(0, most)
+
+
 def top_candidates_by_window(tallies: DataFrame, most: int = TOP_CANDIDATES, by: Sequence[str] = ()) -> DataFrame:
     """Peptides among the first ``most`` of their window by either share, with both exact ranks.
 
-    The tallies are read several times: store them first. A candidate's rank is one more than the
-    number of peptides before it. They are counted by an aggregate, so that a window with very many
-    peptides is not sorted in one task.
+    The tallies are read twice: store them first. The candidates of a window, sorted by either share, are its
+    two boards. Each tally row finds its slot on both boards; a candidate's rank is one more than the rows in
+    the slots before it. So no row is multiplied and no window is sorted in one task. Boards are stored: a
+    window that holds most rows can be split against them, and they are broadcast only if their size allows.
     """
     group = [*by, *WINDOW]
+    kept = ["peptide", "proportion_all", "proportion_unique", "frequency_all", "total_all", "frequency_unique", "total_unique"]
     # Both sets are partitioned by window already; a full join on all columns is their union.
     chosen = _leading(tallies, group, "proportion_all", most).join(
         _leading(tallies, group, "proportion_unique", most), tallies.columns, "full"
     )
-    rival = F.struct(
-        F.col("peptide").alias("rival"),
-        F.col("proportion_all").alias("rival_all"),
-        F.col("proportion_unique").alias("rival_unique"),
-    )
+
+    def place(metric: str) -> Column:
+        return F.struct((-F.col(metric)).alias("metric"), F.col("peptide").alias("peptide"))
+
     # At most twice ``most`` entries per window.
-    boards = chosen.groupBy(*group).agg(F.collect_list(rival).alias("board"))
-    against = lookup_join(
-        tallies.select(*group, "peptide", "proportion_all", "proportion_unique"), boards, group, "inner"
-    ).select(*group, "peptide", "proportion_all", "proportion_unique", F.inline("board"))
-
-    def before(metric: str, rival_metric: str) -> Column:
-        ahead = (F.col(metric) > F.col(rival_metric)) | (
-            (F.col(metric) == F.col(rival_metric)) & (F.col("peptide") < F.col("rival"))
-        )
-        return F.count_if(ahead) + 1
-
-    ranks = against.groupBy(*group, F.col("rival").alias("peptide_ranked")).agg(
-        before("proportion_all", "rival_all").alias("r_all"),
-        before("proportion_unique", "rival_unique").alias("r_u"),
-    ).withColumnRenamed("peptide_ranked", "peptide")
-    return chosen.join(ranks, [*group, "peptide"]).select(
-        *group, "peptide", "r_all", "r_u", "proportion_all", "proportion_unique",
-        "frequency_all", "total_all", "frequency_unique", "total_unique",
+    entries = chosen.groupBy(*group).agg(F.collect_list(F.struct(*kept)).alias("entries"))
+    board = lambda metric: F.array_sort(F.transform("entries", lambda e: F.struct((-e[metric]).alias("metric"), e["peptide"].alias("peptide"))))
+    boards = pin(entries.select(*group, "entries", board("proportion_all").alias("board_all"), board("proportion_unique").alias("board_unique")))
+    slots = lookup_join(tallies.select(*group, "peptide", "proportion_all", "proportion_unique"), boards.select(*group, "board_all", "board_unique"), group, "inner")
+    slots = slots.select(*group, _slot("board_all", place("proportion_all"), 2 * most).alias("slot_all"),
+                         _slot("board_unique", place("proportion_unique"), 2 * most).alias("slot_unique"))
+    filled = slots.groupBy(*group, "slot_all", "slot_unique").agg(F.count(F.lit(1)).alias("rows"))
+    # Rows up to each slot: a few numbers per window.
+    before = [F.array(*[F.sum(F.when(F.col(slot) <= n, F.col("rows")).otherwise(0)) for n in range(2 * most)]).alias(f"before_{slot}")
+              for slot in ("slot_all", "slot_unique")]
+    ranked = boards.join(filled.groupBy(*group).agg(*before), group).select("*", F.inline("entries"))
+
+    def rank(metric: str, board: str, slot: str) -> Column:
+        return F.get(f"before_{slot}", (F.array_position(F.col(board), place(metric)) - 1).cast("int")) + 1
+
+    return ranked.select(
+        *group, "peptide", rank("proportion_all", "board_all", "slot_all").alias("r_all"), rank("proportion_unique", "board_unique", "slot_unique").alias("r_u"),
+        *kept[1:],
     ).orderBy(*group, "r_all", "r_u", "peptide")
 
 

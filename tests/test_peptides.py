@@ -95,3 +95,23 @@ def test_class_one_workset(spark):
     peptides = spark.createDataFrame([("m1", "ac-defghi"), ("M1", "ACD"), ("HA", "GGGGGGGGG")], "protein string, peptide string")
     candidates = spark.createDataFrame([("ACDEFGHI",), ("ACDEFGHIKLMN--",), ("A" * 15,)], "peptide string")
     assert rows(pep.class_one_workset(peptides, candidates, "M1")) == [("ACDEFGHI",), ("ACDEFGHIKLMN",)]
+
+
+def test_occurrences_of_all_lengths_by_hand(spark):
+    dice = random.Random(9)
+    sequences = [(n, f"s{n}", "".join(dice.choices("AC", k=dice.randint(0, 40)))) for n in range(30)] + [(99, "again", "ACACAC"), (98, "twice", "ACACAC")]
+    peptides = [("".join(dice.choices("AC", k=k)),) for k in (1, 2, 3, 4, 5, 7, 8, 9, 14) for _ in range(2)] + [("ACA",), ("ACA",)]
+    expected = [(n, name, p, at + 1, len(p)) for n, name, text in sequences for (p,) in peptides for at in range(len(text)) if text.startswith(p, at)]
+    found = pep.find_occurrences(spark.createDataFrame(sequences, "seq_index int, seq_id string, sequence string"), spark.createDataFrame(peptides, "peptide string"))
+    assert rows(found) == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("lengths", [(8, 9, 10, 11, 12, 13, 14), (1,), (2, 5), (3, 4)])
+def test_generated_lengths_share_one_tree(spark, lengths):
+    dice = random.Random(len(lengths))
+    cells = {("M1", position, residue) for position in range(1, 18) if position != 9 for residue in dice.sample("ACDE", dice.choice([1, 1, 1, 2]))}
+    table = spark.createDataFrame([(*c, 10) for c in cells], "protein string, position int, aminoacid string, frequency_all bigint")
+    made = pep.generate_peptides(table, 10, lengths)
+    assert rows(made) == sorted(generated_by_hand(cells, lengths), key=lambda r: tuple((True, str(v)) for v in r))
+    explodes = made._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert explodes <= lengths[-1]

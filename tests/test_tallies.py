@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -192,3 +193,54 @@ def test_all_proteins_at_once_are_each_protein_alone(spark, isolates, uploads):
         for name, frame in parts.items():
             expected[name] += rows(frame)
     assert {k: sorted(map(str, v)) for k, v in found.items()} == {k: sorted(map(str, v)) for k, v in expected.items()}
+
+
+def test_nested_windows_equal_each_window_alone(spark):
+    """Windows that share a start, some past the end, with hot sequences and groups of different sizes."""
+    texts = [("M1", "ACDEFG"), ("M1", "ACDEFG"), ("M1", "ACDQFG"), ("M1", "ACD"), ("M1", ""), ("M1", None), ("NP", "GGGGGGGG"), ("NP", "GGGGGGGG")]
+    table = spark.createDataFrame(texts * 3, "protein string, sequence string")
+    windows = [(1, 2), (1, 5), (1, 3), (3, 4), (3, 1), (9, 2)]
+    by_hand = {}
+    for protein, text in texts * 3:
+        for start, size in windows if text is not None else []:
+            by_hand.setdefault((protein, start, size), []).append((text[start - 1:start - 1 + size], text))
+    expected = []
+    for (protein, start, size), seen in by_hand.items():
+        for peptide in {p for p, _ in seen}:
+            among, unique = [p for p, _ in seen].count(peptide), len({t for p, t in seen if p == peptide})
+            whole = len({t for _, t in seen})
+            expected.append((protein, start, size, peptide, among, len(seen), among / len(seen), unique, whole, unique / whole))
+    order = lambda r: tuple((v is not None, str(v)) for v in r)
+    listed = spark.createDataFrame([(p, *w) for p in ("M1", "NP") for w in windows], "protein string, start int, len int")
+    assert rows(tly.window_tallies(table, windows, ["protein"])) == sorted(expected, key=order)
+    assert rows(tly.window_tallies(table, listed, ["protein"])) == sorted(expected, key=order)
+    alone = [r[1:] for r in expected if r[0] == "M1"]
+    assert rows(tly.window_tallies(table.where("protein = 'M1'"), windows)) == sorted(alone, key=order)
+
+
+def test_no_join_by_window_and_one_cut_per_start(spark):
+    table = spark.createDataFrame([("M1", "ACDEFG")], "protein string, sequence string")
+    plan = tly.window_tallies(table, [(1, 2), (1, 5), (1, 3), (3, 4)], ["protein"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("start" not in line and "len#" not in line for line in joins)
+    assert plan.count("Generate explode") == 2
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_ranks_by_slots_equal_sorting(spark, most):
+    dice = random.Random(most)
+    tallied = []
+    for start in (1, 2, 3):
+        for peptide in dice.sample(["".join(p) for p in itertools.product("ACDE", repeat=4)], 60 if start < 3 else 2):
+            tallied.append((start, 4, peptide, dice.randint(0, 3), 9, dice.randint(0, 3) / 9, dice.randint(0, 3), 9, dice.randint(0, 3) / 9))
+    table = spark.createDataFrame(tallied, "start int, len int, peptide string, frequency_all bigint, total_all bigint, proportion_all double,"
+                                           " frequency_unique bigint, total_unique bigint, proportion_unique double")
+    expected = []
+    for start in (1, 2, 3):
+        rows_of = [r for r in tallied if r[0] == start]
+        by_all, by_unique = (sorted(rows_of, key=lambda r, m=m: (-r[m], r[2])) for m in (5, 8))
+        for row in rows_of:
+            ranks = by_all.index(row) + 1, by_unique.index(row) + 1
+            if min(ranks) <= most:
+                expected.append((start, 4, row[2], *ranks, row[5], row[8], row[3], row[4], row[6], row[7]))
+    assert rows(tly.top_candidates_by_window(table, most)) == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
