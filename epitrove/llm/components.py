@@ -1,8 +1,9 @@
 """Connected components of a distributed graph by alternating large and small stars.
 
 Every round is a minimum per node and a join of the links with it, so no task holds the links of a
-component. A node with very many links is summed up before it is shuffled, and the join that brings
-its minimum back is an ordinary equi-join, which Spark splits where a key is skewed.
+component. A node with very many links is summed up before it is shuffled. The minima are stored before
+they are joined back: so both sides of the join come straight from a shuffle, and Spark can split the links of a
+hot node. (Joined to the aggregate itself, they would have to stay with its partitioning.)
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ def _stars(links: DataFrame) -> DataFrame:
     """Large star, then small star: every node hangs on the smallest node it knows of."""
     both = links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
                                           F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-    least = large.groupBy("b").agg(F.min("a").alias("m"))
+    least = pin(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    large = pin(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
+    least = pin(large.groupBy("b").agg(F.min("a").alias("m")))
     return (
         large.join(least, "b")
         .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")),

@@ -11,6 +11,9 @@ threshold's cosine, however few links the sample has. Cosines are then taken in
 The codebooks are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. Equal vectors are
 one entry with a count. A cell's members and visitors meet in blocks of at most ``BLOCK`` each, so
 a cell that holds a third of all vectors is many tasks. A block returns counts and a forest, no pairs.
+
+Vectors of each length are compared with each other: lengths with more than ``BLOCK`` different vectors have
+an index of their own, those of any rarer length are one block.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from epitrove.llm.folds import below_share, sample_order
 from epitrove.plans.storage import pin
 
 SAMPLE, QUERIES, LINKS_OF_A_QUERY = 16_384, 1_024, 32
-CELL_VECTORS, MOST_CODES = 128, 512
+CELL_VECTORS, MOST_CODES = 128, SAMPLE // 4
 BLOCK = 2_048
 RECALL, LEAST_VISITS, TURNED = 0.99, 4, 1_024
 
@@ -128,18 +131,21 @@ def _visited(index: Index, count: int):
                 part = batch.slice(start, step)
                 cells = index.visits(unit(_matrix(part.column("vector"))), count).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[:, 0]), lists], names=[*part.schema.names, "home", "cells"])
 
     return run
 
 
 def _meet(threshold: float):
-    """Links between the members of a cell and its visitors, each direction of a link counted in one cell only."""
+    """Links between the members of a cell and its visitors, each direction of a link counted in one cell only.
+
+    Members bring the cells that they visit, visitors their home.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, copies = table["node"].to_numpy(), table["copies"].to_numpy()
-        rows, cells, member = unit(_matrix(table["vector"])) if len(table) else np.zeros((0, 1)), _matrix(table["cells"]), table["member"].to_numpy(zero_copy_only=False)
+        rows, member = unit(_matrix(table["vector"])) if len(table) else np.zeros((0, 1)), table["member"].to_numpy(zero_copy_only=False)
         here = np.flatnonzero(member)
         guests = np.flatnonzero(~member)
         if not len(here) or not len(guests):
@@ -148,11 +154,11 @@ def _meet(threshold: float):
         linked &= nodes[guests][:, None] != nodes[here][None, :]
         to_guests = linked @ copies[here]
         to_here = np.zeros(len(here), np.int64)
-        homes = cells[guests, 0]
+        homes, cells = table["home"].to_numpy()[guests], _matrix(table["cells"].filter(table["member"]))
         some = np.flatnonzero(linked.any(axis=1))
         for home in np.unique(homes[some]):
             # A member that visits the guest's home counts the link there.
-            misses = ~(cells[here] == home).any(axis=1)
+            misses = ~(cells == home).any(axis=1)
             if misses.any():
                 own = some[homes[some] == home]
                 to_here += misses * (copies[guests[own]] @ linked[own])
@@ -181,23 +187,48 @@ def _usable(vector: Column) -> Column:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for each row of ``vectors`` (vec_id, embedding).
 
-    A link is a cosine of at least ``threshold``. ``n_links`` counts the other rows linked directly,
-    ``component_id`` is the smallest id that links reach. Vectors that are null or zero or hold null,
-    NaN or infinite components, and those that aren't as long as most, have no links. A null id
-    never is a component's id unless the component has no other; such a row is kept.
+    A link is a cosine of at least ``threshold`` between vectors of one length. ``n_links`` counts the other rows linked
+    directly, ``component_id`` is the smallest id that links reach. Vectors that are null or zero or hold null,
+    NaN or infinite components have no links. A null id never is a component's id unless the component has no other;
+    such a row is kept. Rows that repeat an id or a vector are answered one by one; other columns are left out.
     """
     kind = next(f.dataType for f in vectors.schema.fields if f.name.lower() == "embedding")
     number = T.FloatType() if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.DoubleType()
     rows = pin(vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
                               F.col("embedding").cast(T.ArrayType(number)).alias("vector")))
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lengths = rows.where(_usable(F.col("vector"))).groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    usual = lengths.orderBy(F.desc("n"), "length").first()
-    if usual is None:
-        return alone
-    usable = rows.where(_usable(F.col("vector")) & (F.size("vector") == usual["length"]))
-    classes = pin(usable.groupBy("vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")))
+    usable = rows.where(_usable(F.col("vector")))
+    classes = pin(usable.groupBy("vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"))
+                  .withColumn("length", F.size("vector")))
+    lengths = pin(classes.groupBy("length").agg(F.count(F.lit(1)).alias("n")))
+    vector_type = f"array<{number.simpleString()}>"
+    common = [r["length"] for r in lengths.where(F.col("n") > BLOCK).collect()]
+    met = [_met_in_cells(classes.where(F.col("length") == length), vector_type, threshold, recall) for length in common]
+    rare = classes.where(~F.col("length").isin(common)) if common else classes
+    sides = F.explode(F.array(F.lit(True), F.lit(False))).alias("member")
+    nowhere = F.lit(0).alias("home"), F.array(F.lit(0)).alias("cells")
+    met.append(rare.select("length", "node", "copies", "vector", *nowhere, sides).groupBy("length").applyInArrow(_meet(threshold), _MET))
+    found = met[0]
+    for more in met[1:]:
+        found = found.unionByName(more)
+    met = pin(found)
+
+    # Vectors with many copies are one row until the end; look-ups by a node or component are stored, so that a hot one is split.
+    counts = pin(met.groupBy("node").agg(F.sum("links").alias("links")))
+    reached = components(met.where("near <> node").select(F.col("near").alias("a"), F.col("node").alias("b")))
+    of = classes.join(counts, "node", "left").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = pin(of.select("vector", "component", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    ids = pin(of.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    of = pin(of.join(ids, "component").select("vector", "n_links", "component_id"))
+    return rows.join(of, "vector", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
 
+
+_MET = "node long, links long, near long"
+
+
+def _met_in_cells(classes: DataFrame, vector_type: str, threshold: float, recall: float) -> DataFrame:
+    """``node``, ``links``, ``near`` from the cells of an index over ``classes`` (node, copies, vector), all of one length."""
     count = classes.count()
     few = classes.select("node", "vector").where(below_share("node", SAMPLE, F.lit(count)))
     sample = few.orderBy(sample_order("node"), "node").limit(SAMPLE).toArrow()
@@ -205,7 +236,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     codes = int(np.clip(np.sqrt(count / CELL_VECTORS), 1, MOST_CODES))
     index = Index(known, codes)
     queries, names = known[:QUERIES], sample["node"].to_numpy()[:QUERIES]
-    vector_type = f"array<{number.simpleString()}>"
     near = classes.mapInArrow(_links_of(queries, names, threshold), f"query int, node long, vector {vector_type}")
     first = Window.partitionBy("query").orderBy(F.xxhash64("node"), "node")
     near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LINKS_OF_A_QUERY).select("query", "vector").toArrow()
@@ -220,31 +250,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         ranks = np.minimum(index.rank(ours, index.visits(theirs, 1)[:, 0]), index.rank(theirs, index.visits(ours, 1)[:, 0]))
         visits = max(visits, int(np.ceil(np.quantile(ranks, recall))) + 1)
 
-    placed = pin(classes.select("node", "copies", "vector").mapInArrow(_visited(index, visits), f"node long, copies long, vector {vector_type}, cells array<int>"))
-    homes = placed.groupBy(F.get("cells", F.lit(0)).alias("cell")).agg(F.count(F.lit(1)).alias("members"))
+    placed = pin(classes.select("node", "copies", "vector").mapInArrow(_visited(index, visits), f"node long, copies long, vector {vector_type}, home int, cells array<int>"))
+    homes = placed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("members"))
     guests = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("guests"))
-    blocks = homes.join(guests, "cell").select("cell", F.ceil(F.col("members") / BLOCK).alias("member_blocks"), F.ceil(F.col("guests") / BLOCK).alias("guest_blocks"))
-    # At most MOST_CODES ** 2 cells, two numbers each.
-    blocks = F.broadcast(blocks)
+    # Two numbers a cell; stored, so that Spark knows its size, and can split a cell that very many visit.
+    blocks = pin(homes.join(guests, "cell").select("cell", F.ceil(F.col("members") / BLOCK).alias("member_blocks"), F.ceil(F.col("guests") / BLOCK).alias("guest_blocks")))
     upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     mine = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
-    members = placed.withColumn("cell", F.get("cells", F.lit(0))).join(blocks, "cell").select(
-        "cell", mine("member_blocks").alias("member_block"), upto("guest_blocks").alias("guest_block"), "node", "copies", "vector", "cells", F.lit(True).alias("member"))
-    visitors = placed.select("*", F.explode("cells").alias("cell")).join(blocks, "cell").select(
-        "cell", upto("member_blocks").alias("member_block"), mine("guest_blocks").alias("guest_block"), "node", "copies", "vector",
-        F.slice("cells", 1, 1).alias("cells"), F.lit(False).alias("member"))
-    width = F.size("cells")
-    # A guest needs its home only; its list is filled up so that all have one width.
-    most = placed.agg(F.max(width)).first()[0] or 1
-    visitors = visitors.withColumn("cells", F.concat("cells", F.array_repeat(F.lit(-1), most - 1)))
-    met = pin(members.unionByName(visitors).groupBy("cell", "member_block", "guest_block").applyInArrow(_meet(threshold), "node long, links long, near long"))
-
-    counts = met.groupBy("node").agg(F.sum("links").alias("links"))
-    found = components(met.where("near <> node").select(F.col("near").alias("a"), F.col("node").alias("b")))
-    of = usable.select("row", "vec_id", "vector").join(classes, "vector").select("row", "vec_id", "node", "copies")
-    of = of.join(counts, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = of.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    of = of.join(ids, "component").select("row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    return rows.join(of, "row", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
+    members = placed.withColumn("cell", F.col("home")).join(blocks, "cell").select(
+        "cell", mine("member_blocks").alias("member_block"), upto("guest_blocks").alias("guest_block"), "node", "copies", "vector", "home", "cells", F.lit(True).alias("member"))
+    visitors = placed.select("node", "copies", "vector", "home", F.explode("cells").alias("cell")).join(blocks, "cell").select(
+        "cell", upto("member_blocks").alias("member_block"), mine("guest_blocks").alias("guest_block"), "node", "copies", "vector", "home",
+        F.lit(None).cast("array<int>").alias("cells"), F.lit(False).alias("member"))
+    return pin(members.unionByName(visitors).groupBy("cell", "member_block", "guest_block").applyInArrow(_meet(threshold), _MET))

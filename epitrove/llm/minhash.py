@@ -199,7 +199,9 @@ def confirmed_links(candidates: DataFrame, docs: DataFrame, size: int, percent:
     ``candidates`` (a, b) are links of which the components are the families.
     """
     families = components(candidates).withColumnRenamed("component", "family")
-    counted = families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
+    families = pin(families)
+    # Look-ups are stored: a join to the aggregate itself could not be split where a family or a set is hot.
+    counted = families.join(pin(families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))), "family")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The only join with all texts; later steps read the texts of families alone. The members grow
     # with the documents, so they are never broadcast.
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketch = pin(sketches(docs, size))
     key = ["mark", "check", "n_shingles"]
     held = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = held.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = pin(held.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     # Rows that repeat an id are versions of one document, so an id may stand for several classes.
     versions = held.join(classes, key).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).where("a < b").distinct()
     members = held.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(

@@ -131,10 +131,15 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         starts = np.flatnonzero(self.doc[:len(self) - size + 1] == self.doc[size - 1:])
         base = (0xD6E8FEB86659FD93 + 2 * seed) & (_MODULUS - 1) | 1
-        runs = np.zeros(len(self) - size + 1, np.uint64)
-        for place in range(size):
-            runs = mix(runs * np.uint64(base) + self.hashes[place:place + len(runs)])
-        return runs[starts], starts
+        runs = self.hashes[:len(self) - size + 1].copy()
+        high = np.empty_like(runs)
+        for place in range(1, size):
+            # Folding the high bits in keeps it from being a polynomial.
+            np.right_shift(runs, np.uint64(32), out=high)
+            runs ^= high
+            runs *= np.uint64(base)
+            runs += self.hashes[place:place + len(runs)]
+        return mix(runs[starts] + np.uint64(base)), starts
 
     def whole(self) -> np.ndarray:
         """One hash for the whole word sequence of each document."""

@@ -9,12 +9,10 @@ from epitrove.llm.embedding_dedup import near_duplicates
 
 
 def brute(rows, threshold):
-    """Links between all pairs of usable vectors of the usual length, and what they reach."""
-    usual = [len(v) for _, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
-    usual = max(sorted(set(usual)), key=usual.count) if usual else 0
-    usable = [bool(v and len(v) == usual and None not in v and np.isfinite(v).all() and any(v)) for _, v in rows]
+    """Links between all pairs of usable vectors of one length, and what they reach."""
+    usable = [bool(v and None not in v and np.isfinite(v).all() and any(v)) for _, v in rows]
     units = [np.array(v, float) / np.abs(v).max() / np.linalg.norm(np.array(v, float) / np.abs(v).max()) if u else None for (_, v), u in zip(rows, usable)]
-    linked = [[b for b in range(len(rows)) if a != b and usable[a] and usable[b] and units[a] @ units[b] >= threshold] for a in range(len(rows))]
+    linked = [[b for b in range(len(rows)) if a != b and usable[a] and usable[b] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold] for a in range(len(rows))]
     label = list(range(len(rows)))
     for _ in rows:
         for a, near in enumerate(linked):
@@ -95,3 +93,14 @@ def test_recall_holds_where_links_are_rare(spark, monkeypatch):
     rows = np.concatenate([rows, 0.905 * rows[:400] + np.sqrt(1 - 0.905**2) * aside])
     table = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
     assert sum(r.n_links for r in near_duplicates(table, 0.9).collect()) >= 0.97 * 800
+
+
+@pytest.mark.parametrize("block", [2_048, 64])
+def test_vectors_of_each_length_are_compared(spark, monkeypatch, block):
+    """Three lengths, of which none, or the two common ones, have an index; equal beginnings of different lengths are no links."""
+    monkeypatch.setattr(ed, "BLOCK", block)
+    monkeypatch.setattr(ed, "CELL_VECTORS", 8)
+    rows = made(200, 3, 20)
+    rows += [(2_000 + n, v[:7]) for n, (_, v) in enumerate(rows[:150])] + [(3_000, [1.0, 2.0]), (3_001, [1.0, 2.0]), (3_002, [2.0, 4.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert collected(near_duplicates(table, 0.9, recall=1.0)) == brute(rows, 0.9)
