@@ -27,17 +27,11 @@ BLOCK_ROWS = 32
 OTHERS = "other sources"
 
 
-def parts_of(weights: Mapping[str, float], cycle: int | None = None) -> dict[str, int]:
-    """Whole parts in exactly the proportion of the weights, each read as the decimal it is written as.
-
-    Only a caller that asks for a ``cycle`` gets parts rounded to it, at least one each.
-    """
+def parts_of(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole parts in exactly the proportion of the weights, each read as the decimal it is written as."""
     if not weights or any(not w > 0 for w in weights.values()):
         raise ValueError("every source needs a weight above 0")
     exact = {name: Fraction(str(w)) for name, w in weights.items()}
-    if cycle is not None:
-        total = sum(exact.values())
-        return {name: max(1, round(w * cycle / total)) for name, w in exact.items()}
     whole = math.lcm(*[w.denominator for w in exact.values()])
     parts = {name: int(w * whole) for name, w in exact.items()}
     common = math.gcd(*parts.values())
@@ -103,7 +97,7 @@ def _values(spark, rows: list[dict]) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + lines + " AS t(mix_source, " + ", ".join(f"mix_{k}" for k in keys) + ")")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0, block_rows: int = BLOCK_ROWS, cycle: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, …), each once, with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position``.
 
     ``mix_position`` is the row's place in the mix, without gaps from 0. A source's rows come in the
@@ -114,7 +108,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0
     spark = docs.sparkSession
     if OTHERS in weights:
         raise ValueError(f"{OTHERS} is the name for all other sources")
-    parts = parts_of({**weights, OTHERS: other_weight}, cycle)
+    parts = parts_of({**weights, OTHERS: other_weight})
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
     source = F.col("source").cast("string")
     named = docs.withColumn("mix_source", F.when(source.isin(list(weights)), source).otherwise(OTHERS))
