@@ -13,6 +13,7 @@ from epitrove.functions.text import allele_key, is_residues_only, peptide_key, u
 from epitrove.operators.filters import filter_predictions_slice
 from epitrove.operators.stabbing import best_interval
 from epitrove.plans.joins import literal_list, lookup_join
+from epitrove.sources.pair_store import PAIR, latest_by_pair
 
 PERCENTILES = ("netmhcpan_el_percentile", "netmhcpan_ba_percentile")
 
@@ -42,16 +43,13 @@ def merge_predictions(cached: DataFrame, fresh: DataFrame, order: Sequence[str]
     """One row per (allele, peptide): fresh rows replace cached ones, later rows earlier ones.
 
     ``order`` names the columns that tell later rows; without it the larger percentiles count as
-    later. The maximum is taken within each task before the shuffle.
+    later. Both tables are shuffled; ``sources.pair_store`` keeps a cache that isn't.
     """
-    kept = [c for c in cached.columns if c not in ("allele", "peptide")]
-
-    def latest(rows: DataFrame, name: str) -> DataFrame:
-        last = F.max_by(F.struct(*kept), F.struct(*(order or kept)))
-        return rows.groupBy("allele", "peptide").agg(last.alias(name))
-
-    both = latest(cached, "old").join(latest(fresh, "new"), ["allele", "peptide"], "full")
-    return both.select("allele", "peptide", F.coalesce("new", "old").alias("last")).select("allele", "peptide", "last.*")
+    kept = [c for c in cached.columns if c not in PAIR]
+    old = latest_by_pair(cached, order).select(*PAIR, F.struct(*kept).alias("old"))
+    new = latest_by_pair(fresh, order).select(*PAIR, F.struct(*kept).alias("new"))
+    both = old.join(new, PAIR, "full")
+    return both.select(*PAIR, F.coalesce("new", "old").alias("last")).select(*PAIR, "last.*")
 
 
 def restrict_predictions(predictions: DataFrame, workset: DataFrame, alleles: Sequence[str]) -> DataFrame:

@@ -590,3 +590,4 @@ aligned_texts AS (
   SELECT g.protein, g.raw_sequence, CASE WHEN e.m >= greatest(e.x, e.y) THEN e.tm WHEN e.x >= e.y THEN e.tx ELSE e.ty END AS aligned_sequence
   FROM (SELECT id, last[-1] AS e FROM cells) JOIN given g USING (id))
 SELECT seq_index, raw_sequence, aligned_sequence FROM raw LEFT JOIN aligned_texts USING (protein, raw_sequence)""")
+ORACLES["merge_stored_predictions"] = ORACLES["merge_predictions"]

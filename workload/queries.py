@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ from epitrove.operators import (
 from epitrove.operators.filters import IsolateFilter
 from epitrove.plans.joins import literal_list
 from epitrove.plans.storage import scratch_path
-from epitrove.sources import fasta, peptide_lists, results, sinks, tables
+from epitrove.sources import fasta, pair_store, peptide_lists, results, sinks, tables
 from workload import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +495,18 @@ def merge_predictions(spark, sf):
     return prd.merge_predictions(cached, fresh, ["seq #", "start"]).select("allele", "peptide", "el", "ba")
 
 
+@query
+def merge_stored_predictions(spark, sf):
+    """As ``merge_predictions``, into a cache stored by pair, in two steps."""
+    rows = ad.scan_predictions(spark, sf).select(
+        "allele", "peptide", F.coalesce("seq #", F.lit(1)).alias("seq_no"), "start",
+        F.col("netmhcpan_el percentile").alias("el"), F.col("netmhcpan_ba percentile").alias("ba"))
+    table, order = f"predictions_{uuid.uuid4().hex}", ["seq_no", "start"]
+    pair_store.create_store(rows.where("ba < 60"), table, scratch_path(spark, "predictions"), order, slots=4)
+    pair_store.merge_into_store(spark, table, rows.where("ba >= 60 and start = 7 and seq_no < 3"), order)
+    return pair_store.merge_into_store(spark, table, rows.where("ba >= 60"), order).select("allele", "peptide", "el", "ba")
+
+
 @query
 def restrict_predictions(spark, sf):
     return prd.restrict_predictions(ad.predictions(spark, sf), ad.uploads(spark, sf), PICKED)
