@@ -28,6 +28,23 @@ def _column_names(naming: str) -> Column:
     )
 
 
+_NEVER = (1 << 31) - 1
+
+
+def _again(names: str) -> Column:
+    """Per name the place where it occurs next; names are sorted once for this, with their places."""
+    placed = F.array_sort(F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("at"))))
+
+    def following(pair: Column, k: Column) -> Column:
+        later = F.get(placed, k + 1)
+        # A cell beyond the names is called after its place, which can be a name, too.
+        beyond = F.regexp_extract(pair["name"], r"^col_(0|[1-9]\d*)$", 1).try_cast("int")
+        return F.when(later["name"] == pair["name"], later["at"]).when(beyond >= F.size(names), beyond).otherwise(F.lit(_NEVER))
+
+    found = F.transform(placed, lambda pair, k: F.struct(pair["at"].alias("at"), following(pair, k).alias("again")))
+    return F.transform(F.array_sort(found), lambda pair: pair["again"])
+
+
 def parse_prediction_json(
     documents: DataFrame, column: str = "value", naming: str = "display", missing: str = "error"
 ) -> DataFrame:
@@ -35,7 +52,7 @@ def parse_prediction_json(
 
     ``naming``: ``display`` takes the display name unless it is absent, ``filled`` also skips an
     empty one, ``name`` ignores it. ``missing``: a document without the table is an ``error`` or
-    ``empty``.
+    ``empty``. Which columns share a name is worked out once per document.
     """
     carried = [c for c in documents.columns if c != column]
     results = F.from_json(column, _DOCUMENT)["data"]["results"]
@@ -44,24 +61,15 @@ def parse_prediction_json(
     if missing == "error":
         complaint = F.raise_error(F.lit(f"{TABLE_TYPE} not found in result"))
         found = found.withColumn("found", F.when(F.col("found").isNull(), complaint).otherwise(F.col("found")))
-    rows = found.where(F.col("found").isNotNull()).select(
-        *carried, _column_names(naming).alias("names"), F.posexplode("found.table_data").alias("row", "text")
-    )
-    listed = F.from_json("text", "array<string>")
-    named = F.transform(
-        listed,
-        lambda v, i: F.struct(
-            F.coalesce(F.get("names", i), F.concat(F.lit("col_"), i.cast("string"))).alias("key"), v.alias("value")
-        ),
-    )
-    # A repeated column name keeps its last cell.
-    rows = rows.withColumn("pairs", named)
-    later = F.filter(
-        "pairs",
-        lambda p, i: ~F.exists(F.slice("pairs", i + 2, F.greatest(F.size("pairs"), F.lit(1))), lambda q: q["key"] == p["key"]),
-    )
+    named = found.where(F.col("found").isNotNull()).select(*carried, "found", _column_names(naming).alias("names"))
+    rows = named.withColumn("again", _again("names")).select(*carried, "names", "again", F.posexplode("found.table_data").alias("row", "text"))
+    # A repeated column name keeps its last cell: the one whose name comes again beyond the row only.
+    rows = rows.withColumn("listed", F.from_json("text", "array<string>"))
+    pairs = F.transform("listed", lambda v, i: F.struct(
+        F.coalesce(F.get("names", i), F.concat(F.lit("col_"), i.cast("string"))).alias("key"), v.alias("value")))
+    last = F.filter(pairs, lambda p, i: F.coalesce(F.get("again", i), F.lit(_NEVER)) >= F.size("listed"))
     cells = (
-        F.when(F.col("text").startswith("["), F.map_from_entries(later))
+        F.when(F.col("text").startswith("["), F.map_from_entries(last))
         .when(F.col("text").startswith("{"), F.from_json("text", "map<string,string>"))
         .otherwise(F.create_map(F.lit("value"), F.col("text")))
     )

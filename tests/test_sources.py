@@ -209,6 +209,20 @@ def test_documents_without_the_table(spark, tmp_path):
         results.read_prediction_json(spark, path).collect()
 
 
+def test_repeated_columns_keep_the_last_cell_of_each_row(spark):
+    dice = random.Random(8)
+    documents, expected = [], []
+    for number in range(30):
+        names = [dice.choice(["a", "b", "", "col_1", "col_5", "col_9", "col_07", None]) for _ in range(dice.randint(0, 7))]
+        table = [[str(dice.randint(0, 99)) for _ in range(dice.randint(0, 11))] for _ in range(4)]
+        documents.append((number, json.dumps({"data": {"results": [
+            {"type": "peptide_table", "table_columns": [{"name": n} for n in names], "table_data": table}]}})))
+        for row, cells in enumerate(table):
+            expected.append((number, row, {(names[i] if i < len(names) and names[i] else f"col_{i}"): v for i, v in enumerate(cells)}))
+    found = results.parse_prediction_json(spark.createDataFrame(documents, "n int, value string"))
+    assert sorted(((r.n, r.row, r.cells) for r in found.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_only_forms_that_suffixes_can_meet_are_looked_at(spark):
     from epitrove.sources.fasta import _forms
 

@@ -591,3 +591,6 @@ aligned_texts AS (
   FROM (SELECT id, last[-1] AS e FROM cells) JOIN given g USING (id))
 SELECT seq_index, raw_sequence, aligned_sequence FROM raw LEFT JOIN aligned_texts USING (protein, raw_sequence)""")
 ORACLES["merge_stored_predictions"] = ORACLES["merge_predictions"]
+ORACLES["read_prediction_json"] = sql("scan", """
+SELECT 'name' AS naming, allele, ((ba * 10)::INT)::VARCHAR AS peptide, start::VARCHAR AS start FROM scan
+UNION ALL SELECT 'filled', allele, peptide, ((ba * 10)::INT)::VARCHAR FROM scan""")
