@@ -112,7 +112,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) characters replaced by as many first ones of the
     next text (all, if it is shorter). ``near_edited`` and ``near_next`` are the shares of elements in which the fingerprint
-    agrees with the edited text's and with the next text's. A null text counts as empty.
+    agrees with the edited text's and with the next text's. A null text counts as empty. Texts are read whole, up to
+    2**26 k-mers each. Rows that repeat an id follow each other in the order of their texts; a single row is its own
+    successor. Other columns of ``docs``, whatever their names, are left out; an empty table has no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = F.octet_length("text") + 1

@@ -185,8 +185,9 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> tuple[Network, list[str]]:
     # One row per language; the network, which goes to every task as well, has a class for each.
     few = ids.join(F.broadcast(counts), "lang").where(below_share("doc_id", texts, F.col("texts"))).select("doc_id", "lang")
     chosen = pin(few.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= texts).select("doc_id").distinct())
-    # At most ``texts`` ids of a language.
-    rows = named.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "lang string, bytes binary").toArrow().to_pylist()
+    # At most ``texts`` ids of a language, and one row of each.
+    learned = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.*")
+    rows = learned.mapInArrow(_sampled, "lang string, bytes binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["bytes"]))
     names = sorted({r["lang"] for r in rows})
     if not names:
@@ -198,9 +199,11 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> tuple[Network, list[str]]:
 def languages(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for each row of ``docs`` (doc_id, text, lang).
 
-    Learns only from ids that aren't held out and have a language. ``lang_pred`` is a language that
-    was learned, or ``und`` with score 1 for a text that is null or has no letter. If nothing can
-    be learned every text is ``und``.
+    Learns only from ids that aren't held out and have a language; of rows that repeat an id from the one with the smallest
+    language and text. ``lang_pred`` is a language that was learned, or ``und`` with score 1 for a text that is null
+    or has no letter. If nothing can be learned every text is ``und``. Texts are read whole, in windows of fixed length; of
+    languages that tie the first in alphabetical order counts. Every row is answered, repeated ones and those without an id
+    too. Other columns of ``docs``, whatever their names, are left out.
     """
     network, names = fit(docs.where(~held_out(F.col("doc_id"))))
     predict = F.arrow_udf(_predicted(network, names), "lang string, score double")

@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Two documents are linked if 100 times their common shingles are at least ``percent`` times all
     their shingles; ``component_id`` is the smallest id that links reach. Words are compared with
     A-Z lower-cased. A text with fewer than ``size`` words is one shingle; null, empty and blank
-    texts have none and stay alone. A null id is its own, null, component and is kept.
+    texts have none and stay alone. A null id is its own, null, component and is kept. Texts may be of any length: one
+    is hashed in one piece, and compared in blocks of texts. Other columns of ``docs``, whatever their names, are left out.
     """
     sketch = pin(sketches(docs, size))
     key = ["mark", "check", "n_shingles"]

@@ -204,7 +204,8 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, ope
     ``end_id``; one longer than ``most`` is cut into full pieces, of which the first may be shorter.
     Returns ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and
     ``offset``. Null texts count as empty and are packed as ``end_id`` alone. Rows that repeat an id
-    are packed as often as they come; null ids are packed under null.
+    are packed as often as they come; null ids are packed under null. A text of any length is encoded whole; only its
+    pieces are moved. Other columns of ``docs``, whatever their names, are left out.
     """
     pieces = pin(_read(docs).mapInArrow(_pieces(tokenizer, end_id, most), _PIECES))
     # Neighbouring partitions of the input share a group until it has enough pieces.

@@ -18,7 +18,8 @@ def shards(docs: DataFrame, count: int = 16) -> DataFrame:
 
     ``size`` is the UTF-8 length of the text and one; a null text has none. ``slot`` is the place in
     the shard, without gaps from 0. ``grown_shard`` is null: under the law ``bytes`` another count
-    of shards cuts anew. A null id sorts first; rows that repeat an id are placed one after the other.
+    of shards cuts anew. A null id sorts first; rows that repeat an id are placed one after the other. Other columns of
+    ``docs``, whatever their names, are left out; an empty table has no rows, and a long text is measured, never moved.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(

@@ -151,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     others = hash_sample(named.select("doc_id"), "doc_id", unlabelled)
     chosen = ours.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
     # At most positives + unlabelled ids, so they go to every task.
-    sample = pin(named.join(F.broadcast(pin(chosen)), "doc_id").select("text", "positive"))
+    sample = named.join(F.broadcast(pin(chosen)), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    # An id that repeats is one text, so what is learned from has the bound of the ids.
+    sample = pin(sample.select("text", "positive"))
     ours, others = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     counts = sample.mapInArrow(_counted, "bucket long, ours long, others long").groupBy("bucket").agg(F.sum("ours").alias("ours"), F.sum("others").alias("others"))
     p, u = F.col("ours") / float(max(ours, 1)), F.col("others") / float(max(others, 1))
@@ -171,8 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``docs`` (doc_id, text).
 
-    Learns only from ids that aren't held out. The score uses nothing but the text; an empty, blank
-    or null text has the score of no words. Without any confirmed id all scores are near 0.
+    Learns only from ids that aren't held out; of rows that repeat an id from the smallest text. The score uses nothing
+    but the text, whole and of any length; an empty, blank or null text has the score of no words, and equal texts
+    have equal scores. Without any confirmed id all scores are near 0. Every row is answered, repeated ones and those
+    without an id too; an empty table has no rows. Other columns of ``docs``, whatever their names, are left out.
     """
     learned = docs.where(~held_out(F.col("doc_id")))
     model = fit(learned, labels.where(~held_out(F.col("doc_id"))))
