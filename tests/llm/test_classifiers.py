@@ -109,3 +109,58 @@ def test_tables_answer_like_the_network():
     network = language_id.Network(4)
     rows = np.random.default_rng(2).integers(0, 256, (20, language_id.WINDOW)).astype(np.uint8)
     assert np.abs(language_id.Tables(network).chances(rows) - network.forward(rows)[0]).max() < 1e-4
+
+
+def test_scores_are_those_of_each_text_by_itself(spark, corpus):
+    """The fitted weights added up word by word, text by text."""
+    import math
+    import re
+
+    import pyarrow as pa
+
+    docs, labels = frames(spark, corpus)
+    open_part = lambda rows: rows.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    used, weights = toxicity.fit(open_part(docs), open_part(labels))
+    weight = dict(zip(used.tolist(), weights[:-1]))
+    known = {}
+
+    def buckets(word):
+        if word not in known:
+            known[word] = set(toxicity.features(pa.array([word]))[0].tolist())
+        return known[word]
+
+    expected = {}
+    for doc_id, text, _ in corpus[0]:
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())
+        held = set().union(*[buckets(w.decode(errors="surrogateescape")) for w in {w.lower() for w in words}]) if words else set()
+        expected[doc_id] = 1 / (1 + math.exp(-max(-30, min(30, sum(weight.get(b, 0.0) for b in held) + weights[-1]))))
+    found = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert max(abs(found[n] - expected[n]) for n in expected) < 1e-9
+
+
+def test_languages_are_those_of_each_text_by_itself(spark, corpus):
+    """The network itself, window by window, the windows weighed by their letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, _ = frames(spark, corpus)
+    network, names = language_id.fit(docs.where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.languages(docs).collect()}
+    for doc_id, text, _ in corpus[0][::7]:
+        rows, _ = language_id.windows(pa.array([text]))
+        letters = np.array([max(1e-9, sum(chr(b).isalpha() or b >= 128 for b in row.tolist())) for row in rows])
+        chances = (network.forward(rows)[0] * letters[:, None]).sum(axis=0) / letters.sum()
+        assert abs(found[doc_id][1] - chances.max()) < 0.02
+        assert found[doc_id][0] == names[chances.argmax()] or np.diff(np.sort(chances)[-2:])[0] < 0.02
+
+
+def test_an_id_that_repeats_is_learned_from_once(spark, corpus, monkeypatch):
+    docs, labels = frames(spark, corpus)
+    again = docs.unionByName(docs.where("doc_id in (6, 12)").crossJoin(spark.range(300).drop("id")))
+    assert collected(toxicity.toxicity(again, labels).distinct()) == collected(toxicity.toxicity(docs, labels))
+    taken = []
+    trained = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda rows, *more: taken.append(len(rows)) or trained(rows, *more))
+    for frame in (docs, again):
+        language_id.fit(frame)
+    assert taken[0] == taken[1]

@@ -116,3 +116,34 @@ def test_groups_follow_the_places(table, encoder, some_documents, odd_documents,
     assert len(groups) == -(-len(rows) // group) and [n for _, own in sorted(groups.items()) for n in sorted(own)] == sorted(map(place, rows))
     assert max(map(len, groups.values())) - min(map(len, groups.values())) <= 1
     assert pack_by_place(table([]), placed_by, tokenizer_path()).collect() == []
+
+
+def listed_best_fit(lengths, most, open_bins):
+    """The rule with a plain list of open sequences: the least free space that fits, of equal ones the last to get it;
+    with too many open, the fullest closes, of equal ones the first to get there."""
+    opened, used, out = [], [], []
+    for length in lengths:
+        fitting = [(free, -n) for n, (free, _) in enumerate(opened) if free >= length]
+        if fitting:
+            name = opened.pop(-min(fitting)[1])[1]
+        else:
+            name = len(used)
+            used.append(0)
+        out.append((name, used[name]))
+        used[name] += length
+        if used[name] < most:
+            opened.append((most - used[name], name))
+            if len(opened) > open_bins:
+                least = min(free for free, _ in opened)
+                # The one that was just filled closes if it is as full as any.
+                opened.pop(len(opened) - 1 if opened[-1][0] == least else next(n for n, (free, _) in enumerate(opened) if free == least))
+    return [n for n, _ in out], [o for _, o in out]
+
+
+@pytest.mark.parametrize("open_bins", [1, 3, 16, 256])
+def test_bitset_takes_the_bins_of_a_plain_list(open_bins):
+    for seed in range(20):
+        chance = random.Random(seed)
+        kinds = [[1, 2, 7, 50, 99, 100], list(range(1, 101)), [30, 35, 40, 60, 65]][seed % 3]
+        lengths = [chance.choice(kinds) for _ in range(500)]
+        assert best_fit(lengths, 100, open_bins) == listed_best_fit(lengths, 100, open_bins)
