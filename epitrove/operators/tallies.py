@@ -75,6 +75,11 @@ def full_outer_all_unique(copies_all: DataFrame, copies_unique: DataFrame, by: S
     return both.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("frequency_all", "frequency_unique")])
 
 
+def _window_place() -> Column:
+    """The order of windows, by start and length, as one number: a hash aggregate can hold its extremes."""
+    return F.shiftleft(F.col("start").cast("long"), 32) + F.col("len")
+
+
 def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole)).otherwise(F.lit(0.0))
 
@@ -182,12 +187,11 @@ def peptide_tallies(aligned: DataFrame, tallies: DataFrame, protein: str | None
     placed = aligned.where((F.length("peptide_aligned") > 0) & (F.col("start") > 0))
     uploads = _of(placed, protein).select(*by, F.upper("peptide_aligned").alias("key")).distinct()
     wanted = lookup_join(_tallied(tallies, protein).withColumn("key", F.upper("peptide")), uploads, [*by, "key"], "left_semi")
-    window = F.struct(*WINDOW)
     summed = wanted.groupBy(*by, "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"),
-        F.min_by("total_all", window).alias("total_all"),
+        F.min_by("total_all", _window_place()).alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"),
-        F.min_by("total_unique", window).alias("total_unique"),
+        F.min_by("total_unique", _window_place()).alias("total_unique"),
     )
     return summed.select(
         _shown(protein), "peptide",
@@ -373,39 +377,68 @@ def window_roots(aligned: DataFrame, candidates: DataFrame, protein: str | None
     return found.unionByName(own).where("peptide <> ''").distinct()
 
 
-def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: DataFrame, protein: str | None = None) -> DataFrame:
-    """Predictions with the tallies of their peptide and its roots, joined by ``;``.
+_COUNTS = ("frequency_all", "total_all", "frequency_unique", "total_unique")
 
-    Frequencies are summed over windows; the totals are those of the last window. Without a protein
-    every prediction comes once for each protein that has tallies or roots.
+
+def annotations_by_prediction(predictions: DataFrame, tallies: DataFrame, roots: DataFrame, protein: str | None = None) -> DataFrame:
+    """Each prediction once, with ``found``: the proteins whose tallies or roots hold its peptide, and what they say.
+
+    Frequencies are summed over windows; the totals are those of the last window; roots are joined by ``;``.
+    ``found`` is null where no protein has the peptide. Of one protein, or with their column ``protein`` of all.
     """
     by = _by(protein)
-    window = F.struct(*WINDOW)
     predicted = predictions.select(F.upper(ungapped(F.col("peptide"))).alias("peptide")).distinct()
     bare = _tallied(tallies, protein).withColumn("peptide", F.upper(ungapped(F.col("peptide"))))
     summed = lookup_join(bare, predicted, "peptide", "left_semi").groupBy(*by, "peptide").agg(
-        F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", window).alias("total_all"),
-        F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", window).alias("total_unique"),
+        F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", _window_place()).alias("total_all"),
+        F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", _window_place()).alias("total_unique"),
     )
     # The list of roots is part of the result row.
     joined_roots = _tallied(roots, protein).groupBy(*by, "peptide").agg(F.array_join(F.array_sort(F.collect_set("root")), ";").alias("root"))
+    both = summed.join(joined_roots, [*by, "peptide"], "full").select(
+        _shown(protein), "peptide", *[F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS], F.coalesce("root", F.lit("")).alias("root"))
+    # At most one entry per protein.
+    found = both.groupBy("peptide").agg(F.collect_list(F.struct("protein", *_COUNTS, "root")).alias("found"))
     base = predictions.select(
         F.upper("allele").alias("allele"), F.upper(ungapped(F.col("peptide"))).alias("peptide"),
         "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
     )
+    return lookup_join(base, found, "peptide", "left")
+
+
+def unfold_annotations(annotated: DataFrame, proteins: Column | None = None) -> DataFrame:
+    """One row per prediction and protein that has its peptide, or per prediction and each of an array ``proteins``.
+
+    A protein without the peptide has zeros and no root.
+    """
+    if proteins is None:
+        shown = F.col("found")
+    else:
+        annotated = annotated.withColumn("wanted", proteins)
+        zeros = [F.lit(0).cast("long").alias(c) for c in _COUNTS]
+        shown = F.transform("wanted", lambda p: F.coalesce(
+            F.get(F.filter("found", lambda f: f["protein"] == p), 0), F.struct(p.alias("protein"), *zeros, F.lit("").alias("root"))))
+    rows = annotated.select("allele", "peptide", "netmhcpan_el_percentile", "netmhcpan_ba_percentile", F.inline(shown))
+    return rows.select(
+        "protein", "allele", "peptide", "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
+        "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
+        "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"), "root",
+    )
+
+
+def annotate_predictions(predictions: DataFrame, tallies: DataFrame, roots: DataFrame, protein: str | None = None) -> DataFrame:
+    """Predictions with the tallies of their peptide and its roots, joined by ``;``.
+
+    Without a protein every prediction comes once for each protein that has tallies or roots; for the rows of
+    proteins that have its peptide alone, unfold ``annotations_by_prediction``.
+    """
+    annotated = annotations_by_prediction(predictions, tallies, roots, protein)
     if protein is None:
         # The proteins' names: one short list, as a subquery.
         names = tallies.select("protein").unionByName(roots.select("protein")).agg(F.collect_set(_name(F.col("protein")))).scalar()
-        base = base.withColumn("protein", F.explode(names))
-    both = lookup_join(lookup_join(base, summed, [*by, "peptide"], "left"), joined_roots, [*by, "peptide"], "left")
-    counts = ("frequency_all", "total_all", "frequency_unique", "total_unique")
-    filled = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
-    return filled.select(
-        _shown(protein), "allele", "peptide", "netmhcpan_el_percentile", "netmhcpan_ba_percentile",
-        "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
-        "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
-        F.coalesce("root", F.lit("")).alias("root"),
-    )
+    else:
+        names = F.array(F.lit(protein))
+    return unfold_annotations(annotated, names)
 
 
 def frequency_summary(
@@ -416,31 +449,65 @@ def frequency_summary(
     Alternates are the most frequent over all sequences. The fill from the ranking over distinct
     sequences only applies when there are fewer, and then the first ranking already has them all.
     Of one protein, or of each that the tallies' column ``protein`` names.
+
+    Each window's peptides are read from the most frequent one downwards. What stands deeper than the last one read
+    has at most the sum of these in a root's windows; once a root's alternates have more, it is done. The few
+    roots that aren't go on deeper. So a root meets some peptides of its windows, not all.
     """
     by = _by(protein)
-    roots = _root_windows(aligned, protein)
     rows = _tallied(tallies, protein).select(
         *by, *WINDOW, F.upper(ungapped(F.col("peptide"))).alias("peptide"),
         "frequency_all", "total_all", "frequency_unique", "total_unique",
     ).where("peptide <> ''")
-    # Roots that share their windows share the counts, so they are summed per window first.
-    rows = rows.groupBy(*by, *WINDOW, "peptide").agg(
+    # Gapped forms of a peptide are one.
+    rows = pin(rows.groupBy(*by, *WINDOW, "peptide").agg(
         F.sum("frequency_all").alias("frequency_all"), F.max("total_all").alias("total_all"),
         F.sum("frequency_unique").alias("frequency_unique"), F.max("total_unique").alias("total_unique"),
-    )
-    window = F.struct(*WINDOW)
-    paired = lookup_join(rows, roots, [*by, *WINDOW], "inner").groupBy(*by, "root", "peptide").agg(
-        F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", window).alias("total_all"),
-        F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", window).alias("total_unique"),
-    )
-    own = F.col("peptide") == F.col("root")
-    seen = paired.where(own).select(*by, "root")
-    order = Window.partitionBy(*by, "root").orderBy(F.desc("frequency_all"), F.desc("frequency_unique"), "peptide")
-    alternates = paired.where(~own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    alternates = alternates.drop("place").join(seen, [*by, "root"], "left_semi")
-    return paired.where(own).unionByName(alternates).select(
+    ))
+    roots = pin(_root_windows(aligned, protein))
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        """(root, peptide) pairs with their sums over the root's windows."""
+        met = pairs.join(roots, [*by, "root"]).join(rows, [*by, *WINDOW, "peptide"])
+        return met.groupBy(*by, "root", "peptide").agg(
+            F.sum("frequency_all").alias("frequency_all"), F.max_by("total_all", _window_place()).alias("total_all"),
+            F.sum("frequency_unique").alias("frequency_unique"), F.max_by("total_unique", _window_place()).alias("total_unique"))
+
+    own = pin(summed(roots.select(*by, "root", F.col("root").alias("peptide")).distinct()))
+    order = [F.desc("frequency_all"), F.desc("frequency_unique"), F.asc("peptide")]
+    left, depth, found = own.select(*by, "root"), most + 1, [own]
+    while True:
+        listed = pin(_alternates_read(rows, roots, left, by, order, depth))
+        pairs = listed.where(F.col("peptide") != F.col("root")).select(*by, "root", "peptide").distinct()
+        place = F.row_number().over(Window.partitionBy(*by, "root").orderBy(*order))
+        best = pin(summed(pairs).withColumn("place", place).where(F.col("place") <= most))
+        # Of a root with one window, the peptides read are the first ones.
+        bounds = listed.groupBy(*by, "root").agg(
+            F.sum(F.when(F.col("read") == depth, F.col("frequency_all")).otherwise(0)).alias("bound"), F.max("windows").alias("windows"))
+        weakest = best.groupBy(*by, "root").agg(F.min("frequency_all").alias("least"), F.count(F.lit(1)).alias("held"))
+        done = (F.col("bound") == 0) | (F.col("windows") == 1) | ((F.col("held") == most) & (F.col("least") > F.col("bound")))
+        judged = pin(bounds.join(weakest, [*by, "root"], "left").withColumn("done", F.coalesce(done, F.lit(False))).select(*by, "root", "done"))
+        found.append(best.join(judged.where("done"), [*by, "root"], "left_semi").drop("place"))
+        left = judged.where(~F.col("done")).select(*by, "root")
+        if left.isEmpty():
+            break
+        depth *= 4
+    paired = found[0]
+    for more in found[1:]:
+        paired = paired.unionByName(more)
+    return paired.select(
         "peptide", _shown(protein),
         "frequency_all", "total_all", _share("frequency_all", "total_all").alias("proportion_all"),
         "frequency_unique", "total_unique", _share("frequency_unique", "total_unique").alias("proportion_unique"),
         F.col("root").alias("root_peptide"),
     )
+
+
+def _alternates_read(rows: DataFrame, roots: DataFrame, left: DataFrame, by: list[str], order: list[Column], depth: int) -> DataFrame:
+    """The first ``depth`` peptides of each window of the roots in ``left``: their place in the window is ``read``."""
+    windows = roots.join(left, [*by, "root"], "left_semi")
+    counted = windows.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("windows"))
+    wanted = windows.select(*by, *WINDOW).distinct()
+    first = lookup_join(rows, wanted, [*by, *WINDOW], "left_semi").select(*by, *WINDOW, "peptide", "frequency_all", "frequency_unique")
+    first = first.withColumn("read", F.row_number().over(Window.partitionBy(*by, *WINDOW).orderBy(*order))).where(F.col("read") <= depth)
+    return windows.join(counted, [*by, "root"]).join(first, [*by, *WINDOW]).select(*by, "root", "windows", "peptide", "read", "frequency_all")

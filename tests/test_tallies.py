@@ -244,3 +244,53 @@ def test_ranks_by_slots_equal_sorting(spark, most):
             if min(ranks) <= most:
                 expected.append((start, 4, row[2], *ranks, row[5], row[8], row[3], row[4], row[6], row[7]))
     assert rows(tly.top_candidates_by_window(table, most)) == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
+
+
+def test_summary_reads_windows_from_the_top(spark, monkeypatch):
+    """Roots with one and with two windows of 200 peptides each: the same four alternates, from few candidates."""
+    dice = random.Random(12)
+    peptides = ["".join(p) for p in itertools.product("ACDEF", repeat=4)]
+    tallied, placed = [], []
+    for start in range(1, 9):
+        for peptide in dice.sample(peptides, 200):
+            tallied.append((start, 4, peptide, dice.choice([1, 1, 1, 2, 2, 3, 50, 60]), 999, 0.0, dice.randint(1, 3), 99, 0.0))
+    tallied += [(9, 4, "GGGG", 7, 999, 0.0, 1, 99, 0.0)]
+    for start, _, peptide, *_ in dice.sample(tallied[:-1], 40):
+        placed.append(("M1", peptide, start, 4))
+        if dice.random() < 0.4:
+            placed.append(("M1", peptide, dice.randint(1, 8), 4))
+    placed += [("M1", "GGGG", 9, 4), ("M1", "WWWW", 3, 4)]
+    table = spark.createDataFrame(tallied, "start int, len int, peptide string, frequency_all bigint, total_all bigint, proportion_all double,"
+                                           " frequency_unique bigint, total_unique bigint, proportion_unique double")
+    read, listed = [], tly._alternates_read
+    monkeypatch.setattr(tly, "_alternates_read", lambda *given: read.append(listed(*given).count()) or listed(*given))
+    found = tly.frequency_summary(spark.createDataFrame(placed, "protein string, peptide string, start int, length int"), table, "M1")
+    expected = set()
+    for root in {p[1] for p in placed}:
+        windows, sums = {p[2] for p in placed if p[1] == root}, {}
+        for start, _, peptide, f, _, _, u, *_ in tallied:
+            if start in windows:
+                sums[peptide] = (sums.get(peptide, (0, 0))[0] + f, sums.get(peptide, (0, 0))[1] + u)
+        if root in sums:
+            others = sorted((-f, -u, p) for p, (f, u) in sums.items() if p != root)[:4]
+            expected |= {(root, root, *sums[root])} | {(root, p, -f, -u) for f, u, p in others}
+    assert {(r.root_peptide, r.peptide, r.frequency_all, r.frequency_unique) for r in found.collect()} == expected
+    met = sum(200 for p in set(placed) if p[2] < 9)
+    assert sum(read) < met / 2
+
+
+def test_annotations_follow_matches(spark, isolates, uploads):
+    tallies = tly.window_tallies(isolates, tly.distinct_windows(uploads), ["protein"])
+    predictions = spark.createDataFrame([("a", "MKT", 1.0, 2.0), ("a", "QQQQ", 3.0, None), ("b", "M-KT", None, 4.0)],
+                                        "allele string, peptide string, netmhcpan_el_percentile double, netmhcpan_ba_percentile double")
+    roots = spark.createDataFrame([("M1", "MKT", "MKT"), ("NP", "MKT", "KT"), ("NP", "MKT", "AA")], "protein string, peptide string, root string")
+    once = tly.annotations_by_prediction(predictions, tallies, roots)
+    assert once.count() == 3 and once.where("found is null").count() == 1
+    matched = rows(tly.unfold_annotations(once).select("protein", "allele", "peptide", "root"))
+    assert {r for r in matched} >= {("NP", "A", "MKT", "AA;KT"), ("NP", "B", "MKT", "AA;KT"), ("M1", "A", "MKT", "MKT")}
+    everything = tly.annotate_predictions(predictions, tallies, roots)
+    named = {r.protein for r in everything.collect()}
+    assert everything.count() == 3 * len(named)
+    assert rows(everything.where("root <> '' or frequency_all > 0")) == rows(tly.unfold_annotations(once).where("root <> '' or frequency_all > 0"))
+    plan = everything._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1

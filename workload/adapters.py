@@ -13,7 +13,7 @@ from epitrove.operators.filters import IsolateFilter, filter_isolates
 from epitrove.operators.frequencies import position_frequencies
 from epitrove.operators.peptides import align_peptides
 from epitrove.operators.tallies import (
-    annotate_predictions, distinct_windows, top_candidates_by_window, window_roots, window_tallies,
+    annotations_by_prediction, distinct_windows, top_candidates_by_window, unfold_annotations, window_roots, window_tallies,
 )
 from epitrove.plans.storage import pin
 
@@ -185,5 +185,6 @@ def uploads_and_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, Dat
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions with the proteins that have their peptide; what is left out has zeros and no root."""
     placed, tallies, candidates = uploads_and_candidates(spark, sf)
-    return annotate_predictions(predictions(spark, sf), tallies, window_roots(placed, candidates))
+    return unfold_annotations(annotations_by_prediction(predictions(spark, sf), tallies, window_roots(placed, candidates)))

@@ -86,23 +86,15 @@ NEEDS = {
 }
 
 
-def _frequencies(source: str, by: str = "", suffix: str = "") -> str:
-    """Position frequencies from two branches, one over all and one over distinct sequences."""
+def _frequencies(source: str, by: str = "") -> str:
+    """One group per position and letter: its rows, its distinct sequences, and their sums over the position."""
     keys = f"{by}, " if by else ""
-    using = f"({keys}position)"
     return f"""
-  WITH one{suffix} AS (SELECT DISTINCT {keys}sequence FROM {source}),
-  cells AS (SELECT {keys}sequence, unnest(generate_series(1, length(sequence))) AS position FROM {source}),
-  cells_u AS (SELECT {keys}sequence, unnest(generate_series(1, length(sequence))) AS position FROM one{suffix}),
-  counts AS (SELECT {keys}position, substr(sequence, position, 1) AS aminoacid, count(*) AS cnt FROM cells GROUP BY ALL),
-  counts_u AS (SELECT {keys}position, substr(sequence, position, 1) AS aminoacid, count(*) AS cnt FROM cells_u GROUP BY ALL),
-  totals AS (SELECT {keys}position, sum(cnt) AS total FROM counts GROUP BY ALL),
-  totals_u AS (SELECT {keys}position, sum(cnt) AS total FROM counts_u GROUP BY ALL)
-  SELECT {keys}position::INT AS position, aminoacid, c.cnt::BIGINT AS frequency_all, t.total::BIGINT AS total_all,
-    c.cnt::DOUBLE / t.total AS value, u.cnt::BIGINT AS frequency_unique, tu.total::BIGINT AS total_unique,
-    u.cnt::DOUBLE / tu.total AS value_unique
-  FROM counts c JOIN totals t USING {using} LEFT JOIN counts_u u USING ({keys}position, aminoacid)
-  LEFT JOIN totals_u tu USING {using}"""
+  SELECT {keys}position::INT AS position, aminoacid, n::BIGINT AS frequency_all, (sum(n) OVER here)::BIGINT AS total_all, n / sum(n) OVER here AS value,
+    u::BIGINT AS frequency_unique, (sum(u) OVER here)::BIGINT AS total_unique, u / sum(u) OVER here AS value_unique
+  FROM (SELECT {keys}position, substr(sequence, position, 1) AS aminoacid, count(*) AS n, count(DISTINCT sequence) AS u
+        FROM (SELECT {keys}sequence, unnest(generate_series(1, length(sequence))) AS position FROM {source}) GROUP BY ALL)
+  WINDOW here AS (PARTITION BY {keys}position)"""
 
 
 def _tallies(source: str, windows: str, by: str = "") -> str:

@@ -608,7 +608,8 @@ def window_roots(spark, sf):
 
 @query
 def annotate_predictions(spark, sf):
-    return ad.annotated(spark, sf)
+    placed, tallies, candidates = ad.uploads_and_candidates(spark, sf)
+    return tly.annotate_predictions(ad.predictions(spark, sf), tallies, tly.window_roots(placed, candidates))
 
 
 @query
