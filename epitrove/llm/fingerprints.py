@@ -1,6 +1,8 @@
 """Fingerprints that follow edit distance: Order MinHash over word pieces, with SQL functions only.
 
-A text is cut into pieces of at most ``PIECE`` characters between white space; three pieces in a row
+A text is cut into pieces: its words, if they have at most ``PIECE`` characters. Longer runs without white
+space are cut by what they hold, after each of the signs in ``CUTS`` and each sign of a script without spaces (and
+after ``PIECE`` characters without any), so an insertion changes the pieces around it only. Three pieces in a row
 are a k-mer. The n-th occurrence of a k-mer has its own identity, so repeats count. One hash orders
 all identities; the ``SURVIVORS`` smallest go on. For each of ``SKETCHES`` further hashes the two
 smallest survivors are selected and put back into text order, and the pair is hashed: an element
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIECE, KMER = 12, 3
+CUTS = r"aeiouAEIOU0-9/+=._\-\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff"
+"""Vowels, digits and signs, and the scripts of South-East and East Asia, as in a character class."""
 SURVIVORS, SKETCHES = 64, 32
 RANGE_BYTES = 8_000_000
 MOST_RANGES = 10_000
@@ -33,12 +37,20 @@ def _hashes(pieces: str) -> Column:
                        (x, i) -> (xxhash64(x, get({pieces}, i + 1), get({pieces}, i + 2)) & {~place}L) | (i & {place})) END""")
 
 
+def _pieces(text: str) -> Column:
+    """A word of few characters is a piece; of a longer one a piece ends at a cut."""
+    space = r"\x20\x09-\x0D"
+    word = rf"(?<![^{space}])[^{space}]{{1,{PIECE}}}(?![^{space}])"
+    part = rf"[^{space}{CUTS}]{{0,{PIECE - 1}}}[{CUTS}]|[^{space}{CUTS}]{{1,{PIECE}}}"
+    return F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({word}|{part})"), F.lit(1))
+
+
 def fingerprinted(rows: DataFrame, text: str, name: str) -> DataFrame:
     """``rows`` and the column ``name``, an array of numbers: the Order MinHash of the column ``text``."""
     bits, place = _PLACE_BITS, (1 << _PLACE_BITS) - 1
     ids = (1 << (64 - bits)) - 1
     # Each step is a column of its own, so that no lambda computes another array again.
-    rows = rows.withColumn("__pieces", F.expr(rf"regexp_extract_all(`{text}`, '([^\\x20\\x09-\\x0D]{{1,{PIECE}}})', 1)"))
+    rows = rows.withColumn("__pieces", _pieces(text))
     rows = rows.withColumn("__sorted", F.sort_array(_hashes("__pieces"))).drop("__pieces")
     rows = rows.withColumn("__firsts", F.expr(f"slice(filter(__sorted, (x, i) -> i = 0 OR (x >> {bits}) != (get(__sorted, i - 1) >> {bits})), 1, {SURVIVORS})"))
     rows = rows.withColumn("__again", F.expr(f"filter(__sorted, (x, i) -> i > 0 AND (x >> {bits}) = (get(__sorted, i - 1) >> {bits}))")).drop("__sorted")

@@ -23,8 +23,25 @@ def hashed(*values):
     return signed(seed)
 
 
+def pieces_of(text):
+    """Words of up to 12 characters; longer ones sign by sign, closed after a cut or 12 characters."""
+    cut, out = re.compile(f"[{fp.CUTS}]"), []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        if len(word) <= fp.PIECE:
+            out.append(word)
+            continue
+        held = ""
+        for sign in word:
+            held += sign
+            if cut.match(sign) or len(held) == fp.PIECE:
+                out.append(held)
+                held = ""
+        out += [held] if held else []
+    return out
+
+
 def sketch(text):
-    pieces = re.findall(r"[^\x20\x09-\x0D]{1,12}", text or "")
+    pieces = pieces_of(text)
     grams = [tuple(pieces[k:k + 3]) for k in range(len(pieces) - 2)] or [tuple(pieces[:2])]
     seen, found = {}, []
     for place, gram in enumerate(grams):
@@ -65,7 +82,8 @@ def test_equals_brute_force(table, some_documents, monkeypatch, size):
 @pytest.mark.parametrize("size", [8_000_000, 10_000])
 def test_odd_documents(table, odd_documents, monkeypatch, size):
     monkeypatch.setattr(fp, "RANGE_BYTES", size)
-    assert collected(fp.fingerprints(table(odd_documents))) == brute(odd_documents)
+    unspaced = [(30, "中文文本没有空格" * 5 + "mixed" + "ไทย" * 9), (31, "QmFzZTY0/+xyzXYZ==" * 20), (32, "BCDFGHJKLMNPQRSTVWXZ" * 4 + "🙂" * 30 + "한국어" * 8)]
+    assert collected(fp.fingerprints(table(odd_documents + unspaced))) == brute(odd_documents + unspaced)
 
 
 def test_empty_table_one_row_and_clashing_columns(table):
@@ -85,3 +103,16 @@ def test_likeness_falls_with_edits_and_with_order(spark):
 def test_no_python_in_the_plan(table, some_documents):
     plan = fp.fingerprints(table(some_documents))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("signs", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x5200)))])
+def test_one_sign_more_in_a_text_without_spaces_changes_little(signs):
+    import random
+
+    chance = random.Random(3)
+    near = []
+    for _ in range(20):
+        text = "".join(chance.choice(signs) for _ in range(2_000))
+        at = chance.randrange(1, 100)
+        near.append(sum(a == b for a, b in zip(sketch(text), sketch(text[:at] + chance.choice(signs) + text[at:]))) / fp.SKETCHES)
+    assert sum(near) / len(near) > 0.8
