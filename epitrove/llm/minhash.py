@@ -6,10 +6,11 @@
 2. Documents with equal sets are one class with one representative from here on.
 3. Each bucket links its members to its smallest one: as many links as members, however large the
    bucket. Their components are families; documents that share a bucket share the family.
-4. Inside a family all sets are compared in full, in blocks of bounded size. Blocks report the
+4. Families are compared in full, in blocks of a bounded number of documents and bytes. Blocks report the
    components they find, not pairs. A family larger than a block first meets its first members
-   (``ANCHORS``) and its own block; afterwards only blocks that still hold different components
-   meet, so copies that already hang together are not compared with each other.
+   (``ANCHORS``) and its own block, so copies hang together from here on. Afterwards only buckets that still hold
+   different components are compared, each by itself; of buckets with the same members one is. So a
+   large family of documents that are related but not linked takes work in proportion to its buckets, not to its pairs.
 
 A pair at similarity 0.85 shares no bucket with a chance of 4e-7, one at 0.8 with 5e-5.
 
@@ -32,6 +33,8 @@ from epitrove.plans.storage import pin
 BINS, ROWS = 128, 5
 BANDS = BINS // ROWS
 BLOCK = 192
+BLOCK_BYTES = 4_000_000
+"""Documents and bytes of text that a block holds on average; a longer document is compared by itself with few others."""
 ANCHORS = 16
 _ATTEMPTS = 512
 _COLUMNS = 16_384
@@ -92,7 +95,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketches(size: int):
-    names = ["doc_id", "n_shingles", "mark", "check", "bands"]
+    names = ["doc_id", "n_bytes", "n_shingles", "mark", "check", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +109,7 @@ def _sketches(size: int):
                 places = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
                 marks = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(start, end - start), pa.array(counts, pa.int64()), *marks,
+                    batch.column("doc_id").slice(start, end - start), batch.column("n_bytes").slice(start, end - start), pa.array(counts, pa.int64()), *marks,
                     pa.ListArray.from_arrays(pa.array(places), pa.array(keys)),
                 ], names=names)
 
@@ -114,9 +117,10 @@ def _sketches(size: int):
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, set size, two 64-bit sums that identify the set, and its bucket keys (none if empty)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketches(size), "doc_id long, n_shingles long, mark long, check long, bands array<long>")
+    """``doc_id``, bytes of text, set size, two 64-bit sums that identify the set, and its bucket keys (none if empty)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(
+        _sketches(size), "doc_id long, n_bytes long, n_shingles long, mark long, check long, bands array<long>")
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -188,54 +192,97 @@ def _confirmed(placed: DataFrame, size: int, percent: int) -> DataFrame:
     return placed.groupBy("bundle").applyInArrow(_confirm(size, percent), "a long, b long")
 
 
+def _blocks(rows: str, size: str) -> F.Column:
+    """How many blocks hold so many documents of so many bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES))
+
+
 def _block(of: str, among: str) -> F.Column:
-    """A block number below ceil(among / BLOCK), by hash."""
-    return F.pmod(F.xxhash64(of), F.ceil(F.col(among) / BLOCK))
+    """A block number below ``among``, by hash."""
+    return F.pmod(F.xxhash64(of), F.col(among))
+
+
+def _bundled(small: DataFrame, unit: str) -> F.Column:
+    """Which bundle of about a block each unit that is no larger than one goes to; ``small`` has n and size of each unit."""
+    n, size = small.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.pmod(F.xxhash64(unit), F.lit(max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))).cast("long"))
+
+
+def open_buckets(shared: DataFrame) -> DataFrame:
+    """Of ``shared`` (bucket, node, n_bytes, component) the buckets that hold several components, one of those with equal members.
+
+    Each has ``n`` members of ``size`` bytes and ``blocks``.
+    """
+    members = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
+    held = shared.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("first"),
+                                        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"), *members)
+    held = held.where("least < most").groupBy("first", "n", "members1", "members2").agg(F.min("bucket").alias("bucket"), F.min("size").alias("size"))
+    return held.select("bucket", "n", "size", _blocks("n", "size").alias("blocks"))
 
 
-def confirmed_links(candidates: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links whose components are those of all pairs within a family that are similar enough.
+def second_pass(shared: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``bundle``, ``part``, ``node``: who is compared with whom in ``buckets``, the open ones of ``shared``.
 
-    ``candidates`` (a, b) are links of which the components are the families.
+    Buckets up to a block are compared outright, several to a bundle. In a larger one all blocks meet
+    that don't hold one and the same component: work that grows with the square of a bucket that falls apart.
+    """
+    met = shared.join(buckets.select("bucket", "blocks"), "bucket")
+    small, large = met.where("blocks = 1"), met.where("blocks > 1")
+    bundle = _bundled(buckets.where("blocks = 1"), "bucket")
+    placed = small.select(bundle.cast("string").alias("bundle"), F.col("bucket").alias("part"), "node")
+    if buckets.where("blocks > 1").isEmpty():
+        return placed
+    held = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
+    held = pin(held.withColumn("own", _blocks("n", "size")))
+    strays = held.where("own = 1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).select("bucket", _blocks("n", "size").alias("strays"))
+    block = F.when(F.col("own") > 1, F.concat_ws("/", "component", _block("node", "own"))).otherwise(
+        F.concat_ws("/", F.lit("stray"), _block("component", "strays")))
+    split = large.join(held.select("bucket", "component", "own"), ["bucket", "component"]).join(pin(strays), "bucket", "left")
+    split = pin(split.select("node", "bucket", block.alias("block"), F.when(F.col("own") > 1, F.col("component")).alias("pure")))
+    kinds = split.select("bucket", "block", "pure").distinct()
+    meet = kinds.alias("l").join(kinds.alias("r"), "bucket").where(
+        "l.block <= r.block and not (l.pure is not null and r.pure is not null and l.pure = r.pure)")
+    meet = meet.select("bucket", F.explode(F.array_distinct(F.array("l.block", "r.block"))).alias("block"), F.concat_ws("+", "bucket", "l.block", "r.block").alias("bundle"))
+    return placed.unionByName(split.join(meet, ["bucket", "block"]).select("bundle", F.col("bucket").alias("part"), "node"))
+
+
+def confirmed_links(candidates: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links whose components are those of all pairs that share a bucket or a small family and are similar enough.
+
+    ``candidates`` (a, b) are links of which the components are the families; ``sketch`` is that of ``docs``.
     """
     families = components(candidates).withColumnRenamed("component", "family")
-    families = pin(families)
     # Look-ups are stored: a join to the aggregate itself could not be split where a family or a set is hot.
-    counted = families.join(pin(families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))), "family")
+    sizes = sketch.where("doc_id is not null").select(F.col("doc_id").alias("node"), "n_bytes")
+    sized = pin(families.join(sizes, "node").groupBy("node", "family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("n_bytes")))
+    extents = sized.groupBy("family").agg(F.sum("rows").alias("n"), F.sum("n_bytes").alias("size"))
+    extents = pin(extents.withColumn("blocks", _blocks("n", "size")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The only join with all texts; later steps read the texts of families alone. The members grow
     # with the documents, so they are never broadcast.
-    held = pin(counted.hint("merge").join(texts, F.col("node") == F.col("doc_id")).drop("node"))
+    counted = sized.join(extents.select("family", "blocks"), "family")
+    held = pin(counted.hint("merge").join(texts, F.col("node") == F.col("doc_id")).drop("node", "rows"))
     # Small families go together in bundles of about a block; of a large one each block is a bundle.
-    small, large = held.where(F.col("members") <= BLOCK), held.where(F.col("members") > BLOCK)
-    bundles = F.ceil(F.lit(small.count() + 1) / BLOCK)
-    placed = small.select(F.pmod(F.xxhash64("family"), bundles).cast("string").alias("bundle"), F.col("family").alias("part"), "doc_id", "text")
-    if large.isEmpty():
+    small, large = held.where("blocks = 1"), held.where("blocks > 1")
+    bundle = _bundled(extents.where("blocks = 1"), "family")
+    placed = small.select(bundle.cast("string").alias("bundle"), F.col("family").alias("part"), "doc_id", "text")
+    if extents.where("blocks > 1").isEmpty():
         return _confirmed(placed, size, percent)
+    nodes = large.select("family", "doc_id", "n_bytes", "blocks").distinct()
     least = Window.partitionBy("family").orderBy("doc_id")
-    anchors = large.select("family", "doc_id").withColumn("n", F.row_number().over(least)).where(F.col("n") <= ANCHORS).select("family", "doc_id")
-    anchors = large.select("family", "doc_id", "members").distinct().join(anchors.distinct(), ["family", "doc_id"])
-    anchors = anchors.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1)).alias("block"))
-    first = large.select("doc_id", "family", _block("doc_id", "members").alias("block"), "text").unionByName(
+    anchors = nodes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= ANCHORS)
+    anchors = anchors.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    first = large.select("doc_id", "family", _block("doc_id", "blocks").alias("block"), "text").unionByName(
         large.join(anchors, "doc_id").select("doc_id", "family", "block", "text"))
     placed = placed.unionByName(first.select(F.concat_ws("/", "family", "block").alias("bundle"), F.col("family").alias("part"), "doc_id", "text"))
     links = pin(_confirmed(placed, size, percent))
-    # Large families: what still falls apart is compared with all else of the family.
-    found = components(links)
-    large = large.withColumnRenamed("doc_id", "node")
-    split = large.select("node", "family").distinct().join(found, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    split = split.join(split.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")), ["family", "component"])
-    strays = split.where(F.col("held") <= BLOCK).groupBy("family").agg(F.count(F.lit(1)).alias("strays"))
-    block = F.when(F.col("held") > BLOCK, F.concat_ws("/", "component", _block("node", "held"))).otherwise(
-        F.concat_ws("/", F.lit("stray"), _block("component", "strays")))
-    split = pin(split.join(strays, "family", "left").select(
-        "node", "family", block.alias("block"), F.when(F.col("held") > BLOCK, F.col("component")).alias("pure")))
-    kinds = split.select("family", "block", "pure").distinct()
-    left, right = kinds.alias("l"), kinds.alias("r")
-    meet = left.join(right, "family").where("l.block <= r.block and not (l.pure is not null and r.pure is not null and l.pure = r.pure)")
-    meet = meet.select("family", F.explode(F.array_distinct(F.array("l.block", "r.block"))).alias("block"), F.concat_ws("+", "family", "l.block", "r.block").alias("bundle"))
-    second = split.join(meet, ["family", "block"]).select("node", "bundle", F.col("family").alias("part"))
-    second = large.select("node", "text").join(second, "node").select("bundle", "part", F.col("node").alias("doc_id"), "text")
+    # Large families: the buckets that still fall apart are compared by themselves.
+    found = components(links).withColumnRenamed("node", "doc_id")
+    nodes = pin(nodes.join(found, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("component", "doc_id").alias("component")))
+    shared = nodes.join(sketch.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "doc_id").withColumnRenamed("doc_id", "node")
+    shared = pin(shared)
+    second = second_pass(shared, pin(open_buckets(shared)))
+    second = large.select("doc_id", "text").join(second, F.col("doc_id") == F.col("node")).select("bundle", "part", "doc_id", "text")
     return links.unionByName(_confirmed(second, size, percent))
 
 
@@ -250,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     sketch = pin(sketches(docs, size))
     key = ["mark", "check", "n_shingles"]
-    held = sketch.where("n_shingles > 0 and doc_id is not null")
+    held = sketch.where("n_shingles > 0 and doc_id is not null").drop("n_bytes")
     classes = pin(held.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     # Rows that repeat an id are versions of one document, so an id may stand for several classes.
     versions = held.join(classes, key).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).where("a < b").distinct()
@@ -258,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct()
     centres = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     candidates = members.join(centres, "bucket").where("centre < rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed_links(candidates, docs, size, percent).unionByName(versions)
+    links = confirmed_links(candidates, sketch, docs, size, percent).unionByName(versions)
     found = components(links)
     return (
         sketch.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")

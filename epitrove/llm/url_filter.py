@@ -10,14 +10,16 @@ with a second stack, whose entries are each the beginning of the next.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 RANGE_ROWS = 50_000
 SAMPLE = 20_000
+"""Keys that bounds are taken from; with more ranges than that, each stretch of keys is dealt to several ranges by id."""
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
@@ -107,31 +109,38 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", range_rows
     # Bounds from a bounded sample; they decide only who works on what.
     count = pages.count()
     parts = max(1, -(-count // range_rows))
+    copies = -(-parts // SAMPLE)
+    parts = -(-parts // copies)
     sample = sorted(r[0] for r in pages.select("key").sample(min(1.0, SAMPLE / max(count, 1)), seed=11).limit(2 * SAMPLE).collect()) if parts > 1 else []
-    bounds = [sample[n * len(sample) // parts] for n in range(1, parts)] if sample else []
-    # A host that fills several ranges is dealt to all of them by id. Keys compare as UTF-8 bytes, as Spark sorts.
-    encoded = [b.encode() for b in bounds]
-
-    def low_high(keys: pa.Array, prefix: bool) -> pa.Array:
-        rows = []
-        for key in keys.to_pylist():
-            key = (key or "").encode()
-            end = key[:-1] + bytes([key[-1] + 1]) if prefix and key else key
-            rows.append({"low": bisect_left(encoded, key), "high": bisect_left(encoded, end) if prefix else bisect_right(encoded, key)})
-        return pa.array(rows, pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    # Keys compare as UTF-8 bytes, as Spark sorts.
+    bounds = np.array(sorted(sample[n * len(sample) // parts].encode() for n in range(1, parts)) if sample else [], dtype=object)
+
+    def between(low: np.ndarray, high: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
+
+    def encoded(keys: pa.Array) -> np.ndarray:
+        found = np.empty(len(keys), object)
+        found[:] = [k or b"" for k in keys.cast(pa.binary()).to_pylist()]
+        return found
 
     @F.arrow_udf("low long, high long")
     def page_ranges(keys: pa.Array) -> pa.Array:
-        return low_high(keys, False)
+        found = encoded(keys)
+        return between(np.searchsorted(bounds, found, "left"), np.searchsorted(bounds, found, "right"))
 
     @F.arrow_udf("low long, high long")
     def rule_ranges(keys: pa.Array) -> pa.Array:
-        return low_high(keys, True)
+        found = encoded(keys)
+        after = np.empty(len(found), object)
+        after[:] = [k[:-1] + bytes([k[-1] + 1]) if k else k for k in found]
+        return between(np.searchsorted(bounds, found, "left"), np.searchsorted(bounds, after, "left"))
 
+    # A host that fills several ranges is dealt to all of them by id, and so is a stretch of keys with several copies.
     placed = pages.withColumn("r", page_ranges("key"))
-    spread = F.col("r.low") + F.pmod(F.xxhash64("page_id", "path"), F.col("r.high") - F.col("r.low") + 1)
+    dealt = F.xxhash64("page_id", "path")
+    spread = (F.col("r.low") + F.pmod(dealt, F.col("r.high") - F.col("r.low") + 1)) * copies + F.pmod(F.xxhash64(dealt), F.lit(copies).cast("long"))
     placed = placed.withColumn("range", spread).drop("r")
-    copied = rules.distinct().withColumn("r", rule_ranges("key")).withColumn("range", F.explode(F.sequence("r.low", "r.high"))).drop("r")
+    copied = rules.distinct().withColumn("r", rule_ranges("key")).withColumn("range", F.explode(F.sequence(F.col("r.low") * copies, (F.col("r.high") + 1) * copies - 1))).drop("r")
     found = placed.groupBy("range").cogroup(copied.groupBy("range")).applyInArrow(
         _join, "page_id long, host string, path string, rule string, verdict string")
     return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))

@@ -9,7 +9,7 @@ import pytest
 from llm_fixtures import collected, odd_documents, some_documents, table  # noqa: F401
 
 from epitrove.llm import minhash
-from epitrove.llm.minhash import near_duplicates, one_of_each, overlaps, shingle_sets, signatures
+from epitrove.llm.minhash import near_duplicates, one_of_each, open_buckets, overlaps, second_pass, shingle_sets, signatures
 
 
 def sets_of(documents, size):
@@ -67,6 +67,51 @@ def test_a_family_larger_than_a_block(table, monkeypatch, edits):
     assert collected(near_duplicates(table(documents), 3, 85)) == brute(documents, 3, 85)
 
 
+def test_blocks_are_bounded_by_bytes_too(table, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2_000)
+    documents = family(60, 8) + [(100, " ".join(f"w{n}" for n in range(3_000))), (101, " ".join(f"w{n}" for n in range(2_990)))]
+    assert collected(near_duplicates(table(documents), 3, 85)) == brute(documents, 3, 85)
+
+
+def test_a_chain_of_related_documents_that_are_not_linked(table, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "ANCHORS", 2)
+    step = lambda n: 5 if n % 10 == 9 else 14
+    starts = [sum(map(step, range(n))) for n in range(60)]
+    documents = [(n, " ".join(f"w{k}" for k in range(at, at + 120))) for n, at in enumerate(starts)]
+    expected = brute(documents, 3, 85)
+    assert 1 < len({r[2] for r in expected}) < len(expected)
+    assert collected(near_duplicates(table(documents), 3, 85)) == expected
+
+
+def test_the_second_pass_grows_with_buckets_not_with_pairs_of_a_family(spark):
+    """20,000 unlinked documents of one family: each shares buckets with its neighbours only."""
+    chain = spark.range(20_000).selectExpr("explode(array(2 * id, 2 * id + 1, 2 * id + 2)) AS bucket", "id AS node", "1000L AS n_bytes", "id AS component")
+    buckets = open_buckets(chain)
+    assert buckets.selectExpr("count(*)", "max(n)", "max(blocks)").first() == (19_999, 2, 1)
+    placed = second_pass(chain, buckets)
+    assert placed.count() == 2 * 19_999
+    assert placed.groupBy("bundle").count().selectExpr("max(count)").first()[0] < 3 * minhash.BLOCK
+
+
+def test_buckets_with_the_same_members_or_one_component_are_compared_once_or_never(spark):
+    rows = [(b, n, 10, n) for b in (1, 2, 3) for n in (7, 8)] + [(4, n, 10, 5) for n in (7, 8, 9)] + [(5, n, 10, n) for n in (7, 9)]
+    found = open_buckets(spark.createDataFrame(rows, "bucket long, node long, n_bytes long, component long"))
+    assert collected(found.select("bucket", "n", "size")) == [(1, 2, 20), (5, 2, 20)]
+
+
+def test_a_large_bucket_meets_block_by_block(spark, monkeypatch):
+    """All pairs of different components come together in some bundle; one large component isn't compared with itself."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    shared = spark.createDataFrame([(1, n, 10, 0 if n < 12 else n) for n in range(24)], "bucket long, node long, n_bytes long, component long")
+    bundles = {}
+    for row in second_pass(shared, open_buckets(shared)).collect():
+        bundles.setdefault(row.bundle, set()).add(row.node)
+    together = {(a, b) for held in bundles.values() for a in held for b in held if a < b}
+    assert {(a, b) for a in range(24) for b in range(max(a + 1, 12), 24)} <= together
+    assert not any(max(held) < 12 for held in bundles.values())
+
+
 def test_empty_table_and_clashing_columns(table):
     assert near_duplicates(table([])).collect() == []
     docs = table([(1, "a b c d"), (2, "A b C d"), (3, "a")], "node long, bands string, bucket int, component_id long, kept string", (1, "b", 2, 3, "k"))

@@ -52,6 +52,14 @@ def test_equals_brute_force(spark, size):
     assert collected(judge(table, rules_table(spark, rules), "block", size)) == brute(pages, rules, "block")
 
 
+def test_more_ranges_than_sampled_keys(spark, monkeypatch):
+    """Stretches of keys are dealt to several ranges each, so ranges stay as large as asked for."""
+    monkeypatch.setattr(url_filter, "SAMPLE", 5)
+    pages, rules = made(400, 3)
+    table = spark.createDataFrame(pages, "page_id long, url string").repartition(4)
+    assert collected(judge(table, rules_table(spark, rules), "block", 7)) == brute(pages, rules, "block")
+
+
 @pytest.mark.parametrize("size", [50_000, 2])
 def test_odd_urls(spark, size):
     table = spark.createDataFrame([(*p, "html", 1) for p in ODD], "page_id long, url string, host string, key int")
