@@ -7,8 +7,8 @@
 3. Each bucket links its members to its smallest one: as many links as members, however large the
    bucket. Their components are families; documents that share a bucket share the family.
 4. Families are compared in full, in blocks of a bounded number of documents and bytes. Blocks report the
-   components they find, not pairs. A family larger than a block first meets its first members
-   (``ANCHORS``) and its own block, so copies hang together from here on. Afterwards only buckets that still hold
+   components they find, not pairs. A family larger than a block first meets some of its members
+   (about ``ANCHORS``) and its own block, so copies hang together from here on. Afterwards only buckets that still hold
    different components are compared, each by itself; of buckets with the same members one is. So a
    large family of documents that are related but not linked takes work in proportion to its buckets, not to its pairs.
 
@@ -260,7 +260,7 @@ def confirmed_links(candidates: DataFrame, sketch: DataFrame, docs: DataFrame, s
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The only join with all texts; later steps read the texts of families alone. The members grow
     # with the documents, so they are never broadcast.
-    counted = sized.join(extents.select("family", "blocks"), "family")
+    counted = sized.join(extents.select("family", "blocks", F.col("n").alias("members")), "family")
     held = pin(counted.hint("merge").join(texts, F.col("node") == F.col("doc_id")).drop("node", "rows"))
     # Small families go together in bundles of about a block; of a large one each block is a bundle.
     small, large = held.where("blocks = 1"), held.where("blocks > 1")
@@ -268,9 +268,9 @@ def confirmed_links(candidates: DataFrame, sketch: DataFrame, docs: DataFrame, s
     placed = small.select(bundle.cast("string").alias("bundle"), F.col("family").alias("part"), "doc_id", "text")
     if extents.where("blocks > 1").isEmpty():
         return _confirmed(placed, size, percent)
-    nodes = large.select("family", "doc_id", "n_bytes", "blocks").distinct()
-    least = Window.partitionBy("family").orderBy("doc_id")
-    anchors = nodes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= ANCHORS)
+    nodes = large.select("doc_id", "n_bytes", "members", "blocks").distinct()
+    # About so many members, by hash: no family is sorted.
+    anchors = nodes.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("members")) < ANCHORS)
     anchors = anchors.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     first = large.select("doc_id", "family", _block("doc_id", "blocks").alias("block"), "text").unionByName(
         large.join(anchors, "doc_id").select("doc_id", "family", "block", "text"))
