@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 """Documents are worked on in slices of about so many bytes; a longer document is a slice of its own."""
 
 _FIELDS = ((0x5BD1E995, 2_147_483_647), (0x27D4EB2F, 2_147_483_629))
@@ -31,16 +31,16 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(base: int, prime: int, count: int) -> np.ndarray:
-    """base**0 … base**(count-1) modulo a prime below 2**31; kept up to a few times the size of a slice."""
+    """base**0 … base**(count-1) modulo a prime below 2**31; kept up to the size of a slice."""
     kept = _powers.get((base, prime))
     if kept is None or len(kept) < count:
-        kept = np.ones(max(count, SLICE_BYTES + 1), np.uint64)
+        kept = np.ones(max(count, SLICE_BYTES + 1), np.uint32)
         done, step = 1, base % prime
         while done < len(kept):
             more = min(done, len(kept) - done)
             kept[done:done + more] = kept[:more] * np.uint64(step) % np.uint64(prime)
             done, step = done + more, step * step % prime
-        if len(kept) <= 4 * SLICE_BYTES:
+        if len(kept) <= SLICE_BYTES + 1:
             _powers[base, prime] = kept
     return kept[:count]
 
