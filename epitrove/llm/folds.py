@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from epitrove.plans.storage import pin
+
 _BUCKETS = 1 << 30
 
 
@@ -30,3 +32,17 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """The ``most`` distinct rows whose keys come first in the order of their hashes."""
     count = F.lit(rows.count())
     return rows.where(below_share(key, most, count)).distinct().orderBy(sample_order(key), key).limit(most)
+
+
+def one_text_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, text) stored, with the smallest text only where keys repeat. There must be a bounded number of keys.
+
+    Where none repeat, no text is sorted or shuffled.
+    """
+    rows = pin(rows.select(*keys, "text"))
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return rows
+    once = rows.join(F.broadcast(again), keys, "left_anti")
+    least = rows.join(F.broadcast(again), keys, "left_semi").groupBy(*keys).agg(F.min("text").alias("text"))
+    return pin(once.unionByName(least))

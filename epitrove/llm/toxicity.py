@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epitrove.llm.folds import hash_sample, held_out
+from epitrove.llm.folds import hash_sample, held_out, one_text_each
 from epitrove.llm.words import NOT_LETTERS, Words, mix, slices
 from epitrove.plans.storage import pin
 
@@ -151,9 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     others = hash_sample(named.select("doc_id"), "doc_id", unlabelled)
     chosen = ours.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
     # At most positives + unlabelled ids, so they go to every task.
-    sample = named.join(F.broadcast(pin(chosen)), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     # An id that repeats is one text, so what is learned from has the bound of the ids.
-    sample = pin(sample.select("text", "positive"))
+    sample = one_text_each(named.join(F.broadcast(pin(chosen)), "doc_id"), ["doc_id", "positive"])
     ours, others = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     counts = sample.mapInArrow(_counted, "bucket long, ours long, others long").groupBy("bucket").agg(F.sum("ours").alias("ours"), F.sum("others").alias("others"))
     p, u = F.col("ours") / float(max(ours, 1)), F.col("others") / float(max(others, 1))
