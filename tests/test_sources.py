@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from epitrove.sources import fasta, peptide_lists, results, tables
 from epitrove.sources.records import placed_records
@@ -223,6 +224,60 @@ def test_repeated_columns_keep_the_last_cell_of_each_row(spark):
     assert sorted(((r.n, r.row, r.cells) for r in found.collect()), key=str) == sorted(expected, key=str)
 
 
+def some_document(dice):
+    """A result with tables of all kinds of cells, and texts that look like a part of one."""
+    texts = ["A", "", "a,b", 'x"]', "[{", "}]", "\\", '\\",', '"table_data":[', "é,€", "line\nend", "[1,2]", '{"a":1}', '{"cut":3}']
+    cell = lambda: dice.choice([dice.choice(texts), dice.randint(-9, 99), 1.50, None, True, [1, "a,]"], {"k": ["v", {"w": 2}]}])
+    line = lambda: dice.choice([[cell() for _ in range(dice.randint(0, 6))], {f"c{i}": cell() for i in range(dice.randint(0, 3))}, cell()])
+
+    def result(kind):
+        parts = [("type", kind), ("table_columns", [{"name": dice.choice(["a", "b", "", "col_1"]), "more": [1, [2]]} for _ in range(dice.randint(0, 5))]),
+                 ("table_data", [line() for _ in range(dice.choice([0, 1, 2, 30]))]), ("notes", {"table_data": [1, [2, 3], "x"], "in": [[[["y", 1]], 2]]})]
+        return dict(dice.sample(parts, len(parts)))
+
+    results_ = [result(kind) for kind in dice.choice([["peptide_table"], ["else", "peptide_table"], ["else"], ["peptide_table", "else", "peptide_table"]])]
+    other = {"table_data": [[1], 2], "deep": [{"table_data": [["no", "rows"], ["of", "results"]]}]}
+    document_ = {"other": other, "data": dict(dice.sample([("results", results_), ("other", other), ("n", 1)], 3))}
+    return json.dumps(document_, indent=dice.choice([None, None, 1]), ensure_ascii=dice.random() < 0.5)
+
+
+@pytest.mark.parametrize(("split", "documents"), [(150, 5), (900, 20)])
+def test_long_documents_are_cut_into_the_same_rows(spark, tmp_path, small_splits, split, documents):
+    dice = random.Random(split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    texts = [some_document(dice) for _ in range(40)]
+    path = folder(tmp_path, **{f"d{n}": text for n, text in enumerate(sorted(texts, key=len)[10:10 + documents])})
+    whole = results.read_prediction_json(spark, path, missing="empty")
+    cut = results.read_prediction_json(spark, path, missing="empty", whole_up_to=0)
+    listed = lambda found: sorted((r.file, r.row, str(r.cells)) for r in found.collect())
+    assert cut.dtypes == whole.dtypes
+    assert listed(cut) == listed(whole) != []
+
+
+def test_a_long_document_is_read_by_several_tasks(spark, tmp_path, small_splits):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    table = [[f"p{n}", n, 'said "[", twice'] for n in range(3000)]
+    path = folder(tmp_path, long=json.dumps({"data": {"results": [{"type": "peptide_table", "table_columns": [{"name": "a"}, {"name": "b"}], "table_data": table}]}}))
+    read = results.read_prediction_json(spark, path, whole_up_to=20000)
+    assert [(r.row, r.cells) for r in read.orderBy("row").collect()] == [
+        (n, {"a": f"p{n}", "b": str(n), "col_2": 'said "[", twice'}) for n in range(3000)]
+    held = read.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert held < 1500
+
+
+def test_long_documents_without_the_table(spark, tmp_path):
+    path = folder(tmp_path, a=document("else"))
+    assert results.read_prediction_json(spark, path, missing="empty", whole_up_to=0).count() == 0
+    with pytest.raises(Exception, match="peptide_table not found"):
+        results.read_prediction_json(spark, path, whole_up_to=0).collect()
+
+
+def test_a_key_spelled_with_escapes_still_has_its_rows(spark, tmp_path):
+    path = folder(tmp_path, a=document().replace("table_data", "table_d\\u0061ta"))
+    whole, cut = (results.read_prediction_json(spark, path, whole_up_to=n) for n in (1 << 20, 0))
+    assert sorted((r.row, str(r.cells)) for r in cut.collect()) == sorted((r.row, str(r.cells)) for r in whole.collect()) != []
+
+
 def test_only_forms_that_suffixes_can_meet_are_looked_at(spark):
     from epitrove.sources.fasta import _forms
 

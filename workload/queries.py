@@ -27,6 +27,7 @@ PICKED = ad.ALLELES[:2]
 UPLOAD_COLUMNS = ["peptide", "protein", "attribute_1", "attribute_2", "attribute_3"]
 METHOD = "netmhcpan_el"
 FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 6
+SEQUENCES_PER_REQUEST = 500
 
 
 def query(function: Query) -> Query:
@@ -170,16 +171,17 @@ def parse_prediction_json(spark, sf):
 
 @query
 def read_prediction_json(spark, sf):
-    """One file per allele and length, in which two columns share a name or a display name, and one without the table."""
+    """One file per allele, length and batch of sequences, in which two columns share a name or a display name, and one without the table."""
     path = scratch_path(spark, "results")
     listed = lambda *pairs: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).cast("string").alias("display_name")) for n, d in pairs])
     columns = listed(("allele", "Allele"), ("peptide", ""), ("start", None), ("peptide", "start"))
     cells = F.array("allele", "peptide", F.col("start").cast("string"), (F.col("netmhcpan_ba percentile") * 10).cast("int").cast("string"))
-    rows = ad.scan_predictions(spark, sf).groupBy("allele", F.col("peptide length").alias("length")).agg(F.collect_list(cells).alias("rows"))
+    batch = F.floor(F.coalesce("seq #", F.lit(1)) / SEQUENCES_PER_REQUEST).alias("batch")
+    rows = ad.scan_predictions(spark, sf).groupBy("allele", F.col("peptide length").alias("length"), batch).agg(F.collect_list(cells).alias("rows"))
     table = F.struct(F.lit("peptide_table").alias("type"), columns.alias("table_columns"), F.col("rows").alias("table_data"))
     other = F.struct(F.lit("warnings").alias("type"), F.lit(None).alias("table_columns"), F.lit(None).alias("table_data"))
     document = lambda *found: F.to_json(F.struct(F.struct(F.array(*found).alias("results")).alias("data"))).alias("value")
-    part = F.concat_ws("-", F.regexp_replace("allele", "[^A-Z0-9]", ""), "length").alias("part")
+    part = F.concat_ws("-", F.regexp_replace("allele", "[^A-Z0-9]", ""), "length", "batch").alias("part")
     rows.select(part, document(other, table)).unionByName(rows.select(F.lit("none").alias("part"), document(other)).distinct()).repartition(
         "part").write.partitionBy("part").text(path)
     read = lambda naming: results.read_prediction_json(spark, path, naming, "empty")
