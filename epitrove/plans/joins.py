@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 50_000
 
@@ -31,3 +31,14 @@ def literal_list(values: Iterable, element: str = "string") -> Column:
     """A Python list as an array Column, to be exploded in place of a join with a tiny table."""
     items = [F.lit(value).cast(element) for value in values]
     return F.array(*items) if items else F.array().cast(f"array<{element}>")
+
+
+def inline_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A few rows of Python values as a relation whose small size the planner knows.
+
+    It does not know that of a DataFrame made from a list, and would sort the other side of a join by the key.
+    """
+    fields = [field.rsplit(" ", 1) for field in schema.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, row, strict=True)]) for row in rows]
+    kind = f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in fields)}>>"
+    return spark.range(1).select(F.inline((F.array(*structs) if structs else F.array()).cast(kind)))

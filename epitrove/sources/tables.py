@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from epitrove.functions.schema import allele_column, quoted, require_columns
 from epitrove.functions.text import strip
+from epitrove.plans.joins import inline_rows
 
 # Protein lists of the two isolate collections.
 COLLECTION_PROTEINS = {
@@ -136,7 +137,7 @@ def read_predictions_csv_wide(spark: SparkSession, path: str) -> DataFrame:
 
 def inline_windows(spark: SparkSession, windows: Iterable[tuple[int, int]]) -> DataFrame:
     """A small ``(start, len)`` relation from Python values; non-positive windows are dropped."""
-    return spark.createDataFrame(valid_windows(windows), "start int, len int")
+    return inline_rows(spark, valid_windows(windows), "start int, len int")
 
 
 def valid_windows(windows: Iterable[tuple[float, float]]) -> list[tuple[int, int]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from epitrove.operators import tallies as tly
 from epitrove.plans.storage import pin
+from epitrove.sources.tables import inline_windows
 
 SEQUENCES = ["MKTAYIAK"] * 5 + ["MKTVYIAK"] * 3 + ["MK-AYIAK", "mktayiak", "MKT", ""]
 
@@ -47,6 +48,17 @@ def test_windows_from_a_table_belong_to_their_protein(spark, isolates):
         tly.window_tallies(isolates, windows)
 
 
+def test_listed_windows_leave_the_sequences_where_they_are(spark):
+    sequences = spark.range(1 << 24).where("id < 300").select(F.expr("if(id % 3 = 0, 'HA', 'M1')").alias("protein"), F.lit("MKTAYIAK").alias("sequence"))
+    windows = inline_windows(spark, [(1, 3), (2, 4), (0, 2)]).select("*", F.explode(F.array(F.lit("M1"), F.lit("NP"))).alias("protein"))
+    cut = tly.cross_windows(sequences, windows, ["protein"], ["protein"])
+    assert rows(cut.distinct()) == [("M1", 1, 3, "MKT"), ("M1", 2, 4, "KTAY")] and cut.count() == 400
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert inline_windows(spark, []).dtypes == [("start", "int"), ("len", "int")]
+    assert inline_windows(spark, []).count() == 0
+
+
 def test_no_windows_no_tallies(isolates):
     assert tly.window_tallies(isolates, []).count() == 0
 

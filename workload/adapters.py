@@ -15,6 +15,7 @@ from epitrove.operators.peptides import align_peptides
 from epitrove.operators.tallies import (
     annotations_by_prediction, distinct_windows, top_candidates_by_window, unfold_annotations, window_roots, window_tallies,
 )
+from epitrove.plans.joins import inline_rows
 from epitrove.plans.storage import pin
 
 # Invented base sequences, one per protein, and four allele names.
@@ -69,7 +70,7 @@ def isolates(spark: SparkSession, sf: str) -> DataFrame:
 def references(spark: SparkSession) -> DataFrame:
     """One aligned reference per protein with a gap of two after letter 25."""
     rows = [(protein, base[:25] + "--" + base[25:]) for protein, base in BASES.items()]
-    return spark.createDataFrame(rows, "protein string, aligned_sequence string")
+    return inline_rows(spark, rows, "protein string, aligned_sequence string")
 
 
 def uploads(spark: SparkSession, sf: str) -> DataFrame:
